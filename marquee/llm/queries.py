@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, phrases, pii, quality, secret_scan, simhash
+from . import mixing, packing, phrases, pii, quality, secret_scan, simhash
 from .common import load
 
 
@@ -28,6 +28,40 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.scan_pii(load(spark, sf_dir, "documents")))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.taken_words(load(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight
+  FROM d GROUP BY source
+), c AS (SELECT *, 3 * CAST(source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS budget FROM s
+), r AS (
+  SELECT *, cap / weight AS ratio,
+         (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM c
+), w AS (SELECT arg_min(level, ratio) AS water FROM r WHERE cap > weight * level
+), t AS (SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, weight * water) END AS target FROM r, w
+), q AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-1|' || CAST(d.doc_id AS VARCHAR)), d.doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - source_size - before))
+            + greatest(0, least(size, quota - 2 * source_size - before)) AS BIGINT) AS taken
+FROM q
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +74,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_quality_rules, op5_simhash_dedup, op6_secret_scan, op7_pii, op9_packing, op10_substring_dedup)
+    for f in (op4_quality_rules, op5_simhash_dedup, op6_secret_scan, op7_pii, op8_source_mix, op9_packing, op10_substring_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_source_mix": OP8_SQL}
