@@ -62,7 +62,7 @@ def rolling(hashes: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
         parts.append((size, power, at))
         if 2 * size <= n:
             at = at[:-size] * power + at[size:]
-        power, size = power * power, 2 * size
+        power, size = np.uint64(int(power) ** 2 & (1 << 64) - 1), 2 * size
     for size, power, at in reversed(parts):
         if n & size:
             if out is None:
@@ -129,7 +129,7 @@ def _anchored(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, schema)
 
 
-def _phrase_texts(docs: DataFrame, wanted: DataFrame, span: int, gram: int) -> DataFrame:
+def _phrase_texts(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """For the chunks wanted of each document: the chunk's text, and its window hashes if it is to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +152,7 @@ def _phrase_texts(docs: DataFrame, wanted: DataFrame, span: int, gram: int) -> D
                     names=["anchor", "whole", "phrase", "windows"],
                 )
 
-    joined = docs.join(wanted, "row").select("text", "picked")
-    return joined.mapInArrow(run, "anchor long, whole long, phrase string, windows array<long>")
+    return docs.select("text", "picked").mapInArrow(run, "anchor long, whole long, phrase string, windows array<long>")
 
 
 def runs_of(phrase: str, flags: list[bool], span: int) -> list[str]:
@@ -195,7 +194,7 @@ def mark(texts: list[list[bytes]], phrases: list[set[str]]) -> list[np.ndarray]:
 
 
 def _stripped(docs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """(row, n_removed, kept_sha256) of the documents to which phrases are dealt."""
+    """(no, n_removed, kept_sha256) of the documents to which phrases are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,12 +211,12 @@ def _stripped(docs: DataFrame, dealt: DataFrame) -> DataFrame:
                 gone = mark(texts, phrases)
                 kept = [kept_digest([w for w, g in zip(t, m, strict=True) if not g]) for t, m in zip(texts, gone, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, batch.column(0).type), pa.array([int(m.sum()) for m in gone], pa.int64()), pa.array(kept)],
-                    names=["row", "n_removed", "kept_sha256"],
+                    [pa.array(rows, pa.int64()), pa.array([int(m.sum()) for m in gone], pa.int64()), pa.array(kept)],
+                    names=["no", "n_removed", "kept_sha256"],
                 )
 
-    return docs.join(dealt, "row").select("row", "text", "phrases").mapInArrow(
-        run, "row struct<id:long,dig:long>, n_removed long, kept_sha256 string"
+    return docs.join(dealt, "no").select("no", "text", "phrases").mapInArrow(
+        run, "no long, n_removed long, kept_sha256 string"
     )
 
 
@@ -227,36 +226,44 @@ def remove_repeats(
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs``."""
     key = F.struct(docs[id_column].cast("long").alias("id"), F.xxhash64(docs[text_column]).alias("dig"))
     docs = docs.select(key.alias("row"), docs[text_column].alias("text"))
-    each = saved(_anchored(docs, span, gram), "anchors")
+    each = _anchored(docs, span, gram).withColumn("no", F.monotonically_increasing_id())
+    each = saved(each, "anchors")  # from here on, ``no`` stands for the document
 
     # classes of equal word sequences
     same = each.where(F.col("n_words") >= span).groupBy("whole_sha256").agg(
-        F.min("row").alias("row"), F.count(F.lit(1)).alias("members")
+        F.min("no").alias("no"), F.count(F.lit(1)).alias("members")
     )
     same = saved(same, "classes")
     copied = same.where("members > 1").select("whole_sha256", F.lit(True).alias("copied"))
-    heads = same.select("row", (F.col("members") > 1).alias("known"))
+    heads = same.select("no", (F.col("members") > 1).alias("known"))
 
     # chunks of one document of each class
     every = (
-        each.join(heads, "row")
-        .select("row", "known", F.explode(F.arrays_zip("anchors", "wholes", "firsts", "counts")).alias("c"))
-        .select("row", "known", F.col("c.anchors").alias("anchor"), F.col("c.wholes").alias("whole"), F.col("c.firsts").alias("first"), F.col("c.counts").alias("count"))
+        each.join(heads, "no")
+        .select("no", "known", F.explode(F.arrays_zip("anchors", "wholes", "firsts", "counts")).alias("c"))
+        .select("no", "known", F.col("c.anchors").alias("anchor"), F.col("c.wholes").alias("whole"), F.struct("c.firsts", "c.counts").alias("at"))
     )
+    every = every.withColumn("at", F.col("at.firsts").cast("long") * (span + 1) + F.col("at.counts"))
     repeated = every.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("alike")
-    ).where("n > 1")
-    found = saved(every.join(repeated.select("anchor", "alike"), "anchor"), "chunks")
+    ).where("n > 1").select("anchor", "alike")
+    found = saved(every.join(saved(repeated, "repeated"), "anchor"), "chunks")
     kinds = found.groupBy("anchor", "whole").agg(
-        F.min(F.struct("row", "first", "count")).alias("at"), F.count(F.lit(1)).alias("n"), F.first("alike").alias("alike"),
-        F.min("known").alias("known"),
-    )
-    # A chunk is settled when nothing else shares its anchor. Chunks that are only in copied classes are compared with
-    # others but need no phrase of their own.
-    wanted = kinds.groupBy("at.row").agg(
-        F.collect_list(F.struct("anchor", "whole", "at.first", "at.count", F.col("alike").alias("settled"))).alias("picked")
+        F.min(F.struct("no", "at")).alias("of"), F.count(F.lit(1)).alias("n"), F.first("alike").alias("alike")
     )
-    texts = saved(_phrase_texts(docs, wanted, span, gram).join(kinds.select("anchor", "whole", "n"), ["anchor", "whole"]), "phrases")
+    kinds = saved(kinds, "kinds")
+    # A chunk is settled when all that share its anchor are equal to it.
+    wanted = kinds.groupBy("of.no").agg(
+        F.collect_list(
+            F.struct("anchor", "whole", F.floor(F.col("of.at") / (span + 1)).cast("int").alias("first"), (F.col("of.at") % (span + 1)).alias("count"), F.col("alike").alias("settled"))
+        ).alias("picked")
+    )
+    # texts of documents that lend a phrase or may lose one; all others stay where they are from here on
+    needed = found.where("not known").select("no").distinct().join(wanted, "no", "full")
+    needed = needed.join(each.select("no", "row"), "no")
+    texts_of = saved(docs.join(needed, "row").select("no", "text", "picked"), "texts")
+    texts = _phrase_texts(texts_of.where("picked is not null"), span, gram)
+    texts = saved(texts.join(kinds.select("anchor", "whole", "n"), ["anchor", "whole"]), "phrases")
 
     # windows of chunks that share an anchor but differ
     open_ = texts.where(F.size("windows") > 0)
@@ -283,16 +290,16 @@ def remove_repeats(
     )
     confirmed = whole.unionByName(partly)
     dealt = (
-        found.where(~F.col("known")).select("anchor", "whole", "row").distinct()
+        found.where("not known").select("anchor", "whole", "no").distinct()
         .join(confirmed, ["anchor", "whole"])
-        .groupBy("row").agg(F.collect_list("phrases").alias("phrases"))
+        .groupBy("no").agg(F.collect_list("phrases").alias("phrases"))
     )
-    stripped = _stripped(docs, dealt)
+    stripped = _stripped(texts_of, dealt)
 
     return (
-        each.select("row", "n_words", "whole_sha256")
+        each.select("no", "row", "n_words", "whole_sha256")
         .join(copied, "whole_sha256", "left")
-        .join(stripped, "row", "left")
+        .join(stripped, "no", "left")
         .select(
             F.col("row.id").alias("doc_id"),
             F.col("n_words").cast("long").alias("n_words"),
