@@ -7,10 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, phrases, pii, quality, secret_scan, simhash
+from . import chat, mixing, packing, phrases, pii, quality, secret_scan, simhash, tiff, toxicity
 from .common import load
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_tricky(load(spark, sf_dir, "conversations"))
+    found = chat.digests(chat.format_conversations(turns))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+# In the formatted text, each of the three special characters takes one more, and the template adds a fixed number of
+# characters for each role.
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[<\[\\]')) AS escaped FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(escaped + CASE WHEN role = 'user' THEN 18 WHEN role = 'assistant' THEN 6 WHEN role = 'system' THEN 16
+                               WHEN role IS NULL THEN 18
+                               ELSE 22 + length(role) + len(regexp_extract_all(role, '[<\[\\]')) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tiff.text_media(load(spark, sf_dir, "documents"))
+    found = tiff.digests(tiff.pages(files, carry=["doc_id", "n_bytes"]))
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
+def toxicity_grammar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Grammar:
+    """Learned from the labels of documents that are not held out."""
+    labels = load(spark, sf_dir, "labels").where(~toxicity.held_out())
+    return toxicity.learn(docs, labels)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    scored = toxicity.scores(docs.select("doc_id", "text"), toxicity_grammar(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(load(spark, sf_dir, "documents"))
 
@@ -72,8 +121,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(load(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), again AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1
+), hit AS (SELECT doc_id, i FROM g JOIN again USING (h)
+), gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, k: ps IS NULL OR NOT list_contains(ps, k)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_quality_rules, op5_simhash_dedup, op6_secret_scan, op7_pii, op8_source_mix, op9_packing, op10_substring_dedup)
-}
-ORACLES: dict[str, str] = {"op8_source_mix": OP8_SQL}
+    for f in (
+        op1_chat_format, op2_tiff_media, op3_toxicity, op4_quality_rules, op5_simhash_dedup, op6_secret_scan, op7_pii,
+        op8_source_mix, op9_packing, op10_substring_dedup,
+    )
+}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op8_source_mix": OP8_SQL, "op10_substring_dedup": OP10_SQL}
