@@ -21,6 +21,7 @@ are read.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -35,7 +36,7 @@ CAPACITY = 4096
 #: Tokens packed together; a task holds about this many ids.
 BLOCK_TOKENS = 1 << 20
 #: Words of which a worker remembers the ids; words met later are encoded each time.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 1_600_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (attention stays inside a piece).
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
@@ -46,44 +47,44 @@ SCHEMA = (
 
 
 class Memo(dict):
-    """Ids by word, as little-endian bytes."""
+    """Ids by word, as little-endian bytes, encoded when first asked for; none is added while the memo is full."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-
-    def learn(self, words: list[str]) -> None:
-        """Adds words. Letters alone are one token run each, so such words are encoded together and cut apart."""
-        runs = list({w if w.islower() else w.lower() for x in words if _plain(w := x[:-1] if x[-1:] in _MARKS else x)})
-        if runs:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(runs):
-                raw, at = ids.tobytes(), 0
-                for w, to in zip(runs, (cuts * 4).tolist(), strict=True):
-                    self[w] = raw[at:to]
-                    at = to
-        for w in words:
-            self[w] = self._ids(w)
-
-    def _ids(self, w: str) -> bytes:
-        if (ids := self.get(w)) is not None:
-            return ids
-        if w[-1:] in _MARKS and (head := self.get(w[:-1].lower())) is not None and _plain(w[:-1]):
-            return head + self._ids(w[-1])
-        if (ids := self.get(w.lower())) is not None and _plain(w):
-            return ids
-        return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-#: Marks that may follow a word; each is a token run of its own there.
-_MARKS = (".", ",")
-
-
-def _plain(w: str) -> bool:
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._ids(word)
+        if len(self) < MEMO_WORDS:
+            self[word] = ids
+        return ids
+
+    def _ids(self, word: str) -> bytes:
+        if plain(word):  # one token run, which the model takes as it is but for case
+            low = word.lower()
+            if low != word:
+                return self[low]
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = [t.id for t in self.model.tokenize(low)]
+        elif word[-1:] in (".", ",") and plain(word[:-1]):  # the mark is a token run of its own
+            return self[word[:-1]] + self[word[-1]]
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies spell bytes that print as themselves, and the others, in order, from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def plain(w: str) -> bool:
     """Letters only, of which lower case can be taken before the tokenizer takes it (letter by letter, after NFC)."""
     if not w.isalpha():
         return False
@@ -101,14 +102,7 @@ def memo_of(path: str) -> Memo:
 def encode(text: str | None, memo: Memo, end_id: int) -> np.ndarray:
     """The ids of a whole text, then ``end_id``."""
     words = (text or "").replace("\n", " ").split(" ")
-    full = len(memo) > MEMO_WORDS
-    if new := [w for w in words if w not in memo]:
-        before = len(memo)
-        memo.learn(new)
     found = b"".join(map(memo.__getitem__, words)) + end_id.to_bytes(4, "little")
-    if new and full:
-        for _ in range(len(memo) - before):
-            memo.popitem()  # the last ones added
     return np.frombuffer(found, "<u4")
 
 
