@@ -287,3 +287,168 @@ def near_duplicates(
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- similar documents
+
+#: Bits of the wide fingerprint, and how many may differ: two texts whose shingle sets have a Jaccard similarity of 0.8
+#: differ in acos(8 / 9) / pi of the bits, about 19 of 128.
+WIDE_BITS, WIDE_MOST = 128, 21
+#: Differing bits allowed in the first half, by which the index prunes (the whole is compared afterwards).
+HALF_MOST = 17
+#: Share of differing bits for which an index of random masks finds a pair with RECALL.
+SHARE, RECALL = 0.12, 0.95
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
+    """The two halves of a 128-bit SimHash of a text's distinct shingles (XXH3)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, 0
+    digest = xxhash.xxh3_128_digest
+    n = max(1, len(words) - shingle + 1)
+    hashes = {digest(b" ".join(words[i : i + shingle])) for i in range(n)}
+    raw = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 16)
+    counts = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(raw), 32768):
+        counts += np.unpackbits(raw[at : at + 32768], axis=1).sum(axis=0, dtype=np.int64)
+    whole = np.packbits(2 * counts > len(raw)).tobytes()
+    return int.from_bytes(whole[:8], "big"), int.from_bytes(whole[8:], "big")
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, fp, fp2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, 2)
+            halves = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *halves], names=["doc_id", "fp", "fp2"])
+
+    pair = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
+    return pair.mapInArrow(run, "doc_id long, fp long, fp2 long")
+
+
+def random_masks(bits: int, share: float = SHARE, recall: float = RECALL, seed: int = 5) -> list[tuple[int, int]]:
+    """As many masks of ``bits`` random bits (two halves each) as find a pair with the given share of differing bits."""
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** bits)))
+    return _with_bits([(0, 0)], bits, tables, np.random.default_rng(seed))
+
+
+def _with_bits(masks: list[tuple[int, int]], bits: int, each: int, rng: np.random.Generator) -> list[tuple[int, int]]:
+    out = []
+    for a, b in masks:
+        free = [i for i in range(WIDE_BITS) if not (a if i < BITS else b) >> i % BITS & 1]
+        for _ in range(each):
+            picked = rng.choice(free, min(bits, len(free)), replace=False).tolist()
+            out.append((a | sum(1 << i for i in picked if i < BITS), b | sum(1 << i - BITS for i in picked if i >= BITS)))
+    return out
+
+
+def _similar_edges(batches: Iterator[pa.RecordBatch], most: int, half_most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, no, fp, fp2) with equal keys together, in Gray order -> edges (no, smaller no in its set)."""
+    held = np.empty((0, 4), np.int64)
+
+    def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bounds = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, len(rows)]
+        out = []
+        for at, to in zip(bounds[:-1], bounds[1:], strict=True):
+            one, two = (np.ascontiguousarray(rows[at:to, i]).view(np.uint64) for i in (2, 3))
+            label = np.arange(to - at)
+            index, step = GrayIndex(one), max(1, min(256, (1 << 20) // (to - at)))
+            for q0 in range(0, to - at, step):
+                q, found = index.matches(one[q0 : q0 + step], half_most)
+                near = np.bitwise_count(one[q + q0] ^ one[found]) + np.bitwise_count(two[q + q0] ^ two[found]) <= most
+                join_sets(label, q[near] + q0, found[near])
+            moved = np.flatnonzero(label != np.arange(to - at))
+            out.append(np.stack([rows[at:to, 1][moved], rows[at:to, 1][label[moved]]], axis=1))
+        found = np.concatenate(out)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], names=["a", "b"])
+
+    for batch in batches:
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+        rows = np.concatenate([held, rows])
+        if not len(rows):
+            continue
+        last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield from flush(rows[:cut])
+        held = rows[cut:]
+    if len(held):
+        yield from flush(held)
+
+
+def _thinned(rows: DataFrame, most: int, half_most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that are left of groups still too large, edges) of rows (key, n, m, no, fp, fp2) in groups that are too large.
+
+    A large group is either many copies of few texts or many texts. It is cut at random into pieces of GROUP_LIMIT,
+    whose members join; one of each set goes on, and pieces are cut anew as long as that halves them. Copies so melt to
+    a few rows, without multiplying; what stays large is many texts, which more bits tell apart.
+    """
+    edges = None
+    for turn in range(16):
+        pieces = F.pmod(F.xxhash64("no", F.lit(turn)), F.ceil(F.col("n") / GROUP_LIMIT))
+        found = saved(
+            rows.select(F.xxhash64("key", pieces).alias("piece"), "no", "fp", "fp2", "key").repartition("piece")
+            .sortWithinPartitions("piece", gray_rank(F.col("fp")), "fp2").select("piece", "no", "fp", "fp2")
+            .mapInArrow(lambda batches: _similar_edges(batches, most, half_most), "a long, b long"), "thinning",
+        )
+        edges = found if edges is None else edges.unionByName(found)
+        before = rows.count()
+        left = rows.join(found.select(F.col("a").alias("no")).distinct(), "no", "left_anti").drop("n")
+        left = saved(left, "thinned")
+        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        rows = saved(left.join(sizes.where(F.col("n") > 1), "key"), "thinned-sizes")
+        after = rows.count()
+        if not after or after > before / 2:
+            break
+    return rows, edges
+
+
+def similar_documents(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, most: int = WIDE_MOST,
+    half_most: int = HALF_MOST,
+) -> DataFrame:
+    """(doc_id, component_id): texts of a shingle similarity of about 0.8 or more share a component.
+
+    Unlike ``near_duplicates``, whose few bits allow an exact deal, this takes more bits, more differences and an index
+    of random masks: as many as find a pair with 12 % differing bits with a probability of 0.95 (closer ones surer).
+    Masks lengthen with the number of fingerprints, so groups stay small; groups that are large all the same, as of many
+    near copies of one text, are dealt again by more bits.
+    """
+    each = saved(wide_fingerprints(docs, shingle, id_column, text_column), "wide")
+    prints = each.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first"))
+    prints = saved(prints.withColumn("no", F.monotonically_increasing_id()), "wide-distinct")
+    bits = int(np.clip(np.ceil(np.log2(max(prints.count(), 2))) - 3, 8, 32))
+    rng = np.random.default_rng(11)
+    masks, out = random_masks(bits), None
+    keyed = prints.select("no", "fp", "fp2", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("m"))
+    while True:
+        ones, twos = (F.array(*(F.lit(_signed(x[i])) for x in masks)) for i in (0, 1))
+        half = lambda name, table: F.col(name).bitwiseAND(F.get(table, F.col("m")))
+        keyed = keyed.withColumn("key", F.xxhash64("m", half("fp", ones), half("fp2", twos)))
+        counted = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m")).where("n > 1"), "wide-groups")
+        small = keyed.join(counted.where(F.col("n") <= GROUP_LIMIT).select("key"), "key")
+        found = (
+            small.select("key", "no", "fp", "fp2").repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")), "fp2")
+            .mapInArrow(lambda batches: _similar_edges(batches, most, half_most), "a long, b long")
+        )
+        out = found if out is None else out.unionByName(found)
+        large = counted.where(F.col("n") > GROUP_LIMIT).select("key", "n")
+        if large.isEmpty():
+            break
+        keyed, more = _thinned(keyed.join(large, "key"), most, half_most)
+        out = out.unionByName(more)
+        hot = sorted(r[0] for r in keyed.select("m").distinct().collect())  # of the masks
+        if not hot:
+            break
+        finer, first = _with_bits([masks[m] for m in hot], 6, 8, rng), F.create_map(*[F.lit(x) for i, m in enumerate(hot) for x in (m, 8 * i)])
+        keyed = saved(keyed.select("no", "fp", "fp2", F.explode(F.sequence(first[F.col("m")], first[F.col("m")] + 7)).alias("m")), "wide-finer")
+        masks = finer
+    roots = components(out.distinct())
+    rooted = prints.join(roots, prints["no"] == roots["node"], "left").select("fp", "fp2", "first", F.coalesce("root", "no").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "root").select("fp", "fp2", "component_id")
+    return each.join(named, ["fp", "fp2"]).select("doc_id", "component_id")

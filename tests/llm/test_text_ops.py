@@ -179,3 +179,28 @@ def test_automata_shards(monkeypatch):
     text = b"a b c d e a b c".split()
     marks = phrases.mark([text, b"x b c".split()], [{"a b c", "d e"}, set()])
     assert marks[0].tolist() == [True] * 8 and not marks[1].any()
+
+
+def test_similar_documents(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    base = [list(rng.choice(vocabulary, 300)) for _ in range(40)]
+    rows = []
+    for i, words in enumerate(base):
+        rows.append((10 * i, " ".join(words)))
+        for k in (1, 2, 3):  # one to three changed words of 300: similarities of about 0.97 to 0.9
+            copy = list(words)
+            for at in rng.choice(300, k, replace=False):
+                copy[at] = "changed"
+            rows.append((10 * i + k, " ".join(copy).upper()))
+    rows += [(9001, None), (9002, ""), (9003, "one"), (9004, "one"), (None, rows[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (4096, 3):
+        monkeypatch.setattr(simhash, "GROUP_LIMIT", limit)
+        got = simhash.similar_documents(frame).collect()
+        assert len(got) == len(rows)
+        wrong = sum(r.component_id != r.doc_id // 10 * 10 for r in got if r.doc_id is not None and r.doc_id < 9000)
+        assert wrong <= 4
+        odd = {r.doc_id: r.component_id for r in got if r.doc_id is None or r.doc_id > 9000}
+        assert odd == {9001: 9001, 9002: 9001, 9003: 9003, 9004: 9003, None: 0}
+    assert simhash.similar_documents(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
