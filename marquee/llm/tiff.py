@@ -336,9 +336,11 @@ def figures(pixels: np.ndarray) -> tuple[float, float, float, str]:
 
 
 def pages(files: DataFrame, content_column: str = "content", carry: list[str] | None = None) -> DataFrame:
-    """One row per page: the columns of ``carry``, then PAGE_COLUMNS."""
+    """One row per page: the columns of ``carry``, then PAGE_COLUMNS. A carried column named like one of these is named
+    ``carried_`` and its name."""
     carry = carry or []
-    fields = [files.schema[c] for c in carry]
+    taken = {x.split()[0] for x in PAGE_COLUMNS.split(", ")}
+    fields = [T.StructField(f"carried_{c}" if c in taken else c, files.schema[c].dataType) for c in carry]
     schema = T.StructType(fields + T.StructType.fromDDL(PAGE_COLUMNS).fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -234,9 +234,7 @@ def grammar_of_share(positive: float, n: int) -> Grammar:
 
 
 def scores(docs: DataFrame, grammar: Grammar, text_column: str = "text") -> DataFrame:
-    """Adds ``score`` to ``docs``: all columns pass through, and each row is read by itself."""
-    if "score" in docs.columns:
-        raise ValueError("docs has a column named score")
+    """Adds ``score`` to ``docs`` (in place of a column of that name): all others pass through."""
 
     @F.pandas_udf("double")
     def score(texts):

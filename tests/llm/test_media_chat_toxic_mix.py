@@ -113,6 +113,7 @@ def test_big_endian_and_broken_files(spark):
     assert got[6] == [(0, True), (1, False)]
     assert all(got[i] == [(None, False)] for i in (2, 3, 4, 5, 7))
     assert tiff.pages(frame.limit(0), carry=["doc_id"]).count() == 0
+    assert {r.carried_page for r in tiff.pages(frame, carry=["page"]).collect()} == {"k", None}
 
 
 def test_text_media(spark, sf_dir):
