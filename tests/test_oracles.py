@@ -9,10 +9,10 @@ import pytest
 from marquee.plans.registry import ORACLES, QUERIES
 
 
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
-    return sorted((tuple(map(clean, r)) for r in frame.itertuples(index=False)), key=str)
+def rows(names, values):
+    order = sorted(range(len(names)), key=names.__getitem__)
+    clean = lambda v: None if v is None or v != v else repr(v) if isinstance(v, float) else str(v)
+    return sorted((tuple(clean(r[i]) for i in order) for r in values), key=str)
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +25,10 @@ def database(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf_dir, database, name):
-    got, want = QUERIES[name](spark, sf_dir).toPandas(), database.execute(ORACLES[name]).fetchdf()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
+    got, want = QUERIES[name](spark, sf_dir), database.execute(ORACLES[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
