@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import dot, norm, normalized, quantized
 from ..schema import TEMPERATURE
 
-#: Vectors in a block of queries and of the catalog.
+#: Queries in one product, and vectors in a block of the catalog.
 QUERY_BLOCK, CATALOG_BLOCK = 2048, 16384
 
 
@@ -38,19 +38,41 @@ def fused(text, image=None):
     return F.when(norm(total) > 0, normalized(total)).otherwise(total)
 
 
-def _blocks(rows: DataFrame, size: int, columns: list[str], key: str) -> DataFrame:
-    """Rows gathered into arrays of about ``size``; the number of blocks follows from a count."""
-    blocks = max(1, -(-rows.count() // size))
+def _blocks(rows: DataFrame, blocks: int, columns: list[str], key: str) -> DataFrame:
+    """Rows dealt by key and gathered into one row of arrays for each block."""
     return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(
         *(F.collect_list(c).alias(c) for c in columns)
     ).drop("block")
 
 
-def top_candidates(queries: DataFrame, catalog: DataFrame, query_block: int = QUERY_BLOCK, catalog_block: int = CATALOG_BLOCK) -> DataFrame:
-    """(query_id, item_id, score) for each query (query_id, q, want): its best ``want`` items of every catalog block."""
-    q = _blocks(queries.where("want > 0"), query_block, ["query_id", "q", "want"], "query_id")
-    c = _blocks(catalog, catalog_block, ["item_id", "v"], "item_id")
-    pairs = q.repartition(max(1, q.sparkSession.sparkContext.defaultParallelism)).join(c)  # every block with every block
+def _best(score: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's ``want`` highest scores; of equal ones, the first."""
+    rows, columns = [], []
+    for r, n in enumerate(np.minimum(want, score.shape[1]).tolist()):
+        line = score[r]
+        best = np.arange(len(line))
+        if n < len(line):
+            least = np.partition(line, len(line) - n)[len(line) - n]
+            above = np.flatnonzero(line > least)
+            best = np.r_[above, np.flatnonzero(line == least)[: n - len(above)]]
+        rows.append(np.full(len(best), r))
+        columns.append(best)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def top_candidates(
+    queries: DataFrame, catalog: DataFrame, query_blocks: int | None = None, catalog_block: int = CATALOG_BLOCK
+) -> DataFrame:
+    """(query_id, item_id, score) for each query (query_id, q, want): its best ``want`` items of every catalog block.
+
+    Queries go into as many blocks as there are shuffle partitions, without being counted first; the catalog's number of
+    blocks follows from a count of its rows.
+    """
+    spark = queries.sparkSession
+    query_blocks = query_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = _blocks(queries.where("want > 0"), query_blocks, ["query_id", "q", "want"], "query_id")
+    c = _blocks(catalog, max(1, -(-catalog.count() // catalog_block)), ["item_id", "v"], "item_id")
+    pairs = q.join(c)  # every block with every block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,25 +81,15 @@ def top_candidates(queries: DataFrame, catalog: DataFrame, query_block: int = QU
                 want = batch.column(2)[i].values.to_numpy()
                 a = batch.column(1)[i].values.flatten().to_numpy().reshape(len(ids), -1)
                 b = batch.column(4)[i].values.flatten().to_numpy().reshape(len(items), -1)
-                score = np.floor(a @ b.T * 1e6 + 0.5) / 1e6
                 order = np.argsort(items, kind="stable")
-                items, score = items[order], score[:, order]
-                rows, cols = [], []
-                for r, n in enumerate(np.minimum(want, len(items)).tolist()):
-                    line = score[r]
-                    if n < len(line):
-                        least = np.partition(line, len(line) - n)[len(line) - n]
-                        above = np.flatnonzero(line > least)
-                        best = np.r_[above, np.flatnonzero(line == least)[: n - len(above)]]
-                    else:
-                        best = np.arange(len(line))
-                    rows.append(np.full(len(best), r))
-                    cols.append(best)
-                rows, cols = np.concatenate(rows), np.concatenate(cols)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(items[cols]), pa.array(score[rows, cols])],
-                    names=["query_id", "item_id", "score"],
-                )
+                items, b = items[order], b[order]
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    score = np.floor(a[at : at + QUERY_BLOCK] @ b.T * 1e6 + 0.5) / 1e6
+                    rows, columns = _best(score, want[at : at + QUERY_BLOCK])
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(rows + at)), pa.array(items[columns]), pa.array(score[rows, columns])],
+                        names=["query_id", "item_id", "score"],
+                    )
 
     return pairs.mapInArrow(run, "query_id long, item_id long, score double")
 
