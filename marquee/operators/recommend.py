@@ -178,6 +178,29 @@ def variants(users: DataFrame, fraction: float = 0.5) -> DataFrame:
     return users.select("user_id", ab_variant(F.col("user_id"), fraction).alias("variant")).distinct()
 
 
+def served(
+    users: DataFrame, model: DataFrame | None, popular: DataFrame, fraction: float = 0.5, force: str | None = None, fallback: bool = True
+) -> DataFrame:
+    """The recommendations that each user's variant serves, with the variant that served them.
+
+    ``force`` overrides the assignment. Users of the generative variant for whom the model has nothing, or all of them
+    without a model, get popularity; without ``fallback``, a missing model is an error.
+    """
+    if force not in (None, "generative", "popularity"):
+        raise ValueError(f"no variant {force}")
+    if model is None and not fallback:
+        raise RuntimeError("the model is not available")
+    assigned = variants(users, fraction) if force is None else users.select("user_id", F.lit(force).alias("variant")).distinct()
+    columns = ["user_id", "item_id", "score", "rank"]
+    if model is None:
+        return popular.join(assigned, "user_id", "left_semi").select(*columns, F.lit("popularity").alias("variant"))
+    generative = assigned.where("variant = 'generative'").join(model.select("user_id").distinct(), "user_id", "left_semi")
+    by_model = model.join(generative.select("user_id"), "user_id", "left_semi").select(*columns, F.lit("generative").alias("variant"))
+    rest = assigned.join(generative, "user_id", "left_anti")
+    by_count = popular.join(rest.select("user_id"), "user_id", "left_semi").select(*columns, F.lit("popularity").alias("variant"))
+    return by_model.unionByName(by_count)
+
+
 def overlap_audit(recommended: DataFrame, seen: DataFrame) -> DataFrame:
     """Recommended items that were seen: must be empty."""
     return recommended.select("user_id", "item_id").join(seen, ["user_id", "item_id"], "left_semi")

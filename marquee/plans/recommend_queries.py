@@ -171,3 +171,39 @@ SELECT user_id, item_id, CASE WHEN rtitle IS NULL THEN 'Add more films to your l
 def explain_text(m: Model) -> DataFrame:
     rows = explain.explained(_pairs(m), m.library, m.items)
     return rows.select("user_id", "item_id", "explanation", joined("reasons").alias("reasons"))
+
+
+@query(f"""+ {AB}, {COLD} SELECT user_id, item_id, score, rank, 'generative' AS variant FROM warm JOIN v USING (user_id) WHERE rank <= 10 AND variant = 'generative'
+UNION ALL SELECT user_id, item_id, CAST(total - prank + 1 AS DOUBLE), place, 'popularity' FROM cold JOIN v USING (user_id)
+WHERE place <= 10 AND (variant = 'popularity' OR user_id NOT IN (SELECT user_id FROM seqs))""", *WARM[:-3], "pop", *WARM[-3:])
+def recs_by_variant(m: Model) -> DataFrame:
+    popular = recommend.popular_for_users(m.interactions, m.ranking, m.seen, 10)
+    return recommend.served(m.interactions, m.candidates, popular)
+
+
+@query(f"""+ {PROFILE}, {OVERLAP}, lk AS (SELECT *, lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, interaction_id) AS before FROM inter WHERE source = 'library'
+), lh AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, interaction_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM lk WHERE before IS NULL OR before <> item_id
+), lp AS (SELECT user_id, i, sum(v[i]) AS x FROM lh JOIN unit USING (item_id), range(1, 65) r(i) WHERE pos > n - 50 AND item_id < 80 GROUP BY user_id, i
+), lq AS (SELECT user_id, list(x / greatest(len, 1e-12) ORDER BY i) AS q FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS len FROM lp) GROUP BY user_id
+), le AS (SELECT DISTINCT user_id, item_id FROM inter WHERE source IN ('library', 'dismissed')
+), ls AS (SELECT user_id, item_id, floor(list_dot_product(q, v) * 1e6 + 0.5) / 1e6 AS score FROM lq, unit WHERE item_id < 80
+), lw AS (SELECT ls.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS prior FROM ls ANTI JOIN le USING (user_id, item_id)
+), sc AS (SELECT user_id, item_id, prior, score + coalesce(overlap, 0) AS score FROM lw LEFT JOIN ov USING (user_id, item_id) WHERE prior <= 10)
+SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, prior) AS rank FROM sc""", "items", "inter", "emb", "unit")
+def recs_library_mode(m: Model) -> DataFrame:
+    history = library.library_history(m.interactions)
+    queries = recommend.mean_vectors(history, m.units)
+    return recommend.recommend_in_library(
+        history, queries, m.units, library.excluded(m.interactions), m.items, library.genre_profile(m.library), 10
+    )
+
+
+@query(f"""+ {COLD} SELECT user_id, item_id, score AS rank_score, coalesce(1 - (p.rank - 1) / p.total, 0) AS popularity_rank_norm FROM warm w JOIN pop p USING (item_id) WHERE w.rank <= 3""",
+       *WARM[:-3], "pop", *WARM[-3:])
+def explain_features(m: Model) -> DataFrame:
+    """Without a ranker, the rank score is the retrieval score."""
+    from ..operators import rank, sequences
+
+    top = m.candidates.where("rank <= 3").select("user_id", "item_id", "score")
+    rows = rank.features(top, sequences.last(m.seqs), m.items, m.ranking, m.units)
+    return explain.feature_explanation(top, rows).select("user_id", "item_id", "rank_score", "popularity_rank_norm")

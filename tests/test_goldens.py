@@ -266,3 +266,16 @@ def test_ranker(spark):
     best = rank.rerank(model, frame, 2)
     assert best.count() == 20 and abs(sum(rank.importance(model).values()) - 1) < 1e-9
     assert rank.auc(spark.createDataFrame([(0.1, 0.0), (0.9, 1.0), (0.5, 1.0), (0.5, 0.0)], "score double, label double")).first()[0] == 0.875
+
+
+def test_serving_policy(spark):
+    users = spark.createDataFrame([(1,), (2,)], "user_id bigint")
+    recs = lambda rows: spark.createDataFrame([(u, i, 1.0, 1) for u, i in rows], "user_id bigint, item_id bigint, score double, rank bigint")
+    model, popular = recs([(1, 7)]), recs([(1, 5), (2, 5)])
+    out = lambda *a, **k: {(r.user_id, r.item_id, r.variant) for r in recommend.served(users, *a, **k).collect()}
+    assert out(model, popular, force="generative") == {(1, 7, "generative"), (2, 5, "popularity")}
+    assert out(model, popular, force="popularity") == out(None, popular) == {(1, 5, "popularity"), (2, 5, "popularity")}
+    with pytest.raises(ValueError, match="variant"):
+        recommend.served(users, model, popular, force="x")
+    with pytest.raises(RuntimeError, match="model"):
+        recommend.served(users, None, popular, fallback=False)
