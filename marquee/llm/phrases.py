@@ -244,16 +244,13 @@ def remove_repeats(
         .select("no", "known", F.col("c.anchors").alias("anchor"), F.col("c.wholes").alias("whole"), F.struct("c.firsts", "c.counts").alias("at"))
     )
     every = every.withColumn("at", F.col("at.firsts").cast("long") * (span + 1) + F.col("at.counts"))
-    repeated = every.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("alike")
-    ).where("n > 1").select("anchor", "alike")
+    repeated = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     found = saved(every.join(saved(repeated, "repeated"), "anchor"), "chunks")
-    kinds = found.groupBy("anchor", "whole").agg(
-        F.min(F.struct("no", "at")).alias("of"), F.count(F.lit(1)).alias("n"), F.first("alike").alias("alike")
-    )
+    kinds = found.groupBy("anchor", "whole").agg(F.min(F.struct("no", "at")).alias("of"), F.count(F.lit(1)).alias("n"))
     kinds = saved(kinds, "kinds")
+    alike = kinds.groupBy("anchor").agg((F.count(F.lit(1)) == 1).alias("alike"))
     # A chunk is settled when all that share its anchor are equal to it.
-    wanted = kinds.groupBy("of.no").agg(
+    wanted = kinds.join(alike, "anchor").groupBy("of.no").agg(
         F.collect_list(
             F.struct("anchor", "whole", F.floor(F.col("of.at") / (span + 1)).cast("int").alias("first"), (F.col("of.at") % (span + 1)).alias("count"), F.col("alike").alias("settled"))
         ).alias("picked")

@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import listing, truncate
 
+# Wording of explanations: fixed values.
+NO_TITLE = "this movie"
+TASTE = "Matches your taste for {}."
+VIBE = "Similar vibe to {} ({})."
+PAIRED = "Pairs well with {} from your library."
+BESIDE = "Fits alongside {} in your library."
+FITS = "{} fits your {} picks — especially if you liked {}."
+EMPTY = "Add more films to your library so we can explain why {} might suit your taste."
+REASON_LENGTH, TEXT_LENGTH, LIBRARY_GAP = 90, 140, 50
+
+
+def _filled(wording: str, *values):
+    """A wording with columns in its gaps; null if one of them is."""
+    parts = wording.split("{}")
+    return F.concat(F.lit(parts[0]), *(x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))))
+
 
 def related(pairs: DataFrame, library: DataFrame, items: DataFrame, most: int = 3) -> DataFrame:
     """(user_id, item_id, place, title, genres): library entries nearest to the item, by shared genres, then year gap.
@@ -18,7 +34,7 @@ def related(pairs: DataFrame, library: DataFrame, items: DataFrame, most: int =
     rows = target.join(own, "user_id")
     empty = F.array().cast("array<string>")
     overlap = F.size(F.array_intersect(F.coalesce("genres", empty), F.coalesce("tg", empty)))
-    gap = F.when(F.col("ty").isNotNull(), F.abs(F.col("ty") - F.coalesce("ey", "ty"))).otherwise(50)
+    gap = F.when(F.col("ty").isNotNull(), F.abs(F.col("ty") - F.coalesce("ey", "ty"))).otherwise(LIBRARY_GAP)
     w = Window.partitionBy("user_id", "item_id").orderBy(F.desc(overlap), gap, F.desc("ts"), F.desc("interaction_id"))
     rows = rows.withColumn("place", F.row_number().over(w).cast("bigint"))
     return rows.where(F.col("place") <= most).select("user_id", "item_id", "place", "title", "genres")
@@ -46,26 +62,22 @@ def explained(pairs: DataFrame, library: DataFrame, items: DataFrame) -> DataFra
         .join(top, ["user_id", "item_id"], "left")
     )
     empty = F.array().cast("array<string>")
-    title, anchor = F.coalesce("title", F.lit("this movie")), F.col("anchor.title")
+    title, anchor = F.coalesce("title", F.lit(NO_TITLE)), F.col("anchor.title")
     shared = F.coalesce("shared", empty)
     lead = F.element_at(shared, 1)
     common = F.array_sort(F.array_intersect(F.coalesce("anchor.genres", empty), F.coalesce("genres", empty)))
-    taste = F.when(F.size(shared) > 0, F.concat(F.lit("Matches your taste for "), lead, F.lit(".")))
+    taste = F.when(F.size(shared) > 0, _filled(TASTE, lead))
     beside = (
-        F.when(F.size(common) > 0, F.concat(F.lit("Similar vibe to "), anchor, F.lit(" ("), listing(F.slice(common, 1, 2)), F.lit(").")))
-        .when(F.size(shared) > 0, F.concat(F.lit("Pairs well with "), anchor, F.lit(" from your library.")))
-        .otherwise(F.concat(F.lit("Fits alongside "), anchor, F.lit(" in your library.")))
+        F.when(F.size(common) > 0, _filled(VIBE, anchor, listing(F.slice(common, 1, 2))))
+        .when(F.size(shared) > 0, _filled(PAIRED, anchor))
+        .otherwise(_filled(BESIDE, anchor))
     )
-    reasons = F.transform(F.array_compact(F.array(taste, beside)), lambda r: truncate(r, 90))
+    reasons = F.transform(F.array_compact(F.array(taste, beside)), lambda r: truncate(r, REASON_LENGTH))
     no_library = anchor.isNull()
-    said = F.when(
-        F.size(shared) > 0,
-        F.concat(title, F.lit(" fits your "), lead, F.lit(" picks — especially if you liked "), anchor, F.lit(".")),
-    ).otherwise(F.element_at(reasons, 1))
-    add = F.concat(F.lit("Add more films to your library so we can explain why "), title, F.lit(" might suit your taste."))
+    said = F.when(F.size(shared) > 0, _filled(FITS, title, lead, anchor)).otherwise(F.element_at(reasons, 1))
     return rows.select(
         "user_id", "item_id", title.alias("title"),
-        F.when(no_library, add).otherwise(truncate(said, 140)).alias("explanation"),
+        F.when(no_library, _filled(EMPTY, title)).otherwise(truncate(said, TEXT_LENGTH)).alias("explanation"),
         F.when(no_library, empty).otherwise(reasons).alias("reasons"),
         F.when(no_library, empty).otherwise(shared).alias("shared"),
         F.coalesce("related", empty).alias("related"),

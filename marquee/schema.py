@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Parameters of the model: fixed values.
 INTERACTION_TYPES = ("view", "rating", "tag", "click", "purchase")
 MIN_RATING, MIN_INTERACTIONS, MAX_SEQ_LEN = 3.5, 3, 50
 TRAIN_RATIO, VAL_RATIO, SPLIT_SEED = 0.8, 0.1, 42
@@ -16,6 +17,7 @@ CANONICAL_GENRES = (
     "Horror", "Musical", "Mystery", "Romance", "Sci-Fi", "Thriller", "War", "Western",
 )
 
+# Columns and keys of the sources: fixed values.
 MOVIES_CSV = "movieId int, title string, genres string"
 LINKS_CSV = "movieId int, imdbId string, tmdbId int"
 RATINGS_CSV = "userId int, movieId int, rating double, timestamp bigint"
