@@ -284,7 +284,8 @@ def near_duplicates(
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so the join has exchanges of its own, which Spark splits where one component is very large
+    smallest = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -449,6 +450,7 @@ def similar_documents(
         masks = finer
     roots = components(out.distinct())
     rooted = prints.join(roots, prints["no"] == roots["node"], "left").select("fp", "fp2", "first", F.coalesce("root", "no").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so the join has exchanges of its own, which Spark splits where one component is very large
+    smallest = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     named = rooted.join(smallest, "root").select("fp", "fp2", "component_id")
     return each.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
