@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 CAPACITY = 4096
 #: Tokens packed together; a task holds about this many ids.
 BLOCK_TOKENS = 1 << 20
-#: Words of which a worker remembers the ids; words met later are encoded each time.
-MEMO_WORDS = 1_600_000
+#: Words of which a worker remembers the ids (some 70 MB); when as many are known it starts afresh, so that its memory
+#: stays bounded in workers that go on to other stages, and the frequent words are soon known again.
+MEMO_WORDS = 400_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (attention stays inside a piece).
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
@@ -47,7 +48,7 @@ SCHEMA = (
 
 
 class Memo(dict):
-    """Ids by word, as little-endian bytes, encoded when first asked for; none is added while the memo is full."""
+    """Ids by word, as little-endian bytes, encoded when first asked for; a full memo is emptied."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -55,8 +56,9 @@ class Memo(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self._ids(word)
-        if len(self) < MEMO_WORDS:
-            self[word] = ids
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = ids
         return ids
 
     def _ids(self, word: str) -> bytes:
