@@ -21,11 +21,12 @@ columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -292,164 +293,215 @@ def near_duplicates(
 
 # ---------------------------------------------------------------- similar documents
 
-#: Bits of the wide fingerprint, and how many may differ: two texts whose shingle sets have a Jaccard similarity of 0.8
-#: differ in acos(8 / 9) / pi of the bits, about 19 of 128.
-WIDE_BITS, WIDE_MOST = 128, 21
-#: Differing bits allowed in the first half, by which the index prunes (the whole is compared afterwards).
-HALF_MOST = 17
-#: Share of differing bits for which an index of random masks finds a pair with RECALL.
-SHARE, RECALL = 0.12, 0.95
+#: Cells of a sketch, which counts a set's shingles by their lowest bits.
+CELLS = 64
+#: Shingles of more sets than this come last in the order of shingles. The order only matters to speed.
+COMMON, MOST_COMMON, ORDER_TURNS = 200, 1_000_000, 3
+#: Groups of more sets than this are first thinned by comparing all with one (STAR_TURNS times), and then cut in pieces.
+PAIRS_LIMIT, STAR_TURNS, PIECE = 32, 3, 128
+#: Rows of Arrow batches in this stage.
+ARROW_ROWS = 1000
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
-    """The two halves of a 128-bit SimHash of a text's distinct shingles (XXH3)."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A text's distinct word shingles (XXH3, 64 bits), ascending; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, 0
-    digest = xxhash.xxh3_128_digest
-    n = max(1, len(words) - shingle + 1)
-    hashes = {digest(b" ".join(words[i : i + shingle])) for i in range(n)}
-    raw = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 16)
-    counts = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(raw), 32768):
-        counts += np.unpackbits(raw[at : at + 32768], axis=1).sum(axis=0, dtype=np.int64)
-    whole = np.packbits(2 * counts > len(raw)).tobytes()
-    return int.from_bytes(whole[:8], "big"), int.from_bytes(whole[8:], "big")
+        return np.empty(0, np.int64)
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.r_[0, ends[:-1]]
+    last = ends[shingle - 1 :] - 1 if len(words) >= shingle else ends[-1:] - 1
+    digest = xxhash.xxh3_64_intdigest
+    spans = zip(starts[:n].tolist(), last.tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in spans), np.uint64, n).view(np.int64))
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp, fp2)."""
+def shingle_sets(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n, fp, fp2, sketch, hashes): each text's shingle set, its size, 128-bit digest and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, 2)
-            halves = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *halves], names=["doc_id", "fp", "fp2"])
+            at, held = 0, []
+            for i in range(batch.num_rows):
+                held.append(shingle_hashes(batch.column(1)[i].as_py(), shingle))
+                if i + 1 == batch.num_rows or len(held) == 1000 or sum(map(len, held[-50:])) > 1 << 18:
+                    yield packed(batch.column(0).slice(at, len(held)), held)
+                    at, held = i + 1, []
+
+    def packed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+        cells = [np.minimum(np.bincount(s & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        columns = [
+            ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
+            pa.array(cells, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp", "fp2", "sketch", "hashes"])
 
     pair = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    return pair.mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return pair.mapInArrow(run, "doc_id long, n long, fp long, fp2 long, sketch binary, hashes array<long>")
 
 
-def random_masks(bits: int, share: float = SHARE, recall: float = RECALL, seed: int = 5) -> list[tuple[int, int]]:
-    """As many masks of ``bits`` random bits (two halves each) as find a pair with the given share of differing bits."""
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** bits)))
-    return _with_bits([(0, 0)], bits, tables, np.random.default_rng(seed))
+def similar(inside, n, other):
+    """Whether sets of n and other shingles, of which ``inside`` are common to both, have a Jaccard similarity >= 0.8."""
+    return 9 * inside >= 4 * (n + other)
 
 
-def _with_bits(masks: list[tuple[int, int]], bits: int, each: int, rng: np.random.Generator) -> list[tuple[int, int]]:
-    out = []
-    for a, b in masks:
-        free = [i for i in range(WIDE_BITS) if not (a if i < BITS else b) >> i % BITS & 1]
-        for _ in range(each):
-            picked = rng.choice(free, min(bits, len(free)), replace=False).tolist()
-            out.append((a | sum(1 << i for i in picked if i < BITS), b | sum(1 << i - BITS for i in picked if i >= BITS)))
-    return out
+def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """(h, no, n, pos) of each set's first n - ceil(0.8 n) + 1 shingles: in ascending order, those in ``common`` last.
 
+    All sets are in one order, so two sets with a similarity of 0.8 or more have their first common shingle here.
+    """
+    if not len(common):
+        first = F.slice("hashes", 1, (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int"))
+        return sets.where("n > 0").select("no", "n", F.posexplode(first).alias("pos", "h")).select("h", "no", "n", F.col("pos").cast("long").alias("pos"))
 
-def _similar_edges(batches: Iterator[pa.RecordBatch], most: int, half_most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, no, fp, fp2) with equal keys together, in Gray order -> edges (no, smaller no in its set)."""
-    held = np.empty((0, 4), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.cumsum(batch.column(1).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 17))))
+                yield cut(batch.slice(at, to - at))
+                at = to
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        no, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        flat, row = batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(flat)) - (np.cumsum(n) - n)[row]
+        if len(common):
+            found = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
+            flat = flat[np.lexsort((pos, found, row))]
+        taken = pos < (n - (4 * n + 4) // 5 + 1)[row]
+        row = row[taken]
+        columns = [flat[taken], no[row], n[row], pos[taken]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "no", "n", "pos"])
+
+    return sets.select("no", "n", "hashes").mapInArrow(run, "h long, no long, n long, pos long")
+
+
+def _shared_prefixes(sets: DataFrame) -> DataFrame:
+    """(h, no, n, pos, sets) of prefixes in an order that has common shingles last, where h is in several prefixes."""
+    common = np.empty(0, np.int64)
+    for turn in range(ORDER_TURNS):
+        counts = prefixes(sets, common).groupBy("h").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+        counts = saved(counts, "shingles")
+        if turn + 1 == ORDER_TURNS:
+            break
+        often = counts.where(F.col("sets") > COMMON).orderBy(F.desc("sets"), "h").limit(MOST_COMMON).toArrow()
+        more = np.setdiff1d(often.column("h").to_numpy(), common)
+        if not len(more) or len(common) + len(more) > MOST_COMMON:
+            break
+        common = np.union1d(common, more)
+    return saved(prefixes(sets, common).join(counts, "h"), "shared")
 
-    def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bounds = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, len(rows)]
-        out = []
-        for at, to in zip(bounds[:-1], bounds[1:], strict=True):
-            one, two = (np.ascontiguousarray(rows[at:to, i]).view(np.uint64) for i in (2, 3))
-            label = np.arange(to - at)
-            index, step = GrayIndex(one), max(1, min(256, (1 << 20) // (to - at)))
-            for q0 in range(0, to - at, step):
-                q, found = index.matches(one[q0 : q0 + step], half_most)
-                near = np.bitwise_count(one[q + q0] ^ one[found]) + np.bitwise_count(two[q + q0] ^ two[found]) <= most
-                join_sets(label, q[near] + q0, found[near])
-            moved = np.flatnonzero(label != np.arange(to - at))
-            out.append(np.stack([rows[at:to, 1][moved], rows[at:to, 1][label[moved]]], axis=1))
-        found = np.concatenate(out)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], names=["a", "b"])
 
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
-        rows = np.concatenate([held, rows])
-        if not len(rows):
-            continue
-        last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield from flush(rows[:cut])
-        held = rows[cut:]
-    if len(held):
-        yield from flush(held)
+def _pairs(one: DataFrame, two: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct pairs (a, b) of sets that may be similar, by their places of a shared shingle: all before it differ."""
+    two = two.select(*on, F.col("no").alias("no2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    both = one.join(two, on).where(similar(rest, F.col("n"), F.col("n2")) & (F.col("root") != F.col("root2")))
+    return both.select(F.greatest("no", "no2").alias("a"), F.least("no", "no2").alias("b")).distinct()
 
 
-def _thinned(rows: DataFrame, most: int, half_most: int) -> tuple[DataFrame, DataFrame]:
-    """(rows that are left of groups still too large, edges) of rows (key, n, m, no, fp, fp2) in groups that are too large.
+def _piece_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs in large groups, each group in pieces of about PIECE sets and each pair of pieces a group of its own."""
+    many = F.ceil(F.col("sets") / PIECE)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("no"), many)).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    first = rows.where("own <= other").withColumn("p", F.col("own")).withColumn("q", F.col("other"))
+    second = rows.where("own >= other").withColumn("p", F.col("other")).withColumn("q", F.col("own"))
+    return _pairs(first, second, ["h", "p", "q"])
 
-    A large group is either many copies of few texts or many texts. It is cut at random into pieces of GROUP_LIMIT,
-    whose members join; one of each set goes on, and pieces are cut anew as long as that halves them. Copies so melt to
-    a few rows, without multiplying; what stays large is many texts, which more bits tell apart.
-    """
-    edges = None
-    for turn in range(16):
-        pieces = F.pmod(F.xxhash64("no", F.lit(turn)), F.ceil(F.col("n") / GROUP_LIMIT))
-        found = saved(
-            rows.select(F.xxhash64("key", pieces).alias("piece"), "no", "fp", "fp2", "key").repartition("piece")
-            .sortWithinPartitions("piece", gray_rank(F.col("fp")), "fp2").select("piece", "no", "fp", "fp2")
-            .mapInArrow(lambda batches: _similar_edges(batches, most, half_most), "a long, b long"), "thinning",
-        )
-        edges = found if edges is None else edges.unionByName(found)
-        before = rows.count()
-        left = rows.join(found.select(F.col("a").alias("no")).distinct(), "no", "left_anti").drop("n")
-        left = saved(left, "thinned")
-        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        rows = saved(left.join(sizes.where(F.col("n") > 1), "key"), "thinned-sizes")
-        after = rows.count()
-        if not after or after > before / 2:
-            break
-    return rows, edges
 
+def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of one set of each group, another in each turn and group, with all others."""
+    drawn = F.min_by(F.struct("no", "n", "pos", "root"), F.xxhash64("no", "h", F.lit(turn))).alias("one")
+    return _pairs(rows, rows.groupBy("h").agg(drawn).select("h", "one.*"), ["h"])
 
-def similar_documents(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, most: int = WIDE_MOST,
-    half_most: int = HALF_MOST,
-) -> DataFrame:
-    """(doc_id, component_id): texts of a shingle similarity of about 0.8 or more share a component.
 
-    Unlike ``near_duplicates``, whose few bits allow an exact deal, this takes more bits, more differences and an index
-    of random masks: as many as find a pair with 12 % differing bits with a probability of 0.95 (closer ones surer).
-    Masks lengthen with the number of fingerprints, so groups stay small; groups that are large all the same, as of many
-    near copies of one text, are dealt again by more bits.
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole shingle sets have a similarity of 0.8 or more; sketches, which bound it, are read first."""
+
+    def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, other = (batch.column(i).to_numpy() for i in (2, 3))
+            for at in range(0, batch.num_rows, 4096):
+                cells = [np.frombuffer(b"".join(batch.column(i).slice(at, 4096).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (4, 5)]
+                apart = np.abs(cells[0].astype(np.int16) - cells[1]).sum(axis=1, dtype=np.int64)
+                a, b = n[at : at + 4096], other[at : at + 4096]
+                keep = pa.array(similar((a + b - apart) // 2, a, b))
+                yield batch.select([0, 1]).slice(at, 4096).filter(keep)
+
+    def attached(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(table.select(F.col("no").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in names)), side)
+        return pairs.select("a", "b", *(f"{x}_{side}" for x in names for side in ("a", "b")))
+
+    likely = saved(attached(pairs, sets, "n", "sketch").mapInArrow(by_sketch, "a long, b long"), "likely")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    wanted = saved(sets.select("no", "hashes").join(wanted, "no", "left_semi"), "wanted")
+    inside = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    both = attached(likely, wanted, "hashes").where(similar(inside, F.size("hashes_a"), F.size("hashes_b")))
+    return saved(both.select("a", "b"), "confirmed")
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the root of each set's component as far as the edges tell, and without groups inside one component."""
+    rows = rows.drop("root", "sets").join(components(edges), F.col("no") == F.col("node"), "left")
+    rows = saved(rows.withColumn("root", F.coalesce("root", "no")).drop("node"), "rooted")
+    open_ = rows.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("x"), F.max("root").alias("y"))
+    return rows.join(open_.where("x <> y").select("h", "sets"), "h")
+
+
+def similar_edges(sets: DataFrame, large_above: int = PAIRS_LIMIT) -> DataFrame:
+    """Edges (a, b) between distinct sets (no, n, sketch, hashes): all confirmed at 0.8 or more, and they connect the
+    same sets as all such pairs.
+
+    Every such pair shares a group. In small groups all pairs are read. In large ones, where near copies would make
+    very many, sets that earlier edges connect are not compared again, but all others are.
     """
-    each = saved(wide_fingerprints(docs, shingle, id_column, text_column), "wide")
-    prints = each.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first"))
-    prints = saved(prints.withColumn("no", F.monotonically_increasing_id()), "wide-distinct")
-    bits = int(np.clip(np.ceil(np.log2(max(prints.count(), 2))) - 3, 8, 32))
-    rng = np.random.default_rng(11)
-    masks, out = random_masks(bits), None
-    keyed = prints.select("no", "fp", "fp2", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("m"))
-    while True:
-        ones, twos = (F.array(*(F.lit(_signed(x[i])) for x in masks)) for i in (0, 1))
-        half = lambda name, table: F.col(name).bitwiseAND(F.get(table, F.col("m")))
-        keyed = keyed.withColumn("key", F.xxhash64("m", half("fp", ones), half("fp2", twos)))
-        counted = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m")).where("n > 1"), "wide-groups")
-        small = keyed.join(counted.where(F.col("n") <= GROUP_LIMIT).select("key"), "key")
-        found = (
-            small.select("key", "no", "fp", "fp2").repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")), "fp2")
-            .mapInArrow(lambda batches: _similar_edges(batches, most, half_most), "a long, b long")
-        )
-        out = found if out is None else out.unionByName(found)
-        large = counted.where(F.col("n") > GROUP_LIMIT).select("key", "n")
+    rows = _shared_prefixes(sets).withColumn("root", F.col("no"))
+    small, large = (rows.where(F.col("sets") <= large_above), rows.where(F.col("sets") > large_above))
+    edges = _confirmed(_pairs(small, small, ["h"]).where("a <> b"), sets)
+    for turn in range(STAR_TURNS):
         if large.isEmpty():
-            break
-        keyed, more = _thinned(keyed.join(large, "key"), most, half_most)
-        out = out.unionByName(more)
-        hot = sorted(r[0] for r in keyed.select("m").distinct().collect())  # of the masks
-        if not hot:
-            break
-        finer, first = _with_bits([masks[m] for m in hot], 6, 8, rng), F.create_map(*[F.lit(x) for i, m in enumerate(hot) for x in (m, 8 * i)])
-        keyed = saved(keyed.select("no", "fp", "fp2", F.explode(F.sequence(first[F.col("m")], first[F.col("m")] + 7)).alias("m")), "wide-finer")
-        masks = finer
-    roots = components(out.distinct())
-    rooted = prints.join(roots, prints["no"] == roots["node"], "left").select("fp", "fp2", "first", F.coalesce("root", "no").alias("root"))
+            return edges
+        edges = edges.unionByName(_confirmed(_star_pairs(large, turn), sets))
+        large = saved(_rooted(large, edges), "large")
+    return edges if large.isEmpty() else edges.unionByName(_confirmed(_piece_pairs(large), sets))
+
+
+@contextmanager
+def _arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, Arrow batches have at most so many rows: rows with whole sets are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id): texts whose shingle sets have a Jaccard similarity of 0.8 or more, directly or through
+    others, share a component.
+
+    Unlike ``near_duplicates`` this compares whole shingle sets, and exactly: candidates share one of the first shingles
+    of their sets in a common order (prefix filtering), which every such pair does, whatever the size of the table.
+    """
+    each = shingle_sets(docs, shingle, id_column, text_column).withColumn("no", F.monotonically_increasing_id())
+    with _arrow_rows(docs.sparkSession, ARROW_ROWS):
+        each = saved(each, "sets")
+    prints = each.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first"), F.min("no").alias("no"))
+    prints = saved(prints, "distinct-sets")
+    again = saved(each.select("no").join(prints.select("no"), "no", "left_anti"), "again")
+    sets = each.select("no", "n", "sketch", "hashes").join(again, "no", "left_anti")
+    with _arrow_rows(docs.sparkSession, ARROW_ROWS):
+        edges = similar_edges(sets, min(PAIRS_LIMIT, GROUP_LIMIT))
+    roots = components(edges)
+    rooted = prints.join(roots, prints["no"] == roots["node"], "left").select("fp", "fp2", "first", F.coalesce("root", prints["no"]).alias("root"))
     # written, so the join has exchanges of its own, which Spark splits where one component is very large
     smallest = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     named = rooted.join(smallest, "root").select("fp", "fp2", "component_id")

@@ -204,3 +204,47 @@ def test_similar_documents(spark, monkeypatch):
         odd = {r.doc_id: r.component_id for r in got if r.doc_id is None or r.doc_id > 9000}
         assert odd == {9001: 9001, 9002: 9001, 9003: 9003, 9004: 9003, None: 0}
     assert simhash.similar_documents(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def mutated_families(seed: int, families: int, each: int, words: int = 60, most: int = 4):
+    """Texts of a few changed words each: pairs on both sides of 0.8, where a fingerprint cannot tell them."""
+    rng = np.random.default_rng(seed)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    rows = []
+    for _ in range(families):
+        base = list(rng.choice(vocabulary, words))
+        for _ in range(each):
+            copy = list(base)
+            for at in rng.choice(words, rng.integers(0, most + 1), replace=False):
+                copy[at] = str(rng.choice(vocabulary))
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def brute_components(rows):
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for k in range(i):
+            inside = len(sets[i] & sets[k])
+            if 10 * inside >= 8 * (len(sets[i]) + len(sets[k]) - inside):
+                a, b = find(i), find(k)
+                root[max(a, b)] = min(a, b)
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_similar_documents_are_those_of_all_pairs(spark):
+    rows = mutated_families(3, 40, 8)  # many pairs just under and over 0.8: none is missed, none is added
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert 40 < len(set(want.values())) < len(rows)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()} == want
