@@ -115,3 +115,25 @@ def test_odd_rows_go_through(spark, sf_dir):
         if name == "mixing":
             assert sum(len((r.text or "").split()) for r in kept[0].collect()) == 3 + 3 + 50_000
     assert kept[0].count() > 0
+
+
+def test_only_similar_documents_go(spark, sf_dir, tables):
+    before, after = rows(tables[1]), rows(tables[2])
+    sets = {i: shingles((r.text or "").lower()) for i, r in before.items()}
+
+    def similar(i, k):
+        inside = len(sets[i] & sets[k])
+        return 10 * inside >= 8 * (len(sets[i]) + len(sets[k]) - inside)
+
+    for i in before.keys() - after.keys():
+        assert any(similar(i, k) for k in before if k != i), i
+    assert not any(similar(i, k) for i in after for k in after if i < k)
+
+
+def test_shared_passages_are_no_near_duplicates(spark, sf_dir):
+    passage = " ".join(f"p{k}" for k in range(204))  # 200 shingles; with 40 or 20 own words, 240 and 220
+    docs = [(i, passage + "".join(f" own{i}x{k}" for k in range(40))) for i in range(60)]  # 200 of 280: 0.71
+    docs += [(100 + i, passage.replace("p", "q") + "".join(f" own{i}x{k}" for k in range(25))) for i in range(2)]  # 200 of 250: 0.8
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()}
+    assert kept == {*range(60), 100}
