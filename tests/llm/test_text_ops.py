@@ -248,3 +248,17 @@ def test_similar_documents_are_those_of_all_pairs(spark):
     want = brute_components(rows)
     assert 40 < len(set(want.values())) < len(rows)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()} == want
+
+
+def test_similar_documents_in_large_groups(spark, monkeypatch):
+    rows = []
+    for f in range(3):  # chains: only neighbours are similar, and all share a long end, so they meet in large groups
+        first, then = ([f"{x}{f}w{k}" for k in range(400)] for x in "ab")
+        rows += [(100 * f + i, " ".join(then[: 30 * i] + first[30 * i :])) for i in range(13)]
+    rows += [(1000 + i, text) for i, text in mutated_families(4, 1, 60, most=8)]
+    want = brute_components(rows)
+    assert all(want[100 * f + i] == 100 * f for f in range(3) for i in range(13)) and len(set(want.values())) > 4
+    for name, value in (("GROUP_LIMIT", 6), ("COMMON", 4), ("PIECE", 5)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()} == want
