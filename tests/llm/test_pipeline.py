@@ -137,3 +137,12 @@ def test_shared_passages_are_no_near_duplicates(spark, sf_dir):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()}
     assert kept == {*range(60), 100}
+
+
+def test_rows_of_one_id_are_told_apart(spark, sf_dir):
+    words = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    docs = [(7, words("a")), (7, words("b")), (7, words("b") + " end"), (42, words("c")), (None, None), (None, words("d")), (9, words("d"))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_duplicates(spark, frame, sf_dir).select("doc_id", "text").collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(7, words("a")), (42, words("c")), (None, None), (9, words("d")), *{(r.doc_id, r.text) for r in kept if r.text in (words("b"), words("b") + " end")}}
+    assert len(kept) == 5
