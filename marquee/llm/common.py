@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,30 +23,56 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors and the driver share.
+
+    Only a session whose executors live in the driver's process may go without it, as in tests: it gets a temporary
+    folder. On a cluster a folder of one machine would lose rows silently, so there the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='marquee-')}"
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+@contextmanager
+def configured(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """Runs with a session setting changed."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: computed once, and its lineage is cut.
 
-    A lost executor then costs a re-read of files, never a recomputation of what led to them.
+    A lost executor then costs a re-read of files, never a recomputation of what led to them. What was shuffled to make
+    the table is removed with the job, so a chain of tables takes the disk of its largest step.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/marquee-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/marquee-{name}-{uuid.uuid4().hex}"
+    with configured(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` made and that nothing reads any more."""
+    for table in tables:
+        hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        hadoop.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals wide rows of CPU-heavy work out again when an input has fewer partitions than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def text_or_empty(column: str = "text") -> Column:
+    return F.coalesce(F.col(column), F.lit(""))

@@ -176,9 +176,37 @@ def test_substring_removal_of_equal_and_null_ids(spark):
 
 def test_automata_shards(monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_WORDS", 3)
-    text = b"a b c d e a b c".split()
-    marks = phrases.mark([text, b"x b c".split()], [{"a b c", "d e"}, set()])
-    assert marks[0].tolist() == [True] * 8 and not marks[1].any()
+    shard = phrases.Shard(3)
+    shard.lend(b"a b c d", [(0, 7)])
+    shard.lend(b"x d e f g", [(1, 8), (2, 8)])
+    assert len(shard.automata) == 2 and phrases.runs([(3, 1), (1, 1), (2, 1), (4, 2), (6, 2)]) == [(1, 3), (4, 4), (6, 6)]
+    assert shard.located(b"a b c d e f g a b c") == [0, 10]
+    assert shard.located(b"x b c d e f g q") == [3, 7]
+    assert shard.located(b"x b c") == []
+
+
+def test_substring_removal_of_boilerplate(spark, monkeypatch):
+    """A passage in a third of all documents, in ever different surroundings, in shards of any size."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    boilerplate = list(rng.choice(vocabulary, 45))
+    rows = []
+    for i in range(90):
+        words = list(rng.choice(vocabulary, int(rng.integers(0, 160))))
+        if i % 3 == 0:
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = boilerplate[: int(rng.integers(30, 46))]
+        if i % 10 == 9:  # a part of another document, and a change in it
+            words += rows[i - 1][1].split()[5:70]
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_removed(dict(rows))
+    assert sum(n for _, n, _ in want.values()) > 1000
+    for words, chunks in ((100, 7), (1, 1)):
+        monkeypatch.setattr(phrases, "SHARD_WORDS", words)
+        monkeypatch.setattr(phrases, "SHARD_CHUNKS", chunks)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.remove_repeats(frame).collect()}
+        assert got == want
 
 
 def test_similar_documents(spark, monkeypatch):
