@@ -2,16 +2,21 @@
 
 Each source is a queue of its documents in shuffled (hashed) order, repeated up to MAX_EPOCHS times. A document copy
 gets a virtual start and finish time, its source's words before and through it divided by the source's target, so all
-queues would be served at rates in proportion to their targets. The mix is all copies in order of virtual finish time
-(a global range sort), truncated where the total budget is spent: at virtual time 1, when each source has had its
-target. The copy in service there is taken in part, so each source's words meet its target to the word.
+queues are served at rates in proportion to their targets. A copy is eligible if it starts before virtual time 1, when
+all targets are due, so that a source does not take the place of a long document of another. The mix is all eligible
+copies in order of virtual finish time (a global range sort), truncated once, where the running sum of words reaches
+the total budget. The copy in service there
+is taken in part, so the mix has the budget's words exactly; each source's words differ from its target by less than
+the longest documents in service at the end.
 
 Targets: weights by source in code point order (null last), repeating; they share the budget (the words of all
 documents); a source stops at MAX_EPOCHS times its words and the excess is shared again by weight until none is above.
 
 Running sums over a source that may hold a third of all rows are taken in three levels: by hash prefix of the source,
 by a longer prefix within, then by document, so no window holds more than a few thousand rows at 10^10 documents. The
-only single-task step is over one row for each source.
+running sum over the mix is taken by range partition: whole partitions before the cut are taken, those behind it are
+not, and only the partition in which the budget ends is summed row by row. The only single-task steps are over one row
+for each source and one for each range partition.
 
 Defined results: null text has size 0; documents without words take 0. A null source is a source. Repeated and null
 doc_ids are documents of their own (rows are told apart by a number given when sizes are written). An empty table
@@ -103,8 +108,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX
           id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """The mix, and the documents it is made of.
 
-    The mix: (row, doc_id, source, epoch, size, taken, virtual_start, virtual_finish), range-sorted by virtual finish
-    time. The documents: (row, doc_id, source, size, source_size, target).
+    The mix: (row, doc_id, source, epoch, size, taken, virtual_start, virtual_finish, ...), which ``in_order`` sorts by
+    virtual finish time. The documents: (row, doc_id, source, size, source_size, target).
     """
     sizes = sized(docs, id_column, source_column, text_column)
     shares = saved(targets(sizes, weights, epochs), "targets")
@@ -126,28 +131,51 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX
     w3 = Window.partitionBy("source", "k2").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
     queued = keyed.withColumn("in_k2", F.coalesce(F.sum("size").over(w3), zero))
     queued = queued.join(before, queued["source"].eqNullSafe(before["of"]) & (queued["k2"] == before["o2"])).select(
-        "row", "doc_id", "source", "size", (F.col("in_k2") + F.col("before")).alias("words_before")
+        "row", "doc_id", "source", "size", "key", (F.col("in_k2") + F.col("before")).alias("words_before")
     )
     shares = shares.withColumnRenamed("source", "of")
     copies = queued.join(shares, queued["source"].eqNullSafe(shares["of"])).select(
-        "row", "doc_id", "source", "size", "source_size", "target", "words_before",
+        "row", "doc_id", "source", "size", "key", "source_size", "target", "words_before",
         F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"),
     )
-    quota = F.floor(F.col("target") + 0.5).cast("long")
     start = F.col("epoch") * F.col("source_size") + F.col("words_before")
-    served = F.least(F.col("size"), quota - start)
-    mix = copies.where((F.col("size") > 0) & (start < quota)).select(
-        "row", "doc_id", "source", "epoch", "size", served.alias("taken"),
+    copies = copies.where(F.col("size") > 0).select(
+        "row", "doc_id", "source", "epoch", "size", "key",
         F.try_divide(start, F.col("target")).alias("virtual_start"),
         F.try_divide(start + F.col("size"), F.col("target")).alias("virtual_finish"),
     )
-    mix = saved(mix, "mix")
-    parts = mix.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = mix.repartitionByRange(int(parts), "virtual_finish", "row", "epoch").sortWithinPartitions("virtual_finish", "row", "epoch")
     made_of = sizes.join(shares, sizes["source"].eqNullSafe(shares["of"])).select(
         "row", "doc_id", "source", "size", "source_size", "target"
     )
-    return ordered, made_of
+    budget = sizes.agg(F.sum("size")).first()[0] or 0
+    return truncated(copies.where("virtual_start < 1"), budget), made_of
+
+
+ORDER = ("virtual_finish", "source_last", "source", "key", "row", "epoch")
+
+
+def truncated(copies: DataFrame, budget: int) -> DataFrame:
+    """Copies in order of virtual finish time, with ``taken`` words, up to the budget."""
+    parts = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = copies.withColumn("source_last", F.col("source").isNull()).repartitionByRange(parts, *ORDER)
+    ranged = saved(ranged.withColumn("part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("part").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    sums = saved(sums.select("part", "words", upto.alias("upto")).withColumn("before", F.col("upto") - F.col("words")), "ranges")
+    at = ranged.join(F.broadcast(sums.where(F.col("before") < budget)), "part")  # a row for each range partition
+    whole = at.where(F.col("upto") <= budget).withColumn("taken", F.col("size"))
+    running = F.sum("size").over(Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
+    left = F.lit(budget) - F.col("before") - F.coalesce(running, F.lit(0).cast("long"))
+    cut = at.where(F.col("upto") > budget).withColumn("left", left).where("left > 0")
+    cut = cut.withColumn("taken", F.least("size", "left"))
+    columns = ["row", "doc_id", "source", "epoch", "size", "taken", "virtual_start", "virtual_finish", "source_last", "key"]
+    return whole.select(*columns).unionByName(cut.select(*columns))
+
+
+def in_order(mix: DataFrame) -> DataFrame:
+    """The mix in its order: partition by partition, and by rows within."""
+    parts = int(mix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mix.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:

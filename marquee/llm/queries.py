@@ -99,15 +99,21 @@ WITH d AS (
 ), w AS (SELECT arg_min(level, ratio) AS water FROM r WHERE cap > weight * level
 ), t AS (SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, weight * water) END AS target FROM r, w
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-1|' || CAST(d.doc_id AS VARCHAR)), d.doc_id
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, md5('mix-1|' || CAST(d.doc_id AS VARCHAR)) AS key
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), b AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM q
+), e AS (
+  SELECT *, CAST(epoch * source_size + before + size AS BIGINT) / target AS finish FROM b, range(3) r(epoch)
+  WHERE size > 0 AND CAST(epoch * source_size + before AS BIGINT) / target < 1
+), m AS (
+  SELECT doc_id, size, (SELECT sum(size) FROM d)
+         - coalesce(sum(size) OVER (ORDER BY finish, source NULLS LAST, key, doc_id, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over
+  FROM e
+), k AS (SELECT doc_id, sum(least(size, left_over)) AS taken FROM m WHERE left_over > 0 GROUP BY doc_id
 )
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - source_size - before))
-            + greatest(0, least(size, quota - 2 * source_size - before)) AS BIGINT) AS taken
-FROM q
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (doc_id)
 """
 
 
