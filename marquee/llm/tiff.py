@@ -30,6 +30,8 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_SIZES = {1: 1, 3: 2, 4: 4}
 CLEAR, END, LZW_LIMIT = 256, 257, 4094
+#: Samples that a byte of stored data can stand for at most (LZW's longest run in the bits of a code), generously.
+EXPANSION = 4096
 
 
 class Page(NamedTuple):
@@ -132,7 +134,7 @@ def lzw_encode(data: bytes) -> bytes:
 def lzw_decode(data: bytes, size: int) -> bytes:
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out, width, last = first.copy(), [], 9, None
-    at, held, bits, total = 0, 0, 0, len(data)
+    at, held, bits, length = 0, 0, 0, 0
     while True:
         if bits < width:
             more = data[at : at + 32]
@@ -165,10 +167,12 @@ def lzw_decode(data: bytes, size: int) -> bytes:
                 width += 1
         out.append(entry)
         last = entry
-    found = b"".join(out)
-    if len(found) < size:
+        length += len(entry)
+        if length >= size:  # what follows is of no use, and may be endless in a damaged file
+            break
+    if length < size:
         raise ValueError("LZW data ends early")
-    return found
+    return b"".join(out)
 
 
 def packed(block: np.ndarray, compression: int, predictor: int) -> bytes:
@@ -183,12 +187,14 @@ def packed(block: np.ndarray, compression: int, predictor: int) -> bytes:
 
 def unpacked(data: bytes, rows: int, width: int, samples: int, compression: int, predictor: int) -> np.ndarray:
     size = rows * width * samples
+    if size > EXPANSION * len(data):
+        raise ValueError("more samples than the stored data can hold")
     if compression == NONE:
         raw = data
     elif compression == LZW:
         raw = lzw_decode(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
-        raw = zlib.decompress(data)
+        raw = zlib.decompressobj().decompress(data, size)
     elif compression == PACKBITS:
         raw = packbits_decode(data, size)
     else:
@@ -276,7 +282,7 @@ def read(content: bytes) -> Iterator[Page]:
                 tags[tag] = struct.unpack_from(f"{order}{count}{'.BxHI'[kind]}", content, where)
             (at,) = struct.unpack_from(order + "I", content, at + 2 + 12 * n)
             page = _page(content, tags)
-        except (struct.error, KeyError, IndexError, zlib.error) as e:
+        except (struct.error, LookupError, ArithmeticError, TypeError, MemoryError, zlib.error) as e:
             raise ValueError(f"damaged directory or data: {e}") from None
         yield page
 
@@ -291,8 +297,12 @@ def _page(content: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
     across = tags[TILE_WIDTH][0] if tiled else width
     down = tags[TILE_HEIGHT][0] if tiled else min(one(ROWS_PER_STRIP, height), height)
     offsets, counts = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError("a size is 0")
+    if width * height * samples > EXPANSION * len(content):
+        raise ValueError("more samples than the file can hold")
     columns = -(-width // across)
-    if len(offsets) < columns * -(-height // down):
+    if min(len(offsets), len(counts)) < columns * -(-height // down):
         raise ValueError("strips or tiles are missing")
     pixels = np.empty((height, width, samples), np.uint8)
     for k in range(columns * -(-height // down)):
