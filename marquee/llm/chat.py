@@ -11,7 +11,8 @@ text, and dropping those backslashes gives the text back.
 
 Defined results: a null text is empty; a null role reads back as the empty name. Rows of a null conv_id are one
 conversation. Turns stand in order of turn, then role, then text, nulls first; repeated rows are turns of their own. A
-conversation longer than a batch comes in consecutive parts, so memory is bounded by the batch. An empty table gives
+conversation longer than a batch comes in consecutive parts, so memory is bounded by a batch, some ten times its bytes
+(50 MB of text read back in one turn take less than 1 GB); one conversation is one task's work, however long. An empty table gives
 no rows. Only the four named columns are read.
 """
 
@@ -133,9 +134,10 @@ def format_conversations(
     return rows.select("conv_id", "role", "text").mapInArrow(run, PARTS)
 
 
-_BODY = r"((?:[^<\[\\]|[<\[\\]\\)*)"
+# Possessive: no state is kept to go back to, whatever a text's length. A body takes its trailer's blank, too.
+_BODY = r"((?:[^<\[\\]++|[<\[\\]\\)*+)"
 _TURN = re.compile(
-    rf"<s>\[(INST|SYS|NONE)\] {_BODY} \[/\1\]|<s>\[ROLE\]{_BODY}\[=\] {_BODY} \[/ROLE\]| {_BODY} </s>", re.S
+    rf"<s>\[(INST|SYS|NONE)\] {_BODY}(?<= )\[/\1\]|<s>\[ROLE\]{_BODY}\[=\] {_BODY}(?<= )\[/ROLE\]| {_BODY}(?<= )</s>", re.S
 )
 _NAMES = {"INST": "user", "SYS": "system", "NONE": ""}
 
@@ -148,11 +150,11 @@ def read_back(text: str) -> Iterator[tuple[str, str]]:
         if not m:
             raise ValueError(f"no turn at {at}")
         if m[1]:
-            yield _NAMES[m[1]], unescape(m[2])
+            yield _NAMES[m[1]], unescape(m[2][:-1])
         elif m[5] is not None:
-            yield "assistant", unescape(m[5])
+            yield "assistant", unescape(m[5][:-1])
         else:
-            yield unescape(m[3]), unescape(m[4])
+            yield unescape(m[3]), unescape(m[4][:-1])
         at = m.end()
 
 

@@ -134,14 +134,55 @@ def test_text_media(spark, sf_dir):
 
 
 def test_grammar_kinds():
-    g = toxicity.Grammar({"idiot": 2.0, "kill": 1.0, "idiotic": 0.0}, {"moro": 3.0}, -1.0, [1.5, 1.0, 0.5, 0.1]).prepared()
-    kind = lambda t: dict(zip(toxicity.KINDS, np.expm1(g.features(t)).round(6).tolist(), strict=True))
-    assert kind("You are such an idiot.") == {"aimed": 2.0, "plain": 0, "negated": 0, "reported": 0}
-    assert kind("What an idiot!") == {"aimed": 0, "plain": 2.0, "negated": 0, "reported": 0}
-    assert kind("Well, you are not an idiot")["negated"] == 2.0
-    assert kind("They said you moron. Moronic!") == {"aimed": 0, "plain": 3.0, "negated": 0, "reported": 3.0}
-    assert kind("an idiotic idea; the idiots") == {k: 0 for k in toxicity.KINDS}
-    assert g.score("you idiot") > g.score("an idiot is not here") > g.score("he said: idiot") > g.score(None) == g.score("")
+    g = toxicity.Grammar({"idiot": 2.0, "idiotic": 0.0}, {"moro": 3.0}, -1.0, [1.5, 3.0, 0.3, 0.1, 1.0]).prepared()
+    kind = lambda t: {k: w for k, w in zip(toxicity.KINDS, np.expm1(g.features(t)).round(6).tolist(), strict=True) if w}
+    assert kind("You are such an idiot.") == {"insult": 2.0}
+    assert kind("What an idiot!") == {"bare": 2.0}
+    assert kind("Well, you are not an idiot") == {"negated": 2.0} == kind("you aren’t an idiot")
+    assert kind("They said you moron. Moronic!") == {"bare": 3.0, "reported": 3.0}
+    assert kind('He is "an idiot" and an idiot') == {"reported": 2.0, "bare": 2.0}
+    assert kind("an idiotic idea; the idiots") == {} == kind("you kill") == kind("it will kill time")
+    assert kind("I will kill you") == {"threat": 3.0} and kind("I will not kill you") == {"negated": 3.0}
+    assert g.score("I will kill you") > 0.9 > g.score("you idiot") > g.score("an idiot") > g.score("you are not an idiot")
+    assert g.score("they will kill time") == g.score(None) == g.score("")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["xx", "idiot", "kill", "will", "you", "not", "says", '"'])))
+def test_composition_equals_path_search(words):
+    """The composed machine against a search over each match's surroundings."""
+    g = toxicity.Grammar({"idiot": 2.0}, {}, 0.0, [0.0] * 5).prepared()
+    want, reach = Counter(), toxicity.REACH
+    for i, w in enumerate(words):
+        if w not in ("idiot", "kill"):
+            continue
+        before, after = words[max(0, i - reach) : i], words[i + 1 : i + 1 + reach]
+        aimed = "you" in before or "you" in after
+        if w == "kill":
+            will = max((k for k, x in enumerate(before) if x == "will"), default=None)
+            if will is None or not ("you" in after or "you" in before[will:]):
+                continue
+        reported = False
+        for x in words[:i]:
+            reported = "saying" if x == "says" or reported == "saying" else not reported if x == '"' else reported
+        kind = "threat" if w == "kill" else "insult" if aimed else "bare"
+        kind = "reported" if reported else "negated" if "not" in before else kind
+        want[kind] += 2.0 if w == "idiot" else toxicity.HARM_WEIGHT
+    assert dict(zip(toxicity.KINDS, g.clause(" ".join(words)), strict=True)) == {k: want[k] for k in toxicity.KINDS}
+
+
+def test_toxicity_trains_on_documents(spark, monkeypatch):
+    """The bound counts documents: repeated rows and ids do not crowd others out."""
+    from marquee.llm import toxicity as t
+
+    rows = [(1, "a b c")] * 40 + [(1, "d e f")] + [(i, f"text {i}") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
+    seen = []
+    keep = t.saved
+    monkeypatch.setattr(t, "saved", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    t.learn(docs, labels, train_rows=7)
+    assert dict(seen)["toxicity-train"].count() == 7
 
 
 def test_toxicity_held_out(spark):
@@ -185,8 +226,11 @@ def brute_targets(sizes, weights=(5, 2, 1), cap=3):
 def test_mix(spark, sf_dir):
     docs = documents(spark, sf_dir)
     mix, _ = mixing.mixed(docs)
-    order = [r.virtual_finish for r in mix.collect()]
-    assert order == sorted(order)
+    order = mixing.in_order(mix).collect()
+    assert [r.virtual_finish for r in order] == sorted(r.virtual_finish for r in order)
+    # one cut: all but the last copy are whole, and together they are the budget
+    assert all(r.taken == r.size for r in order[:-1]) and 0 < order[-1].taken <= order[-1].size
+    assert sum(r.taken for r in order) == sum(len(WORD.findall(t or "")) for t in texts(docs).values())
     rows = mixing.taken_words(docs).collect()
     by_text = {r.doc_id: r for r in docs.collect()}
     size, taken = Counter(), Counter()
@@ -198,7 +242,8 @@ def test_mix(spark, sf_dir):
     want = brute_targets(size)
     for r in rows:
         assert r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6 * (1 + want[r.source])
-    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    longest = max(r.size for r in rows)
+    assert all(abs(taken[s] - want[s]) <= longest for s in want)
     again = {r.doc_id: r.taken for r in mixing.taken_words(docs.repartition(7)).collect()}
     assert again == {r.doc_id: r.taken for r in rows}
 
@@ -210,3 +255,44 @@ def test_mix_of_odd_tables(spark):
     assert mixing.taken_words(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
     empty = mixing.taken_words(spark.createDataFrame([(1, "", "x", "s", 0)], DOC_SCHEMA)).collect()
     assert [(r.target, r.taken) for r in empty] == [(0.0, 0)]
+
+
+# ---------------------------------------------------------------- odd input
+
+
+def test_damaged_tiff_gives_error_rows(spark):
+    """Random bytes of valid files changed: no crash, whatever the reader meets."""
+    rng = np.random.default_rng(9)
+    pages = [rng.integers(0, 255, (20, 30, 1), dtype=np.uint8)]
+    kinds = [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE]
+    valid = [tiff.write(pages, c, predictor=1, tile=16 * (i % 2)) for i, c in enumerate(kinds)]
+    for content in valid:
+        for _ in range(1500):
+            broken = bytearray(content)
+            at = rng.integers(len(content) - 180, len(content), 3) if rng.random() < 0.7 else rng.integers(0, len(content), 3)
+            for i in at:
+                broken[i] = rng.integers(0, 256)
+            try:
+                for page in tiff.read(bytes(broken)):
+                    assert page.pixels.size > 0
+            except ValueError:
+                pass
+    size = tiff.write(pages, tiff.NONE)
+    for tag, value in ((tiff.WIDTH, 0), (tiff.ROWS_PER_STRIP, 0), (tiff.SAMPLES, 0), (tiff.HEIGHT, 1 << 31)):
+        (at,) = struct.unpack_from("<I", size, 4)
+        broken = bytearray(size)
+        for i in range(struct.unpack_from("<H", size, at)[0]):
+            if struct.unpack_from("<H", size, at + 2 + 12 * i)[0] == tag:
+                struct.pack_into("<I", broken, at + 10 + 12 * i, value)
+        with pytest.raises(ValueError):
+            list(tiff.read(bytes(broken)))
+
+
+def test_long_turns_take_little_memory():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text = "word < [ \\ " * 1_000_000
+    whole = f"<s>[INST] {chat.escape(text)} [/INST]"
+    assert next(chat.read_back(whole)) == ("user", text)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB, for 11 MB of text
