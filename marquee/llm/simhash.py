@@ -21,7 +21,6 @@ columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import configured, dropped, saved
 
 BITS = 64
 #: Groups with more fingerprints than this are dealt again by more bits.
@@ -197,6 +196,8 @@ def _edges_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
             )
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
         held.append(rows)
         rows = np.concatenate(held)
@@ -241,22 +242,26 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): the smallest node reachable.
 
     Alternating large and small stars; each round is two grouped minima and two joins, written to the shared folder.
+    The minima are tables of their own, so Spark can split the joins where a node has very many neighbours.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = saved(edges, "edges")
     for _ in range(rounds):
         # large star: each node's larger neighbours move to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = saved(large.where("u <> v").distinct(), "large")
         # small star: each node's smaller neighbours, and the node, move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v")))
+        lowest = saved(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(lowest.select("u", F.col("m").alias("v")))
         after = saved(small.where("u <> v").distinct(), "stars")
+        dropped(least, large, lowest)
         if _same(edges, after):
+            dropped(after)
             break
+        dropped(edges)
         edges = after
     else:
         raise RuntimeError("components did not settle")
@@ -386,7 +391,9 @@ def _shared_prefixes(sets: DataFrame) -> DataFrame:
     common = np.empty(0, np.int64)
     for turn in range(ORDER_TURNS):
         counts = prefixes(sets, common).groupBy("h").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        counts = saved(counts, "shingles")
+        if turn:
+            dropped(before)
+        counts = before = saved(counts, "shingles")
         if turn + 1 == ORDER_TURNS:
             break
         often = counts.where(F.col("sets") > COMMON).orderBy(F.desc("sets"), "h").limit(MOST_COMMON).toArrow()
@@ -394,7 +401,9 @@ def _shared_prefixes(sets: DataFrame) -> DataFrame:
         if not len(more) or len(common) + len(more) > MOST_COMMON:
             break
         common = np.union1d(common, more)
-    return saved(prefixes(sets, common).join(counts, "h"), "shared")
+    shared = saved(prefixes(sets, common).join(counts, "h"), "shared")
+    dropped(counts)
+    return shared
 
 
 def _pairs(one: DataFrame, two: DataFrame, on: list[str]) -> DataFrame:
@@ -443,7 +452,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = saved(sets.select("no", "hashes").join(wanted, "no", "left_semi"), "wanted")
     inside = F.size(F.array_intersect("hashes_a", "hashes_b"))
     both = attached(likely, wanted, "hashes").where(similar(inside, F.size("hashes_a"), F.size("hashes_b")))
-    return saved(both.select("a", "b"), "confirmed")
+    confirmed = saved(both.select("a", "b"), "confirmed")
+    dropped(likely, wanted)
+    return confirmed
 
 
 def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -472,16 +483,9 @@ def similar_edges(sets: DataFrame, large_above: int = PAIRS_LIMIT) -> DataFrame:
     return edges if large.isEmpty() else edges.unionByName(_confirmed(_piece_pairs(large), sets))
 
 
-@contextmanager
-def _arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+def _arrow_rows(spark: SparkSession, rows: int):
     """While it holds, Arrow batches have at most so many rows: rows with whole sets are wide."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return configured(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
