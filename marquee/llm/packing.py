@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 CAPACITY = 4096
 #: Tokens packed together; a task holds about this many ids.
 BLOCK_TOKENS = 1 << 20
-#: Words of which a worker remembers the ids (some 70 MB); when as many are known it starts afresh, so that its memory
+#: Words of which a worker remembers the ids (some 35 MB); when as many are known it starts afresh, so that its memory
 #: stays bounded in workers that go on to other stages, and the frequent words are soon known again.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (attention stays inside a piece).
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 

@@ -334,6 +334,8 @@ def shingle_sets(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_
                     yield packed(batch.column(0).slice(at, len(held)), held)
                     at, held = i + 1, []
 
+        pa.default_memory_pool().release_unused()  # workers go on to other stages
+
     def packed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         cells = [np.minimum(np.bincount(s & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
@@ -462,7 +464,9 @@ def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
     rows = rows.drop("root", "sets").join(components(edges), F.col("no") == F.col("node"), "left")
     rows = saved(rows.withColumn("root", F.coalesce("root", "no")).drop("node"), "rooted")
     open_ = rows.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("x"), F.max("root").alias("y"))
-    return rows.join(open_.where("x <> y").select("h", "sets"), "h")
+    large = saved(rows.join(open_.where("x <> y").select("h", "sets"), "h"), "large")
+    dropped(rows)
+    return large
 
 
 def similar_edges(sets: DataFrame, large_above: int = PAIRS_LIMIT) -> DataFrame:
@@ -472,15 +476,22 @@ def similar_edges(sets: DataFrame, large_above: int = PAIRS_LIMIT) -> DataFrame:
     Every such pair shares a group. In small groups all pairs are read. In large ones, where near copies would make
     very many, sets that earlier edges connect are not compared again, but all others are.
     """
-    rows = _shared_prefixes(sets).withColumn("root", F.col("no"))
-    small, large = (rows.where(F.col("sets") <= large_above), rows.where(F.col("sets") > large_above))
+    shared = _shared_prefixes(sets)
+    rows = shared.withColumn("root", F.col("no"))
+    small = rows.where(F.col("sets") <= large_above)
     edges = _confirmed(_pairs(small, small, ["h"]).where("a <> b"), sets)
+    large = saved(rows.where(F.col("sets") > large_above), "large")
+    dropped(shared)
     for turn in range(STAR_TURNS):
         if large.isEmpty():
             return edges
         edges = edges.unionByName(_confirmed(_star_pairs(large, turn), sets))
-        large = saved(_rooted(large, edges), "large")
-    return edges if large.isEmpty() else edges.unionByName(_confirmed(_piece_pairs(large), sets))
+        before, large = large, _rooted(large, edges)
+        dropped(before)
+    if not large.isEmpty():
+        edges = edges.unionByName(_confirmed(_piece_pairs(large), sets))
+    dropped(large)
+    return edges
 
 
 def _arrow_rows(spark: SparkSession, rows: int):
@@ -495,15 +506,17 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Unlike ``near_duplicates`` this compares whole shingle sets, and exactly: candidates share one of the first shingles
     of their sets in a common order (prefix filtering), which every such pair does, whatever the size of the table.
     """
-    each = shingle_sets(docs, shingle, id_column, text_column).withColumn("no", F.monotonically_increasing_id())
+    whole = shingle_sets(docs, shingle, id_column, text_column).withColumn("no", F.monotonically_increasing_id())
     with _arrow_rows(docs.sparkSession, ARROW_ROWS):
-        each = saved(each, "sets")
+        whole = saved(whole, "sets")
+    each = saved(whole.select("doc_id", "no", "fp", "fp2"), "ids")
     prints = each.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first"), F.min("no").alias("no"))
     prints = saved(prints, "distinct-sets")
     again = saved(each.select("no").join(prints.select("no"), "no", "left_anti"), "again")
-    sets = each.select("no", "n", "sketch", "hashes").join(again, "no", "left_anti")
+    sets = whole.select("no", "n", "sketch", "hashes").join(again, "no", "left_anti")
     with _arrow_rows(docs.sparkSession, ARROW_ROWS):
         edges = similar_edges(sets, min(PAIRS_LIMIT, GROUP_LIMIT))
+    dropped(whole, again)
     roots = components(edges)
     rooted = prints.join(roots, prints["no"] == roots["node"], "left").select("fp", "fp2", "first", F.coalesce("root", prints["no"]).alias("root"))
     # written, so the join has exchanges of its own, which Spark splits where one component is very large

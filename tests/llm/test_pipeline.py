@@ -112,7 +112,7 @@ def test_odd_rows_go_through(spark, sf_dir):
         kept = [saved(stage(spark, d, sf_dir), name) for d in kept]
         assert kept[1].count() == 0
         if name == "near_duplicates":
-            assert sorted(r.doc_id or 0 for r in kept[0].collect()) == [0, 1, 3, 5] or kept[0].count() in (4, 5)
+            assert sorted(r.doc_id or 0 for r in kept[0].collect()) == [0, 1, 3, 5]
         if name == "pii":
             assert {r.text for r in kept[0].collect()} >= {"<EMAIL> " * 3, "call <PHONE> now"}
         if name == "mixing":
