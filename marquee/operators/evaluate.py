@@ -31,22 +31,20 @@ def average_vector_baseline(samples: DataFrame, units: DataFrame, k: int) -> Dat
 
 def metrics(rankings: DataFrame, samples: DataFrame, catalog_size: int, ks: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
     """(model, metric, value) of rankings (model, user_id, item_id, rank): recall@k, ndcg@10, mrr over whole lists, and
-    the share of the catalog recommended. A model without any list for a sample misses it."""
-    models = rankings.select("model").distinct()
+    the share of the catalog recommended, in one pass over the rankings. A model without any list for a sample misses it."""
     n = samples.select("user_id", F.col("target").alias("item_id"))
-    hits = models.join(F.broadcast(n.agg(F.count(F.lit(1)).alias("n")))).join(
-        rankings.join(n, ["user_id", "item_id"]).select("model", "rank"), "model", "left"
-    )
-    total = F.greatest(F.first("n"), F.lit(1))
-    columns = {f"recall@{k}": F.count_if(F.col("rank") <= k) / total for k in ks}
+    hits = rankings.join(n.withColumn("hit", F.lit(True)), ["user_id", "item_id"], "left")
+    hit = F.coalesce("hit", F.lit(False))
+    counts = {f"recall@{k}": F.count_if(hit & (F.col("rank") <= k)) for k in ks}
     if 10 in ks:
-        gain = F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
-        columns["ndcg@10"] = F.sum(F.coalesce(gain, F.lit(0.0))) / total
-    columns["mrr"] = F.sum(F.coalesce(1 / F.col("rank"), F.lit(0.0))) / total
-    wide = hits.groupBy("model").agg(*(c.alias(name) for name, c in columns.items()))
-    covered = rankings.groupBy("model").agg((F.countDistinct("item_id") / F.lit(max(catalog_size, 1))).alias("coverage"))
-    wide = wide.join(covered, "model")
-    names = [*columns, "coverage"]
+        counts["ndcg@10"] = F.sum(F.when(hit & (F.col("rank") <= 10), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0))
+    counts["mrr"] = F.sum(F.when(hit, 1 / F.col("rank")).otherwise(0.0))
+    wide = hits.groupBy("model").agg(*(c.alias(name) for name, c in counts.items()), F.countDistinct("item_id").alias("items"))
+    wide = wide.join(F.broadcast(n.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))))  # one row
+    columns = {name: F.col(f"`{name}`") / F.col("n") for name in counts}
+    columns["coverage"] = F.col("items") / F.lit(max(catalog_size, 1))
+    wide = wide.select("model", *(c.alias(name) for name, c in columns.items()))
+    names = list(columns)
     return wide.select("model", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(f"`{x}`").cast("double") for x in names)))).alias("metric", "value"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import dot, genre_overlap_ratio, normalize_year, quantized
 from ..schema import CANDIDATE_POOL, RECENT_WINDOW
 from .recommend import ranked
-from .vectors import top_k
+from .vectors import summed, top_k
 
 FEATURES = [
     "retrieval_score", "popularity_rank_norm", "history_length", "genre_overlap", "in_recent_history",
@@ -30,9 +30,8 @@ def features(candidates: DataFrame, history: DataFrame, items: DataFrame, rankin
     genres = genres.groupBy("user_id").agg(F.collect_set("genre").alias("history_genres"))
     latest = F.max("pos").alias("latest")
     length = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("length"), latest)
-    parts = history.join(units, "item_id").select("user_id", F.posexplode("v").alias("i", "x"))
-    mean = parts.groupBy("user_id", "i").agg((F.sum("x") / F.count(F.lit(1))).alias("x"))
-    mean = mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    vectors = history.join(units, "item_id").groupBy("user_id").agg(F.collect_list("v").alias("vs"))
+    mean = vectors.select("user_id", F.transform(summed(F.col("vs")), lambda x: x / F.size("vs")).alias("mean"))
     user = length.join(genres, "user_id", "left").join(mean, "user_id", "left")
     recent = (
         history.join(length, "user_id").where(F.col("pos") > F.col("latest") - RECENT_WINDOW)

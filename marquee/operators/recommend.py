@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ab_variant, lowered
 from ..schema import GENRE_POOL, GENRE_WEIGHT, MIN_INTERACTIONS, POPULARITY_LIMIT
-from .vectors import top_k
+from .vectors import summed, top_k
 
 
 def popularity(interactions: DataFrame) -> DataFrame:
@@ -119,19 +119,25 @@ def genre_weighted(
 
 
 def boosted(candidates: DataFrame, items: DataFrame, profile: DataFrame, k: int) -> DataFrame:
-    """Candidates with the profile counts of their genres added to the score; ties keep the prior order."""
-    rows = candidates.withColumnRenamed("rank", "prior")
-    rows = rows.join(_overlap(rows, items, profile, ["user_id", "item_id"]), ["user_id", "item_id"], "left")
-    rows = rows.withColumn("score", F.col("score") + F.coalesce("overlap", F.lit(0)))
+    """Candidates with the profile counts of their genres added to the score; ties keep the prior order.
+
+    Candidates are read once: their genres are summed back into one row for each.
+    """
+    genres = items.select("item_id", F.explode(F.array_distinct(lowered(F.col("genres")))).alias("genre"))
+    rows = candidates.withColumnRenamed("rank", "prior").join(genres, "item_id", "left").join(profile, ["user_id", "genre"], "left")
+    rows = rows.groupBy("user_id", "item_id").agg(
+        F.first("prior").alias("prior"), (F.first("score") + F.coalesce(F.sum("n"), F.lit(0))).alias("score")
+    )
     return ranked(rows, k, F.desc("score"), F.col("prior")).select("user_id", "item_id", "score", "rank")
 
 
 def mean_vectors(history: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, q): the summed vectors of each user's history, repeats included (the cosine needs no division)."""
-    rows = history.select("user_id", "item_id").join(units, "item_id").select("user_id", F.posexplode("v").alias("i", "x"))
-    sums = rows.groupBy("user_id", "i").agg(F.sum("x").alias("x"))
-    q = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    return sums.groupBy("user_id").agg(q.alias("q")).withColumnRenamed("user_id", "query_id")
+    """(query_id, q): the summed vectors of each user's history, repeats included (the cosine needs no division).
+
+    Histories are cut to their last items before, so a user's vectors are few.
+    """
+    rows = history.select("user_id", "item_id").join(units, "item_id")
+    return rows.groupBy(F.col("user_id").alias("query_id")).agg(summed(F.collect_list("v")).alias("q"))
 
 
 def similar_for_users(queries: DataFrame, units: DataFrame, seen: DataFrame, k: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Dense vectors: similarity search by blocks, negatives, losses.
 
-Search takes queries and a catalog in blocks of bounded size. Each pair of blocks is one matrix product in a Python
+Search takes queries and a catalog in blocks of at most QUERY_BLOCK and CATALOG_BLOCK rows, cut as they stream by. Each pair of blocks is one matrix product in a Python
 worker (Arrow in, Arrow out) that keeps only each query's best few; a window then merges the blocks' candidates. The
-catalog is cut by size, so it never has to fit one task or one broadcast, and work is queries x catalog / blocks.
+catalog is cut, so it never has to fit one task or one broadcast, and work is queries x catalog / blocks.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, norm, normalized, quantized
 from ..schema import TEMPERATURE
 
 #: Queries in one product, and vectors in a block of the catalog.
-QUERY_BLOCK, CATALOG_BLOCK = 2048, 16384
+QUERY_BLOCK, CATALOG_BLOCK = 1024, 8192
 
 
 def unit_table(embeddings: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -38,11 +38,36 @@ def fused(text, image=None):
     return F.when(norm(total) > 0, normalized(total)).otherwise(total)
 
 
-def _blocks(rows: DataFrame, blocks: int, columns: list[str], key: str) -> DataFrame:
-    """Rows dealt by key and gathered into one row of arrays for each block."""
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(
-        *(F.collect_list(c).alias(c) for c in columns)
-    ).drop("block")
+def summed(vectors: Column) -> Column:
+    """The sum of an array of vectors of one length."""
+    zero = F.array_repeat(F.lit(0.0), F.size(vectors[0]))
+    return F.aggregate(vectors, zero, lambda total, v: F.zip_with(total, v, lambda a, b: a + b))
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of arrays, each of at most ``size`` rows as they stream by: nothing is shuffled or counted first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - n)
+                held.append(part)
+                n, at = n + part.num_rows, at + part.num_rows
+                if n == size:
+                    yield block(held, n)
+                    held, n = [], 0
+        if held:
+            yield block(held, n)
+
+    def block(held: list[pa.RecordBatch], n: int) -> pa.RecordBatch:
+        bounds = pa.array([0, n], pa.int32())
+        whole = pa.Table.from_batches(held)
+        arrays = [pa.ListArray.from_arrays(bounds, pa.concat_arrays(column.chunks)) for column in whole.columns]
+        return pa.RecordBatch.from_arrays(arrays, names=whole.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema))
 
 
 def _best(score: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,17 +86,11 @@ def _best(score: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def top_candidates(
-    queries: DataFrame, catalog: DataFrame, query_blocks: int | None = None, catalog_block: int = CATALOG_BLOCK
+    queries: DataFrame, catalog: DataFrame, query_block: int = QUERY_BLOCK, catalog_block: int = CATALOG_BLOCK
 ) -> DataFrame:
-    """(query_id, item_id, score) for each query (query_id, q, want): its best ``want`` items of every catalog block.
-
-    Queries go into as many blocks as there are shuffle partitions, without being counted first; the catalog's number of
-    blocks follows from a count of its rows.
-    """
-    spark = queries.sparkSession
-    query_blocks = query_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q = _blocks(queries.where("want > 0"), query_blocks, ["query_id", "q", "want"], "query_id")
-    c = _blocks(catalog, max(1, -(-catalog.count() // catalog_block)), ["item_id", "v"], "item_id")
+    """(query_id, item_id, score) for each query (query_id, q, want): its best ``want`` items of every catalog block."""
+    q = _blocks(queries.where("want > 0").select("query_id", "q", "want"), query_block)
+    c = _blocks(catalog.select("item_id", "v"), catalog_block)
     pairs = q.join(c)  # every block with every block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +102,12 @@ def top_candidates(
                 b = batch.column(4)[i].values.flatten().to_numpy().reshape(len(items), -1)
                 order = np.argsort(items, kind="stable")
                 items, b = items[order], b[order]
-                for at in range(0, len(ids), QUERY_BLOCK):
-                    score = np.floor(a[at : at + QUERY_BLOCK] @ b.T * 1e6 + 0.5) / 1e6
-                    rows, columns = _best(score, want[at : at + QUERY_BLOCK])
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(rows + at)), pa.array(items[columns]), pa.array(score[rows, columns])],
-                        names=["query_id", "item_id", "score"],
-                    )
+                score = np.floor(a @ b.T * 1e6 + 0.5) / 1e6
+                rows, columns = _best(score, want)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(rows)), pa.array(items[columns]), pa.array(score[rows, columns])],
+                    names=["query_id", "item_id", "score"],
+                )
 
     return pairs.mapInArrow(run, "query_id long, item_id long, score double")
 

@@ -181,9 +181,9 @@ def item_serialized(m: Model) -> DataFrame:
     return catalog.served(m.items).withColumn("genres", joined("genres"))
 
 
-@query("SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM emb) ORDER BY item_id LIMIT 100", "items", "emb")
+@query("SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM emb)", "items", "emb")
 def items_missing_embedding(m: Model) -> DataFrame:
-    return catalog.without_embedding(m.items, m.embeddings).orderBy("item_id").limit(100)
+    return catalog.without_embedding(m.items, m.embeddings).select("item_id")
 
 
 @query("SELECT item_id FROM items WHERE description IS NULL OR image_url IS NULL ORDER BY item_id LIMIT 100", "items")
@@ -191,9 +191,9 @@ def items_missing_metadata(m: Model) -> DataFrame:
     return catalog.without_metadata(m.items).orderBy("item_id").limit(100)
 
 
-@query("SELECT item_id, image_url FROM items WHERE trim(image_url) <> '' ORDER BY item_id LIMIT 100", "items")
+@query("SELECT item_id, image_url FROM items WHERE trim(image_url) <> ''", "items")
 def items_with_poster(m: Model) -> DataFrame:
-    return catalog.with_poster_url(m.items).orderBy("item_id").limit(100)
+    return catalog.with_poster_url(m.items)
 
 
 @query("""SELECT item_id, coalesce(CASE WHEN item_id % 4 = 0 THEN 'New text' END, description) AS description,

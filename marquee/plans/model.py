@@ -42,16 +42,12 @@ class Model:
 
     @cached_property
     def units(self) -> DataFrame:
-        """The embedded subset, of length 1."""
-        return vectors.unit_table(testdata.embedded(self.spark, self.sf_dir))
-
-    @cached_property
-    def all_units(self) -> DataFrame:
+        """All vectors of the catalog, of length 1."""
         return vectors.unit_table(self.embeddings)
 
     @cached_property
     def seqs(self) -> DataFrame:
-        return sequences.sequences(self.interactions, testdata.embedded(self.spark, self.sf_dir))
+        return sequences.sequences(self.interactions, self.embeddings)
 
     @cached_property
     def ranking(self) -> DataFrame:

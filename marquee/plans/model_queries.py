@@ -23,13 +23,15 @@ TOP = """t AS (SELECT a.item_id AS query_id, b.item_id, floor(list_dot_product(a
 
 @query(f"+ {TOP} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM t QUALIFY rank <= 5", "emb", "unit")
 def cosine_topk(m: Model) -> DataFrame:
-    q = m.all_units.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
-    return vectors.top_k(q, m.all_units, 5, q.select("query_id", F.col("query_id").alias("item_id")))
+    q = m.units.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
+    return vectors.top_k(q, m.units, 5, q.select("query_id", F.col("query_id").alias("item_id")))
 
 
-@query("SELECT CAST(5 AS BIGINT) AS checked, CAST(0 AS BIGINT) AS mismatches")
+@query("""+ f AS (SELECT * FROM unit ORDER BY item_id LIMIT 5), t AS (SELECT f.item_id AS own, u.item_id, row_number() OVER (
+  PARTITION BY f.item_id ORDER BY floor(list_dot_product(f.v, u.v) * 1e6 + 0.5) / 1e6 DESC, u.item_id) AS rank FROM f, unit u)
+SELECT count(*) AS checked, count(*) FILTER (own <> item_id) AS mismatches FROM t WHERE rank = 1""", "emb", "unit")
 def index_self_check(m: Model) -> DataFrame:
-    return vectors.self_check(m.all_units)
+    return vectors.self_check(m.units)
 
 
 @query("""+ q AS (SELECT user_id, max(item_id) FILTER (pos = n) AS target FROM seqs GROUP BY user_id), t AS (SELECT s.* FROM scored s JOIN q ON q.user_id = s.user_id AND q.target <> s.item_id)
@@ -43,7 +45,7 @@ def hard_negatives(m: Model) -> DataFrame:
   FROM unit a JOIN unit b ON b.item_id = a.item_id + 1 JOIN unit c ON c.item_id BETWEEN a.item_id + 2 AND a.item_id + 6 GROUP BY ALL)
 SELECT query_id, floor((ln(list_sum(list_transform(list_prepend(pos, negs), lambda x: exp(x)))) - pos) * 1e6 + 0.5) / 1e6 AS loss FROM s""", "emb", "unit")
 def infonce(m: Model) -> DataFrame:
-    u = m.all_units
+    u = m.units
     a = u.select(F.col("item_id").alias("query_id"), F.col("v").alias("p"))
     b = u.select((F.col("item_id") - 1).alias("query_id"), F.col("v").alias("pos"))
     c = u.select("item_id", "v", F.explode(F.array(*(F.lit(i) for i in range(2, 7)))).alias("step"))
@@ -61,7 +63,7 @@ POPBASE = """ppairs AS (SELECT u.user_id, p.item_id, p.rank AS prank FROM (SELEC
 ), pbase AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY prank) AS rank FROM ppairs ANTI JOIN hseen USING (user_id, item_id) QUALIFY rank <= 50)"""
 AVGBASE = """hp AS (SELECT user_id, i, sum(v[i]) AS x FROM hist JOIN unit USING (item_id), range(1, 65) r(i) GROUP BY user_id, i
 ), hq AS (SELECT user_id, list(x / greatest(len, 1e-12) ORDER BY i) AS q FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS len FROM hp) GROUP BY user_id
-), hs AS (SELECT user_id, item_id, floor(list_dot_product(q, v) * 1e6 + 0.5) / 1e6 AS score FROM hq, unit WHERE item_id < 80
+), hs AS (SELECT user_id, item_id, floor(list_dot_product(q, v) * 1e6 + 0.5) / 1e6 AS score FROM hq, unit
 ), abase AS (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM hs ANTI JOIN hseen USING (user_id, item_id))"""
 EVAL = ("inter", "emb", "seqs", "pop", "unit")
 
@@ -89,7 +91,7 @@ METRICS = f"""{SAMPLE}, {REPEAT}, {POPBASE}, {AVGBASE}, rk AS (SELECT 'repeat' A
   UNION ALL SELECT model, 'recall@50', count(*) FILTER (rank <= 50) / max(n) FROM ms LEFT JOIN hit USING (model), n GROUP BY model
   UNION ALL SELECT model, 'ndcg@10', coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) / max(n) FROM ms LEFT JOIN hit USING (model), n GROUP BY model
   UNION ALL SELECT model, 'mrr', coalesce(sum(1 / rank), 0) / max(n) FROM ms LEFT JOIN hit USING (model), n GROUP BY model
-  UNION ALL SELECT model, 'coverage', count(DISTINCT item_id) / (SELECT count(*) FROM emb WHERE item_id < 80) FROM rk GROUP BY model)"""
+  UNION ALL SELECT model, 'coverage', count(DISTINCT item_id) / (SELECT count(*) FROM emb) FROM rk GROUP BY model)"""
 
 
 def _metrics(m: Model) -> DataFrame:
@@ -136,7 +138,7 @@ def _training(m: Model) -> DataFrame:
 
 
 @query(f"""+ {SAMPLE}, {AVGBASE}, c AS (SELECT user_id, item_id FROM abase JOIN items USING (item_id) WHERE rank <= 20
-  UNION SELECT user_id, item_id FROM tgt JOIN hq USING (user_id) JOIN items USING (item_id) WHERE item_id < 80)
+  UNION SELECT user_id, item_id FROM tgt JOIN hq USING (user_id) JOIN items USING (item_id) WHERE item_id IN (SELECT item_id FROM emb))
 SELECT user_id, item_id, CASE WHEN (user_id, item_id) IN (SELECT (user_id, item_id) FROM tgt) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS label FROM c""", "items", *EVAL)
 def rank_training_rows(m: Model) -> DataFrame:
     return _training(m).select("user_id", "item_id", "label")
@@ -195,6 +197,6 @@ def transformer_training(m: Model) -> DataFrame:
 @query("""SELECT a.item_id, floor(list_dot_product(list_transform(range(1, 65), lambda i: a.v[i] + b.v[i]), a.v) / sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] + b.v[i]) * (a.v[i] + b.v[i])))) * 1e6 + 0.5) / 1e6 AS cosine
 FROM unit a JOIN unit b ON b.item_id = a.item_id + 1""", "emb", "unit")
 def fused_vectors(m: Model) -> DataFrame:
-    u = m.all_units
+    u = m.units
     b = u.select((F.col("item_id") - 1).alias("item_id"), F.col("v").alias("image"))
     return u.join(b, "item_id").select("item_id", quantized(dot(vectors.fused(F.col("v"), F.col("image")), F.col("v"))).alias("cosine"))

@@ -10,8 +10,6 @@ from .catalog_queries import LIBRARY
 from .model import Model, joined
 from .registry import query
 
-COLD = """cold AS (SELECT u.user_id, p.item_id, p.rank AS prank, total, row_number() OVER (PARTITION BY u.user_id ORDER BY p.rank) AS place
-  FROM (SELECT DISTINCT user_id FROM inter) u, pop p ANTI JOIN seen USING (user_id, item_id))"""
 COLD = """pairs AS (SELECT u.user_id, p.item_id, p.rank AS prank, total FROM (SELECT DISTINCT user_id FROM inter) u, pop p
 ), cold AS (SELECT pairs.*, row_number() OVER (PARTITION BY user_id ORDER BY prank) AS place FROM pairs ANTI JOIN seen USING (user_id, item_id))"""
 
@@ -36,7 +34,7 @@ def popularity_sequences(m: Model) -> DataFrame:
 
 
 @query("""+ t AS (SELECT item_id, count(*) AS n FROM inter GROUP BY item_id ORDER BY n DESC, item_id LIMIT 500)
-SELECT item_id, n, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM t WHERE item_id < 80""", "inter")
+SELECT item_id, n, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM t WHERE item_id IN (SELECT item_id FROM emb)""", "inter", "emb")
 def popularity_embedded(m: Model) -> DataFrame:
     return recommend.popularity_top(m.interactions, m.units).select("item_id", "n", "rank")
 
@@ -183,10 +181,10 @@ def recs_by_variant(m: Model) -> DataFrame:
 
 @query(f"""+ {PROFILE}, {OVERLAP}, lk AS (SELECT *, lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, interaction_id) AS before FROM inter WHERE source = 'library'
 ), lh AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, interaction_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM lk WHERE before IS NULL OR before <> item_id
-), lp AS (SELECT user_id, i, sum(v[i]) AS x FROM lh JOIN unit USING (item_id), range(1, 65) r(i) WHERE pos > n - 50 AND item_id < 80 GROUP BY user_id, i
+), lp AS (SELECT user_id, i, sum(v[i]) AS x FROM lh JOIN unit USING (item_id), range(1, 65) r(i) WHERE pos > n - 50 GROUP BY user_id, i
 ), lq AS (SELECT user_id, list(x / greatest(len, 1e-12) ORDER BY i) AS q FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS len FROM lp) GROUP BY user_id
 ), le AS (SELECT DISTINCT user_id, item_id FROM inter WHERE source IN ('library', 'dismissed')
-), ls AS (SELECT user_id, item_id, floor(list_dot_product(q, v) * 1e6 + 0.5) / 1e6 AS score FROM lq, unit WHERE item_id < 80
+), ls AS (SELECT user_id, item_id, floor(list_dot_product(q, v) * 1e6 + 0.5) / 1e6 AS score FROM lq, unit
 ), lw AS (SELECT ls.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS prior FROM ls ANTI JOIN le USING (user_id, item_id)
 ), sc AS (SELECT user_id, item_id, prior, score + coalesce(overlap, 0) AS score FROM lw LEFT JOIN ov USING (user_id, item_id) WHERE prior <= 10)
 SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, prior) AS rank FROM sc""", "items", "inter", "emb", "unit")
@@ -198,8 +196,8 @@ def recs_library_mode(m: Model) -> DataFrame:
     )
 
 
-@query(f"""+ {COLD} SELECT user_id, item_id, score AS rank_score, coalesce(1 - (p.rank - 1) / p.total, 0) AS popularity_rank_norm FROM warm w JOIN pop p USING (item_id) WHERE w.rank <= 3""",
-       *WARM[:-3], "pop", *WARM[-3:])
+@query(f"""+ {COLD} SELECT user_id, item_id, score AS rank_score, coalesce(1 - (p.rank - 1) / p.total, 0) AS popularity_rank_norm FROM warm w JOIN items USING (item_id) LEFT JOIN pop p USING (item_id) WHERE w.rank <= 3""",
+       "items", *WARM[:-3], "pop", *WARM[-3:])
 def explain_features(m: Model) -> DataFrame:
     """Without a ranker, the rank score is the retrieval score."""
     from ..operators import rank, sequences

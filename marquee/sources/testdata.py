@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_genres
 
-EMBEDDED_BELOW = 80
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,11 +74,6 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
-def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embedded subset of the catalog that sequences are made of."""
-    return embeddings(spark, sf_dir).where(F.col("item_id") < EMBEDDED_BELOW)
-
-
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("Customer#"), F.floor(F.col("c_custkey") / 2))
     return table(spark, sf_dir, "customer").select(
@@ -115,10 +108,10 @@ CTES = {
   SELECT c_custkey AS id, c_name AS display,
          CASE WHEN c_custkey % 2 = 1 THEN upper('Customer#' || (c_custkey // 2)) ELSE 'Customer#' || (c_custkey // 2) END AS username
   FROM customer)""",
-    # consecutive-deduplicated, rating-filtered histories over the embedded subset, with positions from 1
+    # consecutive-deduplicated, rating-filtered histories over embedded items, with positions from 1
     "seqs": """kept AS (
   SELECT *, lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, interaction_id) AS before FROM inter
-  WHERE item_id IN (SELECT item_id FROM emb WHERE item_id < 80) AND (type <> 'rating' OR rating >= 3.5)
+  WHERE item_id IN (SELECT item_id FROM emb) AND (type <> 'rating' OR rating >= 3.5)
 ), seq0 AS (
   SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, interaction_id) AS pos,
          count(*) OVER (PARTITION BY user_id) AS n
@@ -136,7 +129,7 @@ CTES = {
     "unit": """unit AS (
   SELECT item_id, list_transform(vector, lambda x: x / greatest(sqrt(list_dot_product(vector, vector)), 1e-12)) AS v FROM emb)""",
     "scored": """scored AS (
-  SELECT user_id, item_id, floor(list_dot_product(q, v) * 1e6 + 0.5) / 1e6 AS score FROM query, unit WHERE item_id < 80
+  SELECT user_id, item_id, floor(list_dot_product(q, v) * 1e6 + 0.5) / 1e6 AS score FROM query, unit
 ), warm AS (
   SELECT s.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM scored s
   ANTI JOIN seen USING (user_id, item_id))""",
