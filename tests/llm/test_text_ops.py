@@ -249,7 +249,7 @@ def mutated_families(seed: int, families: int, each: int, words: int = 60, most:
     return rows
 
 
-def brute_components(rows):
+def brute_similar_components(rows):
     sets = []
     for _, text in rows:
         words = text.lower().split()
@@ -273,7 +273,7 @@ def brute_components(rows):
 def test_similar_documents_are_those_of_all_pairs(spark):
     rows = mutated_families(3, 40, 8)  # many pairs just under and over 0.8: none is missed, none is added
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute_components(rows)
+    want = brute_similar_components(rows)
     assert 40 < len(set(want.values())) < len(rows)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()} == want
 
@@ -284,7 +284,7 @@ def test_similar_documents_in_large_groups(spark, monkeypatch):
         first, then = ([f"{x}{f}w{k}" for k in range(400)] for x in "ab")
         rows += [(100 * f + i, " ".join(then[: 30 * i] + first[30 * i :])) for i in range(13)]
     rows += [(1000 + i, text) for i, text in mutated_families(4, 1, 60, most=8)]
-    want = brute_components(rows)
+    want = brute_similar_components(rows)
     assert all(want[100 * f + i] == 100 * f for f in range(3) for i in range(13)) and len(set(want.values())) > 4
     for name, value in (("GROUP_LIMIT", 6), ("COMMON", 4), ("PIECE", 5)):
         monkeypatch.setattr(simhash, name, value, raising=False)
