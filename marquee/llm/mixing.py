@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import releasing, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -78,7 +78,7 @@ def sized(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sour
         docs[id_column].alias("doc_id"), docs[source_column].cast("string").alias("source"), docs[text_column].alias("text")
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {kind}, source string, size long")
+    out = rows.mapInArrow(releasing(run), f"doc_id {kind}, source string, size long")
     return saved(out.select(F.monotonically_increasing_id().alias("row"), "*"), "sizes")
 
 

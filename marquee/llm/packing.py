@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import releasing
+
 CAPACITY = 4096
 #: Tokens packed together; a task holds about this many ids.
 BLOCK_TOKENS = 1 << 20
@@ -203,4 +205,4 @@ def pack_documents(
             yield flush()
 
     pair = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return pair.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return pair.mapInArrow(releasing(run), SCHEMA + ", ids array<int>" * with_ids)

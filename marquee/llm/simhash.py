@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configured, dropped, saved
+from .common import configured, dropped, releasing, saved
 
 BITS = 64
 #: Groups with more fingerprints than this are dealt again by more bits.
@@ -334,8 +334,6 @@ def shingle_sets(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_
                     yield packed(batch.column(0).slice(at, len(held)), held)
                     at, held = i + 1, []
 
-        pa.default_memory_pool().release_unused()  # workers go on to other stages
-
     def packed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         cells = [np.minimum(np.bincount(s & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
@@ -347,7 +345,7 @@ def shingle_sets(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp", "fp2", "sketch", "hashes"])
 
     pair = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    return pair.mapInArrow(run, "doc_id long, n long, fp long, fp2 long, sketch binary, hashes array<long>")
+    return pair.mapInArrow(releasing(run), "doc_id long, n long, fp long, fp2 long, sketch binary, hashes array<long>")
 
 
 def similar(inside, n, other):
@@ -385,7 +383,7 @@ def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
         columns = [flat[taken], no[row], n[row], pos[taken]]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "no", "n", "pos"])
 
-    return sets.select("no", "n", "hashes").mapInArrow(run, "h long, no long, n long, pos long")
+    return sets.select("no", "n", "hashes").mapInArrow(releasing(run), "h long, no long, n long, pos long")
 
 
 def _shared_prefixes(sets: DataFrame) -> DataFrame:
@@ -449,7 +447,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             pairs = pairs.join(table.select(F.col("no").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in names)), side)
         return pairs.select("a", "b", *(f"{x}_{side}" for x in names for side in ("a", "b")))
 
-    likely = saved(attached(pairs, sets, "n", "sketch").mapInArrow(by_sketch, "a long, b long"), "likely")
+    likely = saved(attached(pairs, sets, "n", "sketch").mapInArrow(releasing(by_sketch), "a long, b long"), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("no")).distinct()
     wanted = saved(sets.select("no", "hashes").join(wanted, "no", "left_semi"), "wanted")
     inside = F.size(F.array_intersect("hashes_a", "hashes_b"))

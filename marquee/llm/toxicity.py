@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import releasing, saved
 
 TRAIN_ROWS = 20_000
 MAX_ENTRIES = 2_000
@@ -278,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     # one row for each text in training: train_rows at most; equal rows go as one with their number
     schema = "y int, " + ", ".join(f"{k} double" for k in KINDS)
-    rows = train.mapInArrow(run, schema).groupBy("y", *KINDS).count().collect()
+    rows = train.mapInArrow(releasing(run), schema).groupBy("y", *KINDS).count().collect()
     if not rows:
         return grammar_of_share(0, 0)
     y = np.repeat([float(r["y"]) for r in rows], [r["count"] for r in rows])
