@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, phrases, pii, quality, secret_scan, simhash, tiff, toxicity
+from . import chat, jaccard, mixing, packing, periods, phrases, pii, quality, secret_scan, simhash, tiff, toxicity, whitening
 from .common import load
 
 
@@ -141,11 +141,49 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.integer_vectors(load(spark, sf_dir, "embeddings"))
+    found = whitening.whitened(rows, whitening.fitted(rows))
+    exact = F.expr("try_cast(deviation AS bigint)")
+    return found.select("vec_id", "component", "n", exact.alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.with_planted_runs(load(spark, sf_dir, "documents"))
+    return periods.run_digest(periods.periodic_runs(docs))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(load(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g
+  FROM d WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), t AS (SELECT doc_id, g FROM s SEMI JOIN (SELECT g FROM s GROUP BY g HAVING count(*) > 1) USING (g)
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS c FROM d UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.doc_id WHERE r.c < p.b
+), m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_tiff_media, op3_toxicity, op4_quality_rules, op5_simhash_dedup, op6_secret_scan, op7_pii,
-        op8_source_mix, op9_packing, op10_substring_dedup,
+        op8_source_mix, op9_packing, op10_substring_dedup, op11_embedding_whitening, op12_periodic_runs, op13_ngram_jaccard,
     )
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op8_source_mix": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op8_source_mix": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op13_ngram_jaccard": OP13_SQL}

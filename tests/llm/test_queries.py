@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_source_mix": "doc_id size source_size target taken",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10_substring_dedup": "doc_id n_words n_removed kept_sha256",
+    "op11_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_ngram_jaccard": "doc_id n_shingles component_id",
 }
 
 
