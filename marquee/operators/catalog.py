@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import documents
 from ..functions.scalars import distinct_labels, url_extension
 from ..schema import CANONICAL_GENRES
 
@@ -77,6 +78,26 @@ def without_metadata(items: DataFrame) -> DataFrame:
     return items.where("description is null or image_url is null").select("item_id")
 
 
+def needing(items: DataFrame, key: Column, force: bool = False, fields: tuple[str, ...] = ("description", "image_url")) -> DataFrame:
+    """The work queue of items that a source knows (``key`` holds) and that lack a field; with ``force`` all it knows."""
+    lacks = F.lit(force)
+    for field in fields:
+        lacks = lacks | F.col(field).isNull()
+    return items.where(key & lacks)
+
+
+def remaining(items: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """(source, n): how many items each source still has to fill, in one pass."""
+    n = items.agg(*(F.count_if(key & (F.col("description").isNull() | F.col("image_url").isNull())).alias(name) for name, key in keys.items()))
+    return n.unpivot([], list(keys), "source", "n")
+
+
+def with_documents(items: DataFrame, column: str = "metadata") -> DataFrame:
+    """Items with their metadata as documents and the year that is shown: of several keys, the first that spells one."""
+    out = items.withColumn(column, documents.as_document(items, column))
+    return out.withColumn("year", documents.year(F.col(column)))
+
+
 def with_poster_url(items: DataFrame) -> DataFrame:
     return items.where(F.trim("image_url") != "").select("item_id", "image_url")
 

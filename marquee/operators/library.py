@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import documents
 from ..schema import INTERACTION_TYPES
 from .sequences import deduped, last, rated_enough
 
@@ -35,6 +36,11 @@ def watchlist(interactions: DataFrame, items: DataFrame) -> DataFrame:
     return details(latest_per_item(interactions, "click", "watchlist"), items)
 
 
+def of_source(interactions: DataFrame, source: str, column: str = "context") -> DataFrame:
+    """Interactions whose context, JSON in any form, is an object with this source."""
+    return interactions.where(documents.contains(documents.as_document(interactions, column), {"source": source}))
+
+
 def seen(interactions: DataFrame) -> DataFrame:
     return interactions.select("user_id", "item_id").distinct()
 

@@ -25,4 +25,4 @@ def query(body: str | None = None, *ctes: str):
     return register
 
 
-from . import catalog_queries, model_queries, recommend_queries, sequence_queries  # noqa: E402, F401
+from . import catalog_queries, document_queries, model_queries, recommend_queries, sequence_queries  # noqa: E402, F401

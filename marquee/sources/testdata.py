@@ -74,6 +74,30 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
+def item_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, description, image_url, imdb_id, metadata): items with JSON text of many forms, some of it malformed."""
+    rows = items(spark, sf_dir).select("item_id", "description", "image_url", F.col("start_year").alias("y"))
+    return rows.select(
+        "item_id", "description", "image_url", F.when(F.col("item_id") % 3 != 0, F.concat(F.lit("tt"), "item_id")).alias("imdb_id"),
+        F.expr(METADATA).alias("metadata"),
+    )
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(interaction_id, user_id, type, context): valid interactions whose source stands in JSON text."""
+    return interactions(spark, sf_dir).select("interaction_id", "user_id", "type", F.expr(CONTEXT).alias("context"))
+
+
+# JSON text for the tables above, in words that both engines read.
+METADATA = """CASE item_id % 13 WHEN 0 THEN NULL WHEN 1 THEN concat('{"tmdb_id": ', item_id) WHEN 2 THEN '["tmdb_id", 1]'
+  WHEN 3 THEN '{"tmdb_id": null, "start_year": "n/a", "year": "1987"}' WHEN 4 THEN '"tmdb_id"' WHEN 5 THEN '{"imdb_id": "tt7", "release_date": "2001-05-06"}'
+  WHEN 6 THEN '' WHEN 7 THEN '{"release_date": "next year", "year": null, "extra": {"tmdb_id": 1}}' WHEN 8 THEN concat('{"tmdb_id": ', item_id, ', "year": ', y, ', "extra": {"a b": [1, {"c": true}]}}')
+  ELSE concat('{"start_year": "', y, '", "tmdb_id": ', item_id, ', "title": "T', item_id, '"}') END"""
+CONTEXT = """CASE interaction_id % 10 WHEN 0 THEN NULL WHEN 1 THEN concat('{"source": "', coalesce(source, 'none'), '"') WHEN 2 THEN '{"source": null}'
+  WHEN 3 THEN '["library", {"source": "library"}]' WHEN 4 THEN '{"source": {"name": "library"}}' WHEN 5 THEN '"library"'
+  ELSE concat('{"rating": 4.5, "source": "', coalesce(source, 'none'), '", "device": {"os": "x", "tags": ["a", "b"]}}') END"""
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("Customer#"), F.floor(F.col("c_custkey") / 2))
     return table(spark, sf_dir, "customer").select(
@@ -104,6 +128,11 @@ CTES = {
          l_suppkey, l_extendedprice, l_quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "emb": """emb AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE embedding IS NOT NULL)""",
+    "docs": f"""docs AS (SELECT item_id, description, image_url, CASE WHEN item_id % 3 <> 0 THEN 'tt' || item_id END AS imdb_id, {METADATA} AS metadata
+  FROM (SELECT *, start_year AS y FROM items)
+), jdocs AS (SELECT *, TRY_CAST(metadata AS JSON) AS j FROM docs)""",
+    "contexts": f"""contexts AS (SELECT interaction_id, user_id, type, {CONTEXT} AS context FROM inter
+), jcontexts AS (SELECT *, CASE WHEN context IS NULL THEN JSON '{{}}' ELSE TRY_CAST(context AS JSON) END AS j FROM contexts)""",
     "users": """users AS (
   SELECT c_custkey AS id, c_name AS display,
          CASE WHEN c_custkey % 2 = 1 THEN upper('Customer#' || (c_custkey // 2)) ELSE 'Customer#' || (c_custkey // 2) END AS username
