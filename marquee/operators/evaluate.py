@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import running
 from .recommend import mean_vectors, popular_for_users, ranked, similar_for_users
 
 
@@ -54,12 +55,22 @@ def weighted_mean(parts: DataFrame, value: str, weight: str) -> DataFrame:
 
 
 def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), key: str | None = None) -> DataFrame:
-    """sorted[min(int(n * p), n - 1)] for each share p, as columns p50, p95, ..., by rank, not by collecting values."""
-    w = Window.partitionBy(key) if key else Window.partitionBy()
-    ranked_rows = rows.select(*([key] if key else []), value, (F.row_number().over(w.orderBy(value)) - 1).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    picked = [F.max(F.when(F.col("at") == at(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares]
-    return (ranked_rows.groupBy(key) if key else ranked_rows).agg(*picked)
+    """sorted[min(int(n * p), n - 1)] for each share p, as columns p50, p95, ..., by rank, not by collecting values.
+
+    Without a key, values are counted and their counts summed by ranges; with one, each key has a window of its own.
+    """
+    names = [f"p{round(100 * p)}" for p in shares]
+    at = lambda n, p: F.least(F.floor(n * p), n - 1)
+    if key is None:
+        counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+        placed, total = running(counts, [F.col(value)], _before=F.col("_n"))
+        n = F.lit(total["_before"]).cast("bigint")
+        holds = lambda p: (F.col("_before") <= at(n, p)) & (at(n, p) < F.col("_before") + F.col("_n"))
+        return placed.agg(*(F.max(F.when(holds(p), F.col(value))).alias(name) for p, name in zip(shares, names, strict=True)))
+    w = Window.partitionBy(key)
+    placed = rows.select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
+    picked = [F.max(F.when(F.col("at") == at(F.col("n"), p), F.col(value))).alias(name) for p, name in zip(shares, names, strict=True)]
+    return placed.groupBy(key).agg(*picked)
 
 
 def latest(rows: DataFrame, most: int, *order: str) -> DataFrame:

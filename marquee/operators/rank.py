@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, genre_overlap_ratio, normalize_year, quantized
 from ..schema import CANDIDATE_POOL, RECENT_WINDOW
+from .numbering import running
 from .recommend import ranked
 from .vectors import summed, top_k
 
@@ -91,9 +92,7 @@ def importance(model: PipelineModel) -> dict[str, float]:
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores: ties count half."""
-    from pyspark.sql import Window
-
-    bins = scored.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    parts = bins.select((F.col("p") * (below + F.col("n") / 2)).alias("wins"), "p", "n")
+    bins = scored.groupBy(score).agg(F.sum(F.col(label)).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
+    placed, _ = running(bins, [F.col(score)], below=F.col("n"))
+    parts = placed.select((F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), "p", "n")
     return parts.agg((F.sum("wins") / (F.sum("p") * F.sum("n"))).alias("auc"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_SEQ_LEN, MIN_INTERACTIONS, MIN_RATING, SPLIT_SEED, TRAIN_RATIO, VAL_RATIO
+from .numbering import numbered
 
 ORDER = ("ts", "interaction_id")
 
@@ -76,12 +77,9 @@ def shuffled(key: Column, seed: int = SPLIT_SEED) -> Column:
 
 
 def ranked_users(users: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
-    """Adds rn (1..n in shuffled order) and n. One row per user goes through one sort; use ``split`` on counts only."""
-    return users.select("user_id").distinct().select(
-        "user_id",
-        F.row_number().over(Window.orderBy(shuffled(F.col("user_id"), seed), "user_id")).cast("bigint").alias("rn"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("n"),
-    )
+    """Adds rn (1..n in shuffled order) and n, by ranges of the order."""
+    ranked, n = numbered(users.select("user_id").distinct(), shuffled(F.col("user_id"), seed), F.col("user_id"))
+    return ranked.withColumn("n", F.lit(n).cast("bigint"))
 
 
 def split(users: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
@@ -100,11 +98,8 @@ def subsample(users: DataFrame, most: int, seed: int = SPLIT_SEED) -> DataFrame:
 
 def shards(users: DataFrame, count: int) -> DataFrame:
     """(user_id, shard): contiguous runs of ceil(n / count) users in id order."""
-    w = Window.orderBy("user_id")
-    users = users.select("user_id").distinct().select(
-        "user_id", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n")
-    )
-    return users.select("user_id", F.floor((F.col("rn") - 1) / F.ceil(F.col("n") / count)).cast("bigint").alias("shard"))
+    ranked, n = numbered(users.select("user_id").distinct(), F.col("user_id"))
+    return ranked.select("user_id", F.floor((F.col("rn") - 1) / max(1, math.ceil(n / count))).cast("bigint").alias("shard"))
 
 
 def sampled_windows(seqs: DataFrame, per_user: int, seed: int = SPLIT_SEED, length: int = MAX_SEQ_LEN) -> DataFrame:

@@ -1,8 +1,11 @@
 """Dense vectors: similarity search by blocks, negatives, losses.
 
-Search takes queries and a catalog in blocks of at most QUERY_BLOCK and CATALOG_BLOCK rows, cut as they stream by. Each pair of blocks is one matrix product in a Python
-worker (Arrow in, Arrow out) that keeps only each query's best few; a window then merges the blocks' candidates. The
-catalog is cut, so it never has to fit one task or one broadcast, and work is queries x catalog / blocks.
+Search takes the catalog in blocks of at most CATALOG_BLOCK rows, from a vector store or cut once from a table. A catalog
+of at most BROADCAST_BYTES, by its count and dimension, is broadcast: queries are read once where they are and nothing
+is shuffled. A larger one is dealt to cells of a grid, groups of at most about QUERY_GROUP queries by parts of the
+catalog: each block is read from its table and sent to one cell for each group. In both, a worker multiplies its queries
+with one block after another and keeps only each query's best so far, so what leaves it is one list for each query (and
+part), whatever the number of blocks.
 """
 
 from __future__ import annotations
@@ -16,9 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, norm, normalized, quantized
 from ..schema import TEMPERATURE
+from ..tables import stored
 
-#: Queries in one product, and vectors in a block of the catalog.
-QUERY_BLOCK, CATALOG_BLOCK = 1024, 8192
+#: Queries in one product, vectors in a block of the catalog, and queries that a task holds.
+QUERY_BLOCK, CATALOG_BLOCK, QUERY_GROUP = 1024, 8192, 4096
+#: Catalogs of more bytes are not broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def unit_table(embeddings: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -85,35 +91,119 @@ def _best(score: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def top_candidates(
-    queries: DataFrame, catalog: DataFrame, query_block: int = QUERY_BLOCK, catalog_block: int = CATALOG_BLOCK
-) -> DataFrame:
-    """(query_id, item_id, score) for each query (query_id, q, want): its best ``want`` items of every catalog block."""
-    q = _blocks(queries.where("want > 0").select("query_id", "q", "want"), query_block)
-    c = _blocks(catalog.select("item_id", "v"), catalog_block)
-    pairs = q.join(c)  # every block with every block
+class _Best:
+    """The best items so far of some queries: a running top-k over blocks of the catalog."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, want: np.ndarray):
+        self.ids, self.vectors, self.want = ids, vectors, want
+        self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def meet(self, items: np.ndarray, block: np.ndarray) -> None:
+        """One block of the catalog, its items ascending."""
+        for at in range(0, len(self.vectors), QUERY_BLOCK):
+            score = np.floor(self.vectors[at : at + QUERY_BLOCK] @ block.T * 1e6 + 0.5) / 1e6
+            rows, columns = _best(score, self.want[at : at + QUERY_BLOCK])
+            self.row = np.concatenate([self.row, rows + at])
+            self.item = np.concatenate([self.item, items[columns]])
+            self.score = np.concatenate([self.score, score[rows, columns]])
+        order = np.lexsort((self.item, -self.score, self.row))
+        row = self.row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order = order[place < self.want[row]]
+        self.row, self.item, self.score = self.row[order], self.item[order], self.score[order]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(self.row)), pa.array(self.item), pa.array(self.score)], names=["query_id", "item_id", "score"])
+
+
+def catalog_blocks(catalog, size: int = CATALOG_BLOCK) -> DataFrame:
+    """(ids, v) of a vector store, or of a table (item_id, v), which is then written in blocks; vectors end to end."""
+    if not isinstance(catalog, DataFrame):
+        return catalog.blocks.select("ids", "v")
+    cut = _blocks(catalog.select("item_id", "v"), size)
+    return stored(cut.select(F.col("item_id").alias("ids"), F.flatten("v").alias("v")), "catalog")
+
+
+def _matrix(ids: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(ids, kind="stable")
+    return ids[order], flat.reshape(len(ids), -1)[order]
+
+
+def _by_broadcast(queries: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    told = queries.sparkSession.sparkContext.broadcast(blocks)  # of at most BROADCAST_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_GROUP):
+                part = batch.slice(at, QUERY_GROUP)
+                best = _Best(part.column(0), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1), part.column(2).to_numpy())
+                for items, block in told.value:
+                    best.meet(items, block)
+                yield best.rows()
+
+    return queries.select("query_id", "q", "want").mapInArrow(run, "query_id long, item_id long, score double")
+
+
+def _by_cells(queries: DataFrame, blocks: DataFrame, query_group: int) -> DataFrame:
+    spark = queries.sparkSession
+    queries = stored(queries.select("query_id", "q", "want"), "queries")
+    groups = max(1, -(-queries.count() // query_group))
+    parts = max(1, min(blocks.count(), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups)))
+    none = lambda kind: F.lit(None).cast(kind)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g"), every(parts).alias("p"), F.lit(0).alias("side"), "query_id", "q", "want", none("array<bigint>").alias("ids"), none("array<double>").alias("v"))
+    own = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(parts)).cast("int")
+    right = blocks.select(every(groups).alias("g"), own.alias("p"), F.lit(1).alias("side"), none("bigint").alias("query_id"), none("array<double>").alias("q"), none("int").alias("want"), "ids", "v")
+    cells = left.unionByName(right).repartition("g", "p").sortWithinPartitions("g", "p", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, best = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, items = batch.column(0)[i].values, batch.column(3)[i].values.to_numpy()
-                want = batch.column(2)[i].values.to_numpy()
-                a = batch.column(1)[i].values.flatten().to_numpy().reshape(len(ids), -1)
-                b = batch.column(4)[i].values.flatten().to_numpy().reshape(len(items), -1)
-                order = np.argsort(items, kind="stable")
-                items, b = items[order], b[order]
-                score = np.floor(a @ b.T * 1e6 + 0.5) / 1e6
-                rows, columns = _best(score, want)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(items[columns]), pa.array(score[rows, columns])],
-                    names=["query_id", "item_id", "score"],
-                )
-
-    return pairs.mapInArrow(run, "query_id long, item_id long, score double")
-
-
-def top_k(queries: DataFrame, catalog: DataFrame, k: int, exclude: DataFrame | None = None) -> DataFrame:
-    """(query_id, item_id, score, rank): each query's k best items by quantized cosine, ties by item.
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if key != cell:
+                    if best is not None:
+                        yield best.rows()
+                    cell, held, best = key, [], None
+                if batch.column(2)[i].as_py() == 0:  # queries come before blocks
+                    held.append((batch.column(3)[i].as_py(), batch.column(4)[i].values.to_numpy(), batch.column(5)[i].as_py()))
+                elif held:
+                    if best is None:
+                        ids, q, want = zip(*held, strict=True)
+                        best = _Best(pa.array(ids, pa.int64()), np.stack(q), np.array(want))
+                    best.meet(*_matrix(batch.column(6)[i].values.to_numpy(), batch.column(7)[i].values.to_numpy()))
+        if best is not None:
+            yield best.rows()
+
+    return cells.mapInArrow(run, "query_id long, item_id long, score double")
+
+
+def top_candidates(
+    queries: DataFrame, catalog, query_group: int = QUERY_GROUP, catalog_block: int = CATALOG_BLOCK, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """(query_id, item_id, score) for each query (query_id, q, want): its best ``want`` items, once for each part of the
+    catalog, which is a table (item_id, v) or a vector store."""
+    queries = queries.where("want > 0")
+    if isinstance(catalog, DataFrame):
+        size = catalog.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+        n, d = size.n, size.d or 0
+    else:
+        n, d = catalog.count, catalog.dimension
+    if 8 * n * (d + 1) > broadcast_bytes:
+        return _by_cells(queries, catalog_blocks(catalog, catalog_block), query_group)
+    if isinstance(catalog, DataFrame):
+        table = catalog.select("item_id", "v").toArrow()
+        ids, flat = table.column(0).to_numpy(), table.column(1).combine_chunks().flatten().to_numpy()
+        whole = [_matrix(ids, flat)] if n else []
+    else:
+        whole = [_matrix(np.array(r.ids), np.array(r.v)) for r in catalog.blocks.select("ids", "v").collect()]
+    cut = [(i[at : at + catalog_block], v[at : at + catalog_block]) for i, v in whole for at in range(0, len(i), catalog_block)]
+    return _by_broadcast(queries, cut)
+
+
+def top_k(queries: DataFrame, catalog, k: int, exclude: DataFrame | None = None) -> DataFrame:
+    """(query_id, item_id, score, rank): each query's k best items by quantized cosine, ties by item. The catalog is a
+    table (item_id, v) or a vector store.
 
     ``exclude`` (query_id, item_id) is dropped: a query asks for that many more and the anti join takes them out, so the
     result is exact. With fewer items than k the list is shorter.

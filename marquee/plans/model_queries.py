@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, norm, quantized
 from ..operators import evaluate, predict, rank, recommend, sequences, vectors
+from ..sources import vector_store
+from ..tables import shared_dir
 from .model import Model, joined
 from .registry import query
 
@@ -27,6 +31,30 @@ def cosine_topk(m: Model) -> DataFrame:
     return vectors.top_k(q, m.units, 5, q.select("query_id", F.col("query_id").alias("item_id")))
 
 
+def _store(m: Model) -> vector_store.VectorStore:
+    """A store of the whole catalog, written now and opened with its ids compared."""
+    path = f"{shared_dir(m.spark).rstrip('/')}/marquee-store-{uuid.uuid4().hex}"
+    vector_store.write_store(m.embeddings, path)
+    return vector_store.open_store(m.spark, path, ids=m.embeddings.select("item_id"))
+
+
+@query(f"+ {TOP} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM t QUALIFY rank <= 5", "emb", "unit")
+def cosine_topk_of_store(m: Model) -> DataFrame:
+    """The same search over a vector store, by cells: its blocks are read, never computed again."""
+    store = _store(m)
+    q = store.vectors().where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("v").alias("q"), F.lit(6).alias("want"))
+    found = vectors.top_candidates(q, store, broadcast_bytes=0).where("item_id <> query_id")
+    return recommend.ranked(found.withColumnRenamed("query_id", "user_id"), 5, F.desc("score"), F.col("item_id")).withColumnRenamed("user_id", "query_id")
+
+
+@query("""+ r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS row FROM emb)
+SELECT i.item_id, coalesce(row, -1) AS row, floor(coalesce(list_dot_product(v, v), 0) * 1e6 + 0.5) / 1e6 AS square FROM items i LEFT JOIN r USING (item_id) LEFT JOIN unit USING (item_id)""", "items", "emb", "unit")
+def catalog_rows(m: Model) -> DataFrame:
+    """Each item's row in the store, -1 without a vector, and the square of what a lookup gives."""
+    found = _store(m).lookup(m.items.select("item_id"))
+    return found.select("item_id", "row", quantized(dot(F.col("v"), F.col("v"))).alias("square"))
+
+
 @query("""+ f AS (SELECT * FROM unit ORDER BY item_id LIMIT 5), t AS (SELECT f.item_id AS own, u.item_id, row_number() OVER (
   PARTITION BY f.item_id ORDER BY floor(list_dot_product(f.v, u.v) * 1e6 + 0.5) / 1e6 DESC, u.item_id) AS rank FROM f, unit u)
 SELECT count(*) AS checked, count(*) FILTER (own <> item_id) AS mismatches FROM t WHERE rank = 1""", "emb", "unit")

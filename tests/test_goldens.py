@@ -125,8 +125,10 @@ def test_top_k(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id bigint, q array<double>")
     out = lambda *gone: [r.item_id for r in vectors.top_k(q, units, 2, spark.createDataFrame([(7, g) for g in gone], "query_id bigint, item_id bigint")).orderBy("rank").collect()]  # noqa: E731, E501
     assert out(1) == [2, 3] and out(1, 2) == [3, 4] and out(1, 2, 3) == [4]
-    small = vectors.top_candidates(q.select("query_id", S.normalized(F.col("q")).alias("q"), F.lit(2).alias("want")), units, 3, 1)
-    assert small.count() == 4  # one from each block of one
+    for most in (0, 1 << 20):  # in cells of a grid, or by broadcast: the best two of four blocks of one
+        small = vectors.top_candidates(q.select("query_id", S.normalized(F.col("q")).alias("q"), F.lit(2).alias("want")), units, 3, 1, most)
+        best = sorted((-r.score, r.item_id) for r in small.collect())
+        assert best[:2] == [(-1.0, 1), (-0.993884, 2)] and len(best) == (2 if most else 4)
     with pytest.raises(ValueError, match="positive"):
         vectors.top_k(q, units, 0)
     with pytest.raises(Exception, match="has not 3 numbers"):
