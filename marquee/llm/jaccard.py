@@ -6,11 +6,13 @@
    share one of their first n - ceil(0.8 n) + 1 shingles in it, whatever the order: a tile is the sets that share one.
    Tiles of the same members, as near copies make by the hundred, are one tile.
 3. In a tile, sets are compared in bands of sizes, in numpy: bits set in one bitmap and not in the other are shingles
-   that the other lacks, so counts of them bound the overlap from above. Large tiles are cut into pieces.
-4. First each set meets only its most promising partner in each tile (in large tiles in its piece, which also has one set
-   common to all pieces). Pairs are confirmed by intersecting their sorted arrays of whole shingle sets, and join components.
-   Then, in tiles that still have more than one component, all pairs across components that pass the bound are confirmed. So
-   every similar pair is confirmed or connected by others that are, and large groups of near copies never make all pairs.
+   that the other lacks, so counts of them bound the overlap from above. So does the place of the shared shingle, in the
+   tile where it is the first one shared: none before it is. Large tiles are cut into pieces.
+4. First each set meets only its most promising and its first partner in each tile (in large tiles in its piece, which
+   also has one set common to all pieces). Pairs are confirmed by intersecting their sorted arrays of whole shingle sets,
+   and join components. In tiles that still have several components, sets outside the largest one meet two more partners
+   from other components; at last all pairs across components that pass the bound are confirmed. So every similar pair is
+   confirmed or connected by others that are, and large groups of near copies never make all pairs.
 
 Whole sets leave the workers only where some partner passed the bound, and are made from the text anew for that. Work in
 a tile is the square of its sets outside its largest component and linear in that one; very many sets that begin alike,
@@ -40,7 +42,7 @@ STRETCH, OFTEN, COMMON, MOST_COMMON = 1 << 20, 3, 100, 1_000_000
 #: Bits of a set's bitmap: the power of two that is at least BITS_EACH for each shingle, between the two bounds.
 BITS_EACH, LEAST_BITS, MOST_BITS = 2, 64, 8192
 #: Larger tiles are cut into pieces of about this many sets.
-PIECE = 256
+PIECE = 1024
 #: Bits of the filter by which a pass over the texts leaves out sets that are not wanted.
 FILTER_BITS = 24
 #: Rows of an Arrow batch, and shingles after which a batch of sets ends.
@@ -51,21 +53,64 @@ _STEP, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4
 # ---------------------------------------------------------------- sets
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Hashes of a text's distinct word shingles, ascending: a polynomial over the words' XXH3, mixed."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers after which all bits depend on all."""
+    h = (h ^ (h >> np.uint64(30))) * _MIX1
+    h = (h ^ (h >> np.uint64(27))) * _MIX2
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n-1), modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), base, np.uint64)], dtype=np.uint64)[:n]
+
+
+#: A number for each byte, the same for both cases of a letter and 0 for white space; bytes of a block; powers for one.
+_BYTES = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+_BYTES[_SPACE] = 0
+_BLOCK, _BASE = 1 << 16, 0xD1342543DE82EF95
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(pow(_BASE, -1, 1 << 64), _BLOCK)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash for each word of a text, A-Z as a-z: polynomials over its bytes' numbers, in blocks that end with a word."""
+    whole, out, low = np.frombuffer(text, np.uint8), [], 0
+    while low < len(whole):
+        high = min(low + _BLOCK, len(whole))
+        if high < len(whole) and not _SPACE[whole[high - 1]]:
+            cut = np.flatnonzero(_SPACE[whole[low:high]])
+            if len(cut):
+                high = low + int(cut[-1]) + 1
+            else:  # a word longer than a block
+                while high < len(whole) and not (found := np.flatnonzero(_SPACE[whole[high : high + _BLOCK]])).size:
+                    high = min(high + _BLOCK, len(whole))
+                high = high + int(found[0]) if high < len(whole) else high
+        block = whole[low:high]
+        inside = ~_SPACE[block]
+        starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+        if len(starts):
+            n = len(block)
+            up, down = (_UP, _DOWN) if n <= _BLOCK else (_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n))
+            out.append(_mixed(np.add.reduceat(_BYTES[block] * up[:n], starts) * down[starts]))
+        low = high
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, ascending: polynomials over the words' hashes."""
+    each = word_hashes(text or b"")
+    if not len(each):
         return np.empty(0, np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    each = np.fromiter(map(digest, words), np.uint64, len(words))
-    width = min(shingle, len(words))
-    n = len(words) - width + 1
+    width = min(shingle, len(each))
+    n = len(each) - width + 1
     h = each[:n].copy()
     for k in range(1, width):
         h = h * _STEP + each[k : k + n]
-    h = (h ^ (h >> np.uint64(30))) * _MIX1
-    h = (h ^ (h >> np.uint64(27))) * _MIX2
-    return np.unique((h ^ (h >> np.uint64(31))).view(np.int64))
+    h = np.sort(_mixed(h).view(np.int64))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def digest_of(hashes: np.ndarray) -> tuple[int, int]:
@@ -135,7 +180,7 @@ def signatures(docs: DataFrame, shingle: int, id_column: str, text_column: str)
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(h), pa.binary()), pa.array(h), pa.array(times.astype(np.int64))], names=names)
 
     names = ["doc_id", "n", "k1", "k2", "bits", "h", "times"]
-    pair = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
+    pair = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("binary").alias("text"))
     return pair.mapInArrow(releasing(run), "doc_id long, n long, k1 long, k2 long, bits binary, h long, times long")
 
 
@@ -156,7 +201,7 @@ def prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, shingle: int, text_column: str, last) -> DataFrame:
-    """(h, k1, k2) of the first shingles of each set, copies within a task once."""
+    """(h, k1, k2, place) of the first shingles of each set, copies within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -165,24 +210,26 @@ def _prefixes(docs: DataFrame, shingle: int, text_column: str, last) -> DataFram
             if new:
                 first = [prefix(sets[i], last.value) for i, _ in new]
                 keys = np.repeat(np.array([k for _, k in new], np.int64), [len(x) for x in first], axis=0)
-                columns = [np.concatenate(first), keys[:, 0].copy(), keys[:, 1].copy()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "k1", "k2"])
+                place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in first])
+                columns = [np.concatenate(first), keys[:, 0].copy(), keys[:, 1].copy(), place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "k1", "k2", "place"])
 
-    return docs.select(docs[text_column].alias("text")).mapInArrow(releasing(run), "h long, k1 long, k2 long")
+    return docs.select(docs[text_column].cast("binary").alias("text")).mapInArrow(releasing(run), "h long, k1 long, k2 long, place int")
 
 
 def tiles(docs: DataFrame, sets: DataFrame, shingle: int, text_column: str, last: np.ndarray) -> DataFrame:
-    """(h, c, no, n, bits): the sets (no, k1, k2, n, bits) of each tile h, c of them, tiles of equal members once."""
+    """(h, c, no, n, room, bits): the sets (no, k1, k2, n, bits) of each tile h, c of them, tiles of equal members once;
+    room is what of a set is left from the shared shingle on, the first of them where several tiles became one."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(last)  # 8 MB at most
     entries = _prefixes(docs, shingle, text_column, shared).repartition("h").dropDuplicates(["h", "k1", "k2"])
     w = Window.partitionBy("h")
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "k1", "k2")).over(w).alias(f"d{seed}") for seed in (1, 2)]
-    counted = entries.select("h", "k1", "k2", F.count(F.lit(1)).over(w).alias("c"), *marks).where("c > 1")
+    counted = entries.select("h", "k1", "k2", "place", F.count(F.lit(1)).over(w).alias("c"), *marks).where("c > 1")
     counted = saved(counted, "shared")
-    kept = counted.groupBy("c", "d1", "d2").agg(F.min("h").alias("h")).select("h")
-    rows = counted.select("h", "c", "k1", "k2").join(kept, "h", "left_semi").join(sets, ["k1", "k2"])
-    out = saved(rows.select("h", "c", "no", "n", "bits"), "tiles")
+    once = counted.groupBy("c", "d1", "d2", "k1", "k2").agg(F.min("h").alias("h"), F.min("place").alias("place"))
+    rows = once.select("h", "c", "k1", "k2", "place").join(sets, ["k1", "k2"])
+    out = saved(rows.select("h", "c", "no", "n", (F.col("n") - F.col("place")).alias("room"), "bits"), "tiles")
     dropped(counted)
     return out
 
@@ -222,7 +269,8 @@ def _bitmaps(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _near(left: tuple, right: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bound): pairs of rows of two sides (n, bitmaps by width) that may be similar, with a bound of the overlap.
+    """(i, j, share): pairs of rows of two sides (n, bitmaps by width, room) that may be similar, and what share of both
+    sets the bitmaps let be common.
 
     Sizes of similar sets differ by a quarter at most, so widths are equal or one doubling apart; the wider is folded.
     """
@@ -237,40 +285,55 @@ def _near(left: tuple, right: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, n
                 part, n, m = x[at : at + step, None, :], left[0][i[at : at + step], None], right[0][j][None, :]
                 lacks = np.bitwise_count(part & ~y[None]).sum(axis=2, dtype=np.int64)
                 lacked = np.bitwise_count(y[None] & ~part).sum(axis=2, dtype=np.int64)
-                bound = np.minimum(n - lacks, m - lacked)
+                bound = np.minimum(np.minimum(n - lacks, m - lacked), np.minimum(left[2][i[at : at + step], None], right[2][j][None, :]))
                 p, q = np.nonzero(similar(bound, n, m))
-                yield i[at + p], j[q], bound[p, q]
+                yield i[at + p], j[q], 1 - (lacks[p, q] + lacked[p, q]) / (left[0][i[at + p]] + right[0][j[q]])
 
 
 def _best_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, piece, no, n, bits) -> for each set of a piece its partner of the greatest bound, of equals the first."""
+    """Rows (h, piece, no, n, room, bits) -> for each set of a piece its partner of the greatest bound, and its first one."""
     for group in _grouped(batches, 2):
-        no, n = group.column(2).to_numpy(), group.column(3).to_numpy()
-        side = n, _bitmaps(group.column(4))
-        found = [(i, j, bound / (n[i] + n[j])) for i, j, bound in _near(side, side)]
+        no, n, room = (group.column(k).to_numpy() for k in (2, 3, 4))
+        if len(n) == 2 and not similar(min(n.min(), room.min()), n[0], n[1]):
+            continue
+        side = n, _bitmaps(group.column(5)), room
+        found = list(_near(side, side))
         if found:
             i, j, share = (np.concatenate(x) for x in zip(*found, strict=True))
             apart = no[i] != no[j]
             i, j, share = i[apart], j[apart], share[apart]
-            order = np.lexsort((no[j], -share, i))
-            i, j = i[order], j[order]
-            first = np.r_[True, i[1:] != i[:-1]][: len(i)]
-            yield _pairs(no[i[first]], no[j[first]])
+            taken = np.concatenate([_firsts(i, np.lexsort((no[j], *order, i))) for order in ([-share], [])])
+            if len(taken):
+                yield _pairs(no[i[taken]], no[j[taken]])
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, p, q, side, no, n, root, bits) -> pairs of one set of each side, of different roots, that may be similar."""
+def _open_pairs(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (h, p, q, side, no, n, room, root, bits) -> pairs of one set of each side, of different roots, that may be
+    similar; with ``best`` each set of the first side only with its most promising and its first partner."""
     for group in _grouped(batches, 3):
-        side, no, n, root = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
+        side, no, n, room, root = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6, 7))
         rows = [np.flatnonzero(side == s) for s in (0, 1)]
         if not len(rows[0]) or not len(rows[1]):
             continue
-        left, right = ((n[r], _bitmaps(group.column(7).take(pa.array(r)))) for r in rows)
-        for i, j, _ in _near(left, right):
+        left, right = ((n[r], _bitmaps(group.column(8).take(pa.array(r))), room[r]) for r in rows)
+        found = []
+        for i, j, share in _near(left, right):
             i, j = rows[0][i], rows[1][j]
             apart = root[i] != root[j]
-            if apart.any():
+            if apart.any() and not best:
                 yield _pairs(no[i[apart]], no[j[apart]])
+            elif apart.any():
+                found.append((i[apart], j[apart], share[apart]))
+        if found:
+            i, j, share = (np.concatenate(x) for x in zip(*found, strict=True))
+            taken = [_firsts(i, np.lexsort((no[j], *order, i))) for order in ([-share], [])]
+            yield _pairs(*(no[x[np.concatenate(taken)]] for x in (i, j)))
+
+
+def _firsts(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of places in ``order``, where equal keys follow each other, the first of each key."""
+    ordered = key[order]
+    return order[np.r_[True, ordered[1:] != ordered[:-1]][: len(order)]]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -286,29 +349,31 @@ def first_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): each set's most promising partner in each tile, of a large tile in its piece."""
     large = rows.where(F.col("c") > PIECE)
     pieces = rows.withColumn("piece", F.when(F.col("c") > PIECE, F.pmod(F.xxhash64("no"), _many(F.col("c")))).otherwise(0).cast("int"))
-    one = large.groupBy("h").agg(F.min_by(F.struct("no", "n", "bits"), "no").alias("one"), F.max("c").alias("c"))
+    one = large.groupBy("h").agg(F.min_by(F.struct("no", "n", "room", "bits"), "no").alias("one"), F.max("c").alias("c"))
     common = one.select("h", F.explode(F.sequence(F.lit(0), _many(F.col("c")) - 1)).alias("piece"), "one.*")
-    dealt = pieces.select("h", "piece", "no", "n", "bits").unionByName(common.select("h", "piece", "no", "n", "bits"))
+    dealt = pieces.select("h", "piece", "no", "n", "room", "bits").unionByName(common.select("h", "piece", "no", "n", "room", "bits"))
     dealt = dealt.repartition("h", "piece").sortWithinPartitions("h", "piece", "n", "no")
     return dealt.mapInArrow(releasing(_best_partners), "a long, b long").distinct()
 
 
-def rest_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): in tiles of several components all pairs across components that may be similar."""
+def rest_pairs(rows: DataFrame, roots: DataFrame, best: bool = False) -> DataFrame:
+    """(a, b): in tiles of several components all pairs across components that may be similar, or (``best``) two partners
+    at most for each set outside the largest one. Tiles of two sets had their only pair before."""
+    rows = rows.where("c > 2")
     ids = rows.select("h", "no").join(roots.withColumnRenamed("node", "no"), "no", "left").select("h", "no", F.coalesce("root", "no").alias("root"))
     by_root = ids.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = by_root.groupBy("h").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.sum("m").alias("c"))
     still = largest.where("most < c").select("h", "largest", F.col("c").alias("of"), (F.col("c") - F.col("most")).alias("others"))
-    open_ = rows.select("h", "no", "n", "bits").join(still, "h").join(roots.withColumnRenamed("node", "no"), "no", "left")
+    open_ = rows.select("h", "no", "n", "room", "bits").join(still, "h").join(roots.withColumnRenamed("node", "no"), "no", "left")
     open_ = saved(open_.withColumn("root", F.coalesce("root", "no")), "open")
     p, q = _many(F.col("others")), _many(F.col("of"))  # pieces of the smaller components' sets, and of all
     own = lambda many: F.pmod(F.xxhash64("no"), many).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
-    columns = ("no", "n", "root", "bits")
+    columns = ("no", "n", "room", "root", "bits")
     small = open_.where("root <> largest").select("h", own(p).alias("p"), every(q).alias("q"), F.lit(0).alias("side"), *columns)
     all_ = open_.select("h", every(p).alias("p"), own(q).alias("q"), F.lit(1).alias("side"), *columns)
     dealt = small.unionByName(all_).repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "side", "n", "no")
-    found = saved(dealt.mapInArrow(releasing(_open_pairs), "a long, b long").distinct(), "rest-pairs")
+    found = saved(dealt.mapInArrow(releasing(lambda batches: _open_pairs(batches, best)), "a long, b long").distinct(), "rest-pairs")
     dropped(open_)
     return found
 
@@ -344,7 +409,7 @@ class Confirmer:
                     lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own)))
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists], names=["k1", "k2", "hashes"])
 
-        whole = self.docs.select(self.docs[self.text_column].alias("text")).mapInArrow(releasing(run), "k1 long, k2 long, hashes array<long>")
+        whole = self.docs.select(self.docs[self.text_column].cast("binary").alias("text")).mapInArrow(releasing(run), "k1 long, k2 long, hashes array<long>")
         return whole.join(wanted, ["k1", "k2"]).groupBy("no").agg(F.any_value("hashes").alias("hashes"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -392,12 +457,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         sets = saved(sets.withColumn("no", F.monotonically_increasing_id()), "distinct-sets")
         rows = tiles(docs, sets.drop("first"), shingle, text_column, last)
         confirmer = Confirmer(docs, sets, shingle, text_column)
-        pairs = saved(first_pairs(rows), "first-pairs")
-        edges = confirmer.confirmed(pairs)
-        roots = components(edges)
-        rest = rest_pairs(rows, roots).join(pairs, ["a", "b"], "left_anti")
-        edges = edges.unionByName(confirmer.confirmed(saved(rest, "rest")))
-        dropped(rows, pairs)
+        asked = saved(first_pairs(rows), "first-pairs")
+        edges = confirmer.confirmed(asked)
+        for best in (True, False):  # what the first turn connects, the second need not compare
+            more = rest_pairs(rows, components(edges), best).join(asked, ["a", "b"], "left_anti")
+            more = saved(more, "more-pairs")
+            edges, asked = edges.unionByName(confirmer.confirmed(more)), asked.unionByName(more)
+        dropped(rows)
         confirmer.close()
     roots = components(edges)
     rooted = sets.join(roots, sets["no"] == roots["node"], "left").select("k1", "k2", "first", F.coalesce("root", "no").alias("root"))

@@ -217,7 +217,7 @@ def families(seed, many, texts):
     return rows
 
 
-@pytest.mark.parametrize(("piece", "common"), [(256, 100), (4, 3)])
+@pytest.mark.parametrize(("piece", "common"), [(1024, 100), (4, 3)])
 def test_jaccard_components(spark, sf_dir, monkeypatch, piece, common):
     monkeypatch.setattr(jaccard, "PIECE", piece)
     monkeypatch.setattr(jaccard, "COMMON", common)
@@ -243,19 +243,35 @@ def test_jaccard_chain_and_one_text(spark):
     assert {r.component_id for r in got} == {0, 500}
 
 
+def test_word_hashes():
+    """As many words as Python finds, equal where the words are, whatever the blocks are cut at."""
+    rng, seen = random.Random(4), {}
+    texts = ["", " ", "a", " a", "a ", "x" * 200_000, "y" * 70_000 + " z " + "x" * 65_536 + "\t" + "q" * 65_535, " " * 70_000 + "end"]
+    texts += ["".join(rng.choice("abAB é\u2003\x0b\n  ") for _ in range(rng.randint(0, 300))) for _ in range(300)]
+    texts.append(" ".join(f"W{rng.randrange(5000)}" for _ in range(60_000)))
+    for t in texts:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split()
+        hashes = jaccard.word_hashes(t.encode()).tolist()
+        assert len(hashes) == len(words)
+        for w, h in zip(words, hashes, strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 5000
+
+
 def test_bitmaps_bound_the_overlap():
     rng = random.Random(2)
     sets = [np.unique(np.array([rng.getrandbits(64) - 2**63 for _ in range(rng.randint(1, 300))])) for _ in range(20)]
     sets += [np.unique(np.r_[s[: len(s) * 9 // 10], np.array([rng.getrandbits(62) for _ in range(len(s) // 12)], np.int64)]) for s in sets]
     import pyarrow as pa
 
-    side = np.array([len(s) for s in sets]), jaccard._bitmaps(pa.array([jaccard.bitmap(s) for s in sets], pa.binary()))
-    found = {(int(a), int(b)): int(c) for i, j, bound in jaccard._near(side, side) for a, b, c in zip(i, j, bound, strict=True)}
+    n = np.array([len(s) for s in sets])
+    side = n, jaccard._bitmaps(pa.array([jaccard.bitmap(s) for s in sets], pa.binary())), n
+    found = {(int(a), int(b)): c for i, j, share in jaccard._near(side, side) for a, b, c in zip(i, j, share, strict=True)}
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             inside = len(np.intersect1d(a, b))
             if 9 * inside >= 4 * (len(a) + len(b)):
-                assert found[i, j] >= inside
+                assert found[i, j] * (len(a) + len(b)) >= 2 * inside - 1e-6
 
 
 def test_jaccard_query_has_all_rows(spark, sf_dir):
