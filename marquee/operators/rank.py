@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, genre_overlap_ratio, normalize_year, quantized
 from ..schema import CANDIDATE_POOL, RECENT_WINDOW
+from ..sources.files import write_json
 from .numbering import running
 from .recommend import ranked
 from .vectors import summed, top_k
@@ -67,19 +72,81 @@ def training_rows(samples: DataFrame, queries: DataFrame, units: DataFrame, item
     return rows.join(label, ["user_id", "item_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
 
 
-def train(rows: DataFrame, rounds: int = 20, depth: int = 5, validation: str | None = None) -> PipelineModel:
-    trees = GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="all", seed=42, labelCol="label"
-    )
+#: Boosting of the ranker: fixed values.
+ROUNDS, STEP, SHARE, SEED = 200, 0.05, 0.8, 42
+#: Boosting with held-out rows stops when a round lowers their loss by less than this share of it.
+TOLERANCE = 0.001
+
+
+def train(rows: DataFrame, rounds: int = ROUNDS, depth: int = 5, validation: str | None = None) -> PipelineModel:
+    """Boosted trees over FEATURES; with a ``validation`` column (true for rows that are held out) boosting stops when
+    their loss stops falling, and the rounds up to the best are kept."""
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=STEP, subsamplingRate=SHARE, featureSubsetStrategy="all", seed=SEED, labelCol="label", validationTol=TOLERANCE)
     if validation:
         trees = trees.setValidationIndicatorCol(validation)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(rows)
 
 
+def held_out(user_id: Column, share: int = 5, seed: int = SEED) -> Column:
+    """Whether a user's rows validate the ranker: one in ``share``, by a hash, so no user is on both sides."""
+    return F.conv(F.substring(F.md5(F.concat(user_id.cast("string"), F.lit(f"|rank{seed}"))), 1, 8), 16, 10).cast("bigint") % share == 0
+
+
+def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Rows with ``p``, the model's probability of the label."""
+    return model.transform(rows).withColumn("p", vector_to_array("probability")[1])
+
+
+@dataclass(frozen=True)
+class Ranker:
+    """A trained ranker as it is kept: the model and what it was trained with."""
+
+    model: PipelineModel
+    config: dict
+
+    @property
+    def trees(self) -> int:
+        return self.model.stages[-1].getNumTrees
+
+    def rerank(self, rows: DataFrame, k: int) -> DataFrame:
+        return rerank(self.model, rows, k)
+
+
+def fit(rows: DataFrame, pool: int = CANDIDATE_POOL, rounds: int = ROUNDS, depth: int = 5, validation: str | None = None, trained_at: str | None = None) -> Ranker:
+    """Trains a ranker on rows (FEATURES, label) and records its parameters and, where rows are held out, their AUC."""
+    model = train(rows, rounds, depth, validation)
+    value = None
+    if validation:
+        value = auc(scored(model, rows.where(validation)), "p").first()["auc"]
+    config = {
+        "features": FEATURES, "rounds": rounds, "depth": depth, "step": STEP, "pool": pool, "rows": rows.count(), "auc": value, "trained_at": trained_at,
+    }
+    return Ranker(model, config)
+
+
+def save(ranker: Ranker, path: str) -> None:
+    """Writes the model, and last its configuration: an artefact without one is not whole."""
+    ranker.model.write().overwrite().save(f"{path}/model")
+    write_json(SparkSession.active(), ranker.config, f"{path}/config")
+
+
+def load(spark: SparkSession, path: str, **expected) -> Ranker | None:
+    """A saved ranker, or None where there is none. One of other features, or whose configuration differs from what is
+    expected of it by name, is refused."""
+    try:
+        line = spark.read.text(f"{path}/config").first()
+    except AnalysisException:
+        return None
+    config = json.loads(line[0])
+    for name, want in ({"features": FEATURES} | expected).items():
+        if config.get(name) != want:
+            raise ValueError(f"the ranker was trained with {name} {config.get(name)}, not {want}")
+    return Ranker(PipelineModel.load(f"{path}/model"), config)
+
+
 def rerank(model: PipelineModel, rows: DataFrame, k: int) -> DataFrame:
     """The k best candidates by the model; ties keep the retrieval order."""
-    scored = model.transform(rows).withColumn("p", vector_to_array("probability")[1])
-    best = ranked(scored, k, F.desc("p"), F.desc("retrieval_score"), F.col("item_id"))
+    best = ranked(scored(model, rows), k, F.desc("p"), F.desc("retrieval_score"), F.col("item_id"))
     return best.select("user_id", "item_id", F.col("p").alias("score"), "rank")
 
 
@@ -90,9 +157,9 @@ def importance(model: PipelineModel) -> dict[str, float]:
     return {f: float(g / total) if total else 0.0 for f, g in zip(FEATURES, gains, strict=True)}
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores: ties count half."""
-    bins = scored.groupBy(score).agg(F.sum(F.col(label)).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    placed, _ = running(bins, [F.col(score)], below=F.col("n"))
+    bins = rows.groupBy(F.col(score).alias("at")).agg(F.sum(F.col(label)).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
+    placed, _ = running(bins, [F.col("at")], below=F.col("n"))
     parts = placed.select((F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), "p", "n")
     return parts.agg((F.sum("wins") / (F.sum("p") * F.sum("n"))).alias("auc"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ab_variant, lowered
 from ..schema import GENRE_POOL, GENRE_WEIGHT, MIN_INTERACTIONS, POPULARITY_LIMIT
+from ..tables import stored
 from .vectors import summed, top_k
 
 
@@ -180,6 +181,60 @@ def recommend_in_library(
     return filtered_by_genres(found, items, labels, k) if wanted else boosted(found, items, profile, k)
 
 
+def library_popularity(
+    users: DataFrame, ranking: DataFrame, excluded: DataFrame, items: DataFrame, profile: DataFrame, k: int, labels: list[str] | None = None
+) -> DataFrame:
+    """Popular items in library mode, without a model: with a genre filter weighted by its labels alone, else by each
+    user's library; users with neither get plain popularity. (user_id, item_id, score, rank)"""
+    if wanted_genres(labels):
+        return genre_weighted(users, ranking, excluded, items, k, labels=labels)
+    users, profiled = users.select("user_id").distinct(), profile.select("user_id").distinct()
+    own = genre_weighted(users.join(profiled, "user_id", "left_semi"), ranking, excluded, items, k, profile=profile)
+    return own.unionByName(popular_for_users(users.join(profiled, "user_id", "left_anti"), ranking, excluded, k))
+
+
+def cascade(users: DataFrame, sources: list[tuple[str, DataFrame | None]], k: int) -> DataFrame:
+    """(user_id, item_id, score, rank, source): sources of candidates (user_id, item_id, score, rank) in order, each only
+    for users who still lack items, only as many as they lack, and none that they have. A source that is None is skipped.
+
+    Each step is written, so a later source reads counts and items of earlier ones and computes none of them again.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    users = users.select("user_id").distinct()
+    columns, steps, lack = ["user_id", "item_id", "score", "rank", "source"], [], users.withColumn("have", F.lit(0).cast("bigint"))
+    for name, candidates in sources:
+        if candidates is None:
+            continue
+        rows = candidates.select("user_id", "item_id", "score", F.col("rank").alias("prior")).join(lack, "user_id")
+        for step in steps:
+            rows = rows.join(step.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("user_id").orderBy("prior")).cast("bigint")
+        rows = rows.withColumn("rank", F.col("have") + place).where(F.col("rank") <= k)
+        steps.append(stored(rows.withColumn("source", F.lit(name)).select(*columns), "cascade"))
+        counts = steps[-1].groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+        have = F.col("have") + F.coalesce("n", F.lit(0))
+        lack = stored(lack.join(counts, "user_id", "left").select("user_id", have.alias("have")).where(F.col("have") < k), "lack")
+    if not steps:
+        return users.sparkSession.createDataFrame([], "user_id bigint, item_id bigint, score double, rank bigint, source string")
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out
+
+
+def serving_sources(
+    embeddings: DataFrame, model: DataFrame | None, library: DataFrame | None, popular: DataFrame, version: str = "model", fallback: bool = True
+) -> tuple[str, list[tuple[str, DataFrame | None]]]:
+    """What can be served, as sources of ``cascade`` with the version to report: without vectors or without a model only
+    popularity, which is an error where fallback is not wanted and vectors are there."""
+    bare = embeddings.where(F.col("vector").isNotNull()).isEmpty()
+    if not bare and model is None and not fallback:
+        raise FileNotFoundError("there is no model, and fallback is off")
+    usable = None if bare else model
+    return "popularity-fallback" if usable is None else version, [("model", usable), ("library", library), ("popularity", popular)]
+
+
 def variants(users: DataFrame, fraction: float = 0.5) -> DataFrame:
     return users.select("user_id", ab_variant(F.col("user_id"), fraction).alias("variant")).distinct()
 
@@ -208,7 +263,7 @@ def served(
 
 
 def overlap_audit(recommended: DataFrame, seen: DataFrame) -> DataFrame:
-    """Recommended items that were seen: must be empty."""
+    """Recommended items that were seen: empty for lists that leave out what was seen."""
     return recommended.select("user_id", "item_id").join(seen, ["user_id", "item_id"], "left_semi")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_SEQ_LEN, MIN_INTERACTIONS, MIN_RATING, SPLIT_SEED, TRAIN_RATIO, VAL_RATIO
+from ..tables import stored
 from .numbering import numbered
 
 ORDER = ("ts", "interaction_id")
@@ -96,6 +97,35 @@ def subsample(users: DataFrame, most: int, seed: int = SPLIT_SEED) -> DataFrame:
     return users if most < 1 else users.orderBy(shuffled(F.col("user_id"), seed), "user_id").limit(most)
 
 
+def with_user_range(rows: DataFrame, digits: int = 2, seed: int = SPLIT_SEED) -> DataFrame:
+    """Adds ``user_range`` (0 to 16^digits - 1), the first digits of the users' shuffled order, to partition a table by."""
+    return rows.withColumn("user_range", F.conv(F.substring(shuffled(F.col("user_id"), seed), 1, digits), 16, 10).cast("int"))
+
+
+def first_qualifying(
+    ranged: DataFrame, most: int, embedded: DataFrame | None = None, min_rating: float | None = MIN_RATING, min_length: int = MIN_INTERACTIONS,
+    seed: int = SPLIT_SEED, digits: int = 2, first: int = 1,
+) -> tuple[DataFrame, int]:
+    """Sequences of the first ``most`` users, in shuffled order, whose sequences are long enough, and how many ranges of
+    users were read for it. All such users where they are fewer.
+
+    ``ranged`` (see ``with_user_range``, same seed and digits) is read range by range, in batches that double, and no
+    further than needed: on a table partitioned by user_range the other files are not opened. As ranges follow the
+    shuffled order, the users are those that the whole table would give.
+    """
+    if most < 1:
+        raise ValueError("at least one user must be wanted")
+    low, width, found, n = 0, first, None, 0
+    while low < 16**digits and (n < most or found is None):
+        part = ranged.where(F.col("user_range").between(low, low + width - 1)).drop("user_range")
+        part = stored(sequences(part, embedded, min_rating, min_length), "qualifying")
+        n += part.where("pos = 1").count()
+        found = part if found is None else found.unionByName(part)
+        low, width = low + width, 2 * width
+    users = found.where("pos = 1").select("user_id").orderBy(shuffled(F.col("user_id"), seed), "user_id").limit(most)
+    return found.join(users, "user_id", "left_semi"), min(low, 16**digits)
+
+
 def shards(users: DataFrame, count: int) -> DataFrame:
     """(user_id, shard): contiguous runs of ceil(n / count) users in id order."""
     ranked, n = numbered(users.select("user_id").distinct(), F.col("user_id"))

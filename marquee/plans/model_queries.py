@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, norm, quantized
-from ..operators import evaluate, predict, rank, recommend, sequences, vectors
+from ..operators import evaluate, predict, rank, recommend, sequences, training, vectors
 from ..sources import vector_store
-from ..tables import shared_dir
+from ..tables import shared_dir, stored
 from .model import Model, joined
 from .registry import query
 
@@ -69,6 +69,32 @@ def hard_negatives(m: Model) -> DataFrame:
     return vectors.hard_negatives(m.queries.join(target, "query_id"), m.units, 8)
 
 
+HARD = """tq AS (SELECT user_id, max(item_id) FILTER (pos = n) AS target FROM seqs GROUP BY user_id), ht AS (SELECT s.* FROM scored s JOIN tq ON tq.user_id = s.user_id AND tq.target <> s.item_id
+), hard AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM ht QUALIFY rank <= 8
+), bt AS (SELECT *, (row_number() OVER (ORDER BY md5(user_id || '|5'), user_id) - 1) // 16 AS batch FROM tq JOIN query USING (user_id)
+), ex AS (SELECT batch, target AS item_id FROM bt UNION SELECT batch, item_id FROM hard JOIN bt USING (user_id)
+), ord AS (SELECT item_id, row_number() OVER (ORDER BY md5(item_id || '|5'), item_id) AS at, count(*) OVER () AS n FROM unit
+), walk AS (SELECT b.batch, o.item_id, (o.at - 1 - b.start + o.n) % o.n AS j FROM (SELECT DISTINCT batch, CAST('0x' || substr(md5(batch || '|5'), 1, 8) AS BIGINT) % (SELECT count(*) FROM unit) AS start FROM bt) b, ord o)"""
+
+
+@query(f"""+ {HARD} SELECT batch, item_id, row_number() OVER (PARTITION BY batch ORDER BY j) AS rank FROM walk ANTI JOIN ex USING (batch, item_id) QUALIFY rank <= 32""", *BASE)
+def shared_negatives(m: Model) -> DataFrame:
+    """For each batch of 16 samples one draw of 32 items, without its positives and hard negatives."""
+    target = m.samples.select(F.col("user_id").alias("query_id"), "target")
+    samples = training.batch_numbers(m.queries.join(target, "query_id"), 16, 5, "query_id")
+    return training.negatives(samples, m.units, 32, 8, seed=5)[0]
+
+
+@query("""+ tq AS (SELECT user_id, max(item_id) FILTER (pos = n) AS target FROM seqs GROUP BY user_id), sr AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM scored
+), bt AS (SELECT *, (row_number() OVER (ORDER BY md5(user_id || '|5'), user_id) - 1) // 16 AS batch FROM tq JOIN query USING (user_id))
+SELECT batch, count(*) AS n, count(rank) / count(*) AS recall FROM bt LEFT JOIN sr ON sr.user_id = bt.user_id AND sr.item_id = bt.target AND rank <= 10 GROUP BY batch""", *BASE)
+def batch_recall(m: Model) -> DataFrame:
+    """How often the target is among the best ten of the whole catalog, by batch: histories are not left out."""
+    target = m.samples.select(F.col("user_id").alias("query_id"), "target")
+    samples = training.batch_numbers(m.queries.join(target, "query_id"), 16, 5, "query_id")
+    return training.batch_recall(samples, m.units, 10, ("batch",))
+
+
 @query("""+ s AS (SELECT a.item_id AS query_id, list_dot_product(a.v, b.v) / 0.07 AS pos, list(list_dot_product(a.v, c.v) / 0.07 ORDER BY c.item_id) AS negs
   FROM unit a JOIN unit b ON b.item_id = a.item_id + 1 JOIN unit c ON c.item_id BETWEEN a.item_id + 2 AND a.item_id + 6 GROUP BY ALL)
 SELECT query_id, floor((ln(list_sum(list_transform(list_prepend(pos, negs), lambda x: exp(x)))) - pos) * 1e6 + 0.5) / 1e6 AS loss FROM s""", "emb", "unit")
@@ -184,10 +210,12 @@ def rank_auc(m: Model) -> DataFrame:
 
 @query()
 def rank_gbt(m: Model) -> DataFrame:
-    """Trained boosted trees re-rank each user's candidates."""
-    rows = _training(m).cache()
-    model = rank.train(rows.select(*rank.FEATURES, "label"), rounds=10, depth=3)
-    return rank.rerank(model, rows.drop("label"), 10)
+    """Each user's candidates, re-ranked by boosted trees of up to 200 rounds that stop early by held-out users, after the
+    model went through its artefact."""
+    rows = stored(_training(m).withColumn("held", rank.held_out(F.col("user_id"))), "rank-rows")
+    path = f"{shared_dir(m.spark).rstrip('/')}/marquee-ranker-{uuid.uuid4().hex}"
+    rank.save(rank.fit(rows, pool=20, validation="held"), path)
+    return rank.load(m.spark, path, pool=20).rerank(rows.drop("label", "held"), 10)
 
 
 @query("""+ lat AS (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT * FROM events ORDER BY ts DESC LIMIT 1000))

@@ -205,3 +205,78 @@ def explain_features(m: Model) -> DataFrame:
     top = m.candidates.where("rank <= 3").select("user_id", "item_id", "score")
     rows = rank.features(top, sequences.last(m.seqs), m.items, m.ranking, m.units)
     return explain.feature_explanation(top, rows).select("user_id", "item_id", "rank_score", "popularity_rank_norm")
+
+
+LIBPOP = f"""{PROFILE}, {OVERLAP}, lex AS (SELECT DISTINCT user_id, item_id FROM inter WHERE source IN ('library', 'dismissed')
+), lpairs AS (SELECT u.user_id, p.item_id, p.rank AS prank, total FROM (SELECT DISTINCT user_id FROM inter) u, pop p
+), lcold AS (SELECT lpairs.*, row_number() OVER (PARTITION BY user_id ORDER BY prank) AS place FROM lpairs ANTI JOIN lex USING (user_id, item_id)
+), lsc AS (SELECT user_id, item_id, place, CASE WHEN user_id IN (SELECT user_id FROM prof) THEN CAST(coalesce(overlap, 0) * 10000 + total - (place - 1) AS DOUBLE)
+  ELSE CAST(total - prank + 1 AS DOUBLE) END AS score FROM lcold LEFT JOIN ov USING (user_id, item_id) WHERE place <= 500
+), lpop AS (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, place) AS rank FROM lsc)"""
+
+
+def _library_popularity(m: Model, k: int, labels: list[str] | None = None) -> DataFrame:
+    profile = library.genre_profile(m.library)
+    return recommend.library_popularity(m.interactions, m.ranking, library.excluded(m.interactions), m.items, profile, k, labels)
+
+
+@query(f"+ {LIBPOP} SELECT user_id, item_id, score, rank FROM lpop WHERE rank <= 10", "items", "inter", "pop")
+def recs_library_popularity(m: Model) -> DataFrame:
+    """Library mode without a model: by the library's genres, and plain for users without any."""
+    return _library_popularity(m, 10)
+
+
+@query(f"""+ {LIBPOP}, fsc AS (SELECT user_id, item_id, place, CAST(len(list_intersect(list_transform(coalesce(genres, []), lambda g: lower(g)), ['red', 'blue', 'small', 'standard', 'economy'])) * 10000 + total - (place - 1) AS DOUBLE) AS score
+  FROM lcold JOIN items USING (item_id) WHERE place <= 500 AND {MATCH})
+SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, place) AS rank FROM fsc QUALIFY rank <= 10""", "items", "inter", "pop")
+def recs_library_popularity_filtered(m: Model) -> DataFrame:
+    """With a genre filter the library's genres have no weight."""
+    return _library_popularity(m, 10, WANTED)
+
+
+CASCADE = f"""{COLD}, {LIBPOP}, s1 AS (SELECT user_id, item_id, score, rank, 'model' AS source FROM warm WHERE rank <= 6
+), h1 AS (SELECT user_id, count(*) AS have FROM s1 GROUP BY user_id
+), c2 AS (SELECT l.*, coalesce(have, 0) + row_number() OVER (PARTITION BY l.user_id ORDER BY l.rank) AS r FROM (SELECT * FROM lpop WHERE rank <= 3) l ANTI JOIN s1 USING (user_id, item_id) LEFT JOIN h1 USING (user_id)
+), s2 AS (SELECT user_id, item_id, score, r AS rank, 'library' AS source FROM c2 WHERE r <= 10
+), s12 AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2), h2 AS (SELECT user_id, count(*) AS have FROM s12 GROUP BY user_id
+), c3 AS (SELECT c.user_id, c.item_id, CAST(total - prank + 1 AS DOUBLE) AS score, coalesce(have, 0) + row_number() OVER (PARTITION BY c.user_id ORDER BY c.place) AS r
+  FROM (SELECT * FROM cold WHERE place <= 20) c ANTI JOIN s12 USING (user_id, item_id) LEFT JOIN h2 USING (user_id)
+), served AS (SELECT * FROM s12 UNION ALL SELECT user_id, item_id, score, r, 'popularity' FROM c3 WHERE r <= 10)"""
+
+
+@query(f"+ {CASCADE} SELECT user_id, item_id, score, rank, source FROM served", "items", *WARM[:-3], "pop", *WARM[-3:])
+def recs_cascade(m: Model) -> DataFrame:
+    """Six items by the model, three by the library, the rest by popularity; cold users and small libraries fall through."""
+    popular = recommend.popular_for_users(m.interactions, m.ranking, m.seen, 20)
+    _, sources = recommend.serving_sources(m.embeddings, m.candidates.where("rank <= 6"), _library_popularity(m, 3), popular)
+    return recommend.cascade(m.interactions, sources, 10)
+
+
+@query(f"+ {COLD} SELECT user_id, item_id, CAST(total - prank + 1 AS DOUBLE) AS score, place AS rank, 'popularity' AS source FROM cold WHERE place <= 10", "inter", "pop", "seen")
+def recs_cascade_without_model(m: Model) -> DataFrame:
+    """Without any vector only popularity is left."""
+    popular = recommend.popular_for_users(m.interactions, m.ranking, m.seen, 10)
+    _, sources = recommend.serving_sources(m.embeddings.where("item_id < 0"), m.candidates, None, popular)
+    return recommend.cascade(m.interactions, sources, 10)
+
+
+PLANTED = """planted AS (SELECT user_id, item_id FROM warm WHERE rank <= 10 UNION ALL SELECT user_id, min(item_id) FROM seen WHERE user_id % 7 = 0 GROUP BY user_id
+  UNION ALL SELECT user_id, max(item_id) FROM seen WHERE user_id % 14 = 0 GROUP BY user_id)"""
+
+
+def _planted(m: Model) -> DataFrame:
+    """Recommendations into which items that were seen are put for some users."""
+    wrong = lambda item, every: m.seen.where(F.col("user_id") % every == 0).groupBy("user_id").agg(item("item_id").alias("item_id"))
+    return m.candidates.select("user_id", "item_id").unionByName(wrong(F.min, 7)).unionByName(wrong(F.max, 14))
+
+
+@query(f"+ {PLANTED} SELECT user_id, item_id FROM planted SEMI JOIN seen USING (user_id, item_id)", *WARM)
+def overlap_audit_planted(m: Model) -> DataFrame:
+    return recommend.overlap_audit(_planted(m), m.seen)
+
+
+@query(f"""+ {PLANTED}, b AS (SELECT DISTINCT user_id FROM planted SEMI JOIN seen USING (user_id, item_id)), u AS (SELECT DISTINCT user_id FROM inter)
+SELECT count(*) AS users, count(*) FILTER (user_id IN (SELECT user_id FROM planted) AND user_id NOT IN (SELECT user_id FROM b)) AS passed,
+  count(*) FILTER (user_id IN (SELECT user_id FROM b)) AS failed, count(*) FILTER (user_id NOT IN (SELECT user_id FROM planted)) AS empty FROM u""", *WARM)
+def audit_summary_planted(m: Model) -> DataFrame:
+    return recommend.audit_summary(m.interactions, _planted(m), m.seen)

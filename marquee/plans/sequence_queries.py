@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import padded, padding_mask
-from ..operators import sequences
+from ..operators import sequences, training
 from ..sources import testdata
+from ..tables import shared_dir
 from .model import Model, joined
 from .registry import query
 
@@ -104,3 +107,23 @@ def bulk_topk_per_user(m: Model) -> DataFrame:
 
     counts = m.bulk.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
     return ranked(counts, 5, F.desc("n"), F.col("item_id"))
+
+
+@query("""+ u AS (SELECT user_id FROM seqs WHERE pos = 1 ORDER BY md5(user_id || '|42'), user_id LIMIT 25)
+SELECT user_id, item_id, pos, n FROM seqs SEMI JOIN u USING (user_id)""", *Q)
+def sequences_until(m: Model) -> DataFrame:
+    """Sequences of the first 25 users that qualify, of a table dealt by ranges of users, read only as far as needed."""
+    path = f"{shared_dir(m.spark).rstrip('/')}/marquee-by-user-{uuid.uuid4().hex}"
+    ranged = sequences.with_user_range(m.interactions, 1)
+    ranged.repartition("user_range").write.partitionBy("user_range").parquet(path)
+    return sequences.first_qualifying(m.spark.read.parquet(path), 25, m.embeddings, digits=1)[0]
+
+
+@query("""+ w AS (SELECT user_id, pos, list(item_id) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS history, item_id AS target FROM seqs
+), b AS (SELECT *, row_number() OVER (ORDER BY md5(user_id || '|' || pos || '|20342'), user_id, pos) - 1 AS k FROM w WHERE pos > 1)
+SELECT k // 64 AS batch, CAST(k % 64 AS INTEGER) AS place, user_id, pos, target, array_to_string(history, '|') || repeat('|0', 50 - len(history)) AS items, len(history) AS length FROM b""", *Q)
+def training_batches(m: Model) -> DataFrame:
+    """Batches of 64 windows in the order of the third epoch's fourth shard, histories padded."""
+    rows = training.training_batches(sequences.training_windows(m.seqs), 64, epoch=2, shard=3)
+    length = F.size(F.filter("mask", lambda x: x)).cast("bigint")
+    return rows.select("batch", "place", "user_id", "pos", "target", joined("items").alias("items"), length.alias("length"))
