@@ -9,6 +9,10 @@ from .numbering import running
 from .recommend import mean_vectors, popular_for_users, ranked, similar_for_users
 
 
+#: Percentiles of latencies.
+SHARES = (0.5, 0.95, 0.99)
+
+
 def exploded(samples: DataFrame) -> DataFrame:
     return samples.select("user_id", F.posexplode("history").alias("pos", "item_id"))
 
@@ -54,7 +58,7 @@ def weighted_mean(parts: DataFrame, value: str, weight: str) -> DataFrame:
     return parts.agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(value))
 
 
-def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), key: str | None = None) -> DataFrame:
+def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = SHARES, key: str | None = None) -> DataFrame:
     """sorted[min(int(n * p), n - 1)] for each share p, as columns p50, p95, ..., by rank, not by collecting values.
 
     Without a key, values are counted and their counts summed by ranges; with one, each key has a window of its own.
@@ -73,6 +77,21 @@ def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (
     return placed.groupBy(key).agg(*picked)
 
 
+def rolling_percentiles(rows: DataFrame, key: str, value: str, order: tuple[str, ...], most: int = 1000) -> DataFrame:
+    """(key, n, p50, p95, p99), to two decimals, over each key's latest ``most`` values by ``order``; nulls are no values.
+
+    A key with very many rows is first thinned in parts, by a hash, to the latest of each, so no task sorts all of it.
+    """
+    latest_first = [F.desc(c) for c in order]
+    rows = rows.where(F.col(value).isNotNull()).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(64)))
+    for by in ((key, "_part"), (key,)):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*latest_first))
+        rows = rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    found = index_percentiles(rows, value, key=key)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(found, key).select(key, "n", *(F.round(c, 2).alias(c) for c in found.columns if c != key))
+
+
 def latest(rows: DataFrame, most: int, *order: str) -> DataFrame:
     """The latest rows by the given columns."""
     return rows.orderBy(*(F.desc(c) for c in order)).limit(most)

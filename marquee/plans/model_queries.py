@@ -225,6 +225,16 @@ def latency_percentiles(m: Model) -> DataFrame:
     return evaluate.index_percentiles(evaluate.latest(m.table("events"), 1000, "ts"), "value")
 
 
+@query("""WITH l AS (SELECT event_type AS route, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value IS NOT NULL
+), k AS (SELECT route, value, row_number() OVER (PARTITION BY route ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY route) AS n FROM l WHERE r <= 1000)
+SELECT route, max(n) AS n, round(max(value) FILTER (place = least(CAST(floor(n * 0.5) AS BIGINT), n - 1)), 2) AS p50, round(max(value) FILTER (place = least(CAST(floor(n * 0.95) AS BIGINT), n - 1)), 2) AS p95,
+  round(max(value) FILTER (place = least(CAST(floor(n * 0.99) AS BIGINT), n - 1)), 2) AS p99 FROM k GROUP BY route""")
+def latency_by_route(m: Model) -> DataFrame:
+    """Percentiles over each route's latest 1000 samples."""
+    rows = m.table("events").select(F.col("event_type").alias("route"), "ts", "event_id", "value")
+    return evaluate.rolling_percentiles(rows, "route", "value", ("ts", "event_id"))
+
+
 @query("SELECT event_type, CAST(least(floor(value / 20), 9) AS INTEGER) AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def event_histogram(m: Model) -> DataFrame:
     bucket = F.least(F.floor(F.col("value") / 20), F.lit(9)).cast("int")
@@ -250,6 +260,17 @@ def transformer_training(m: Model) -> DataFrame:
     return m.spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
 
 
+@query()
+def head_training(m: Model) -> DataFrame:
+    """Loss and validation recall of three epochs in exact batches, with checkpoints."""
+    config, split = predict.Config(), sequences.split(m.seqs)
+    rows = predict.windowed_vectors(m.seqs, m.units)
+    part = lambda name: rows.join(split.where(F.col("split") == name).select("user_id"), "user_id", "left_semi")
+    path = f"{shared_dir(m.spark).rstrip('/')}/marquee-training-{uuid.uuid4().hex}"
+    _, history = predict.train(stored(part("train"), "train"), stored(part("val"), "val"), m.units, config, path, predict.Training(epochs=3, steps=2))
+    return m.spark.createDataFrame([(h["epoch"], h["loss"], h["recall"]) for h in history], "epoch int, loss double, recall double")
+
+
 @query("""SELECT a.item_id, floor(list_dot_product(list_transform(range(1, 65), lambda i: a.v[i] + b.v[i]), a.v) / sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] + b.v[i]) * (a.v[i] + b.v[i])))) * 1e6 + 0.5) / 1e6 AS cosine
 FROM unit a JOIN unit b ON b.item_id = a.item_id + 1""", "emb", "unit")
 def fused_vectors(m: Model) -> DataFrame:
