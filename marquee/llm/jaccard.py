@@ -414,6 +414,8 @@ class Confirmer:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity is 0.8 or more."""
+        if pairs.isEmpty():
+            return pairs
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
         for table in self.known:
             wanted = wanted.join(table.select("no"), "no", "left_anti")
@@ -422,8 +424,6 @@ class Confirmer:
             if not wanted.isEmpty():
                 self.known.append(saved(self._wanted(wanted), "whole-sets"))
             dropped(wanted)
-            if not self.known:  # then there are no pairs
-                return saved(pairs, "confirmed")
             whole = self.known[0]
             for table in self.known[1:]:
                 whole = whole.unionByName(table)
@@ -459,13 +459,16 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         confirmer = Confirmer(docs, sets, shingle, text_column)
         asked = saved(first_pairs(rows), "first-pairs")
         edges = confirmer.confirmed(asked)
+        roots = components(edges)
         for best in (True, False):  # what the first turn connects, the second need not compare
-            more = rest_pairs(rows, components(edges), best).join(asked, ["a", "b"], "left_anti")
-            more = saved(more, "more-pairs")
-            edges, asked = edges.unionByName(confirmer.confirmed(more)), asked.unionByName(more)
+            more = saved(rest_pairs(rows, roots, best).join(asked, ["a", "b"], "left_anti"), "more-pairs")
+            new = confirmer.confirmed(more)
+            asked = asked.unionByName(more)
+            if not new.isEmpty():
+                edges = edges.unionByName(new)
+                roots = components(edges)
         dropped(rows)
         confirmer.close()
-    roots = components(edges)
     rooted = sets.join(roots, sets["no"] == roots["node"], "left").select("k1", "k2", "first", F.coalesce("root", "no").alias("root"))
     # written, so the join has exchanges of its own, which Spark splits where one component is very large
     smallest = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import configured, dropped, releasing, saved
+from .common import dropped, saved
 
 BITS = 64
 #: Groups with more fingerprints than this are dealt again by more bits.
@@ -298,226 +298,21 @@ def near_duplicates(
 
 # ---------------------------------------------------------------- similar documents
 
-#: Cells of a sketch, which counts a set's shingles by their lowest bits.
-CELLS = 64
-#: Shingles of more sets than this come last in the order of shingles. The order only matters to speed.
-COMMON, MOST_COMMON, ORDER_TURNS = 200, 1_000_000, 3
-#: Groups of more sets than this are first thinned by comparing all with one (STAR_TURNS times), and then cut in pieces.
-PAIRS_LIMIT, STAR_TURNS, PIECE = 32, 3, 128
-#: Rows of Arrow batches in this stage.
-ARROW_ROWS = 1000
-
-
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """A text's distinct word shingles (XXH3, 64 bits), ascending; a shorter text is one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.r_[0, ends[:-1]]
-    last = ends[shingle - 1 :] - 1 if len(words) >= shingle else ends[-1:] - 1
-    digest = xxhash.xxh3_64_intdigest
-    spans = zip(starts[:n].tolist(), last.tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in spans), np.uint64, n).view(np.int64))
-
-
-def shingle_sets(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n, fp, fp2, sketch, hashes): each text's shingle set, its size, 128-bit digest and sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, held = 0, []
-            for i in range(batch.num_rows):
-                held.append(shingle_hashes(batch.column(1)[i].as_py(), shingle))
-                if i + 1 == batch.num_rows or len(held) == 1000 or sum(map(len, held[-50:])) > 1 << 18:
-                    yield packed(batch.column(0).slice(at, len(held)), held)
-                    at, held = i + 1, []
-
-    def packed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-        cells = [np.minimum(np.bincount(s & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        columns = [
-            ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
-            pa.array(cells, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp", "fp2", "sketch", "hashes"])
-
-    pair = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    return pair.mapInArrow(releasing(run), "doc_id long, n long, fp long, fp2 long, sketch binary, hashes array<long>")
-
 
 def similar(inside, n, other):
     """Whether sets of n and other shingles, of which ``inside`` are common to both, have a Jaccard similarity >= 0.8."""
     return 9 * inside >= 4 * (n + other)
 
 
-def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """(h, no, n, pos) of each set's first n - ceil(0.8 n) + 1 shingles: in ascending order, those in ``common`` last.
-
-    All sets are in one order, so two sets with a similarity of 0.8 or more have their first common shingle here.
-    """
-    if not len(common):
-        first = F.slice("hashes", 1, (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int"))
-        return sets.where("n > 0").select("no", "n", F.posexplode(first).alias("pos", "h")).select("h", "no", "n", F.col("pos").cast("long").alias("pos"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.cumsum(batch.column(1).to_numpy())
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 17))))
-                yield cut(batch.slice(at, to - at))
-                at = to
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        no, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        flat, row = batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-        pos = np.arange(len(flat)) - (np.cumsum(n) - n)[row]
-        if len(common):
-            found = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
-            flat = flat[np.lexsort((pos, found, row))]
-        taken = pos < (n - (4 * n + 4) // 5 + 1)[row]
-        row = row[taken]
-        columns = [flat[taken], no[row], n[row], pos[taken]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "no", "n", "pos"])
-
-    return sets.select("no", "n", "hashes").mapInArrow(releasing(run), "h long, no long, n long, pos long")
-
-
-def _shared_prefixes(sets: DataFrame) -> DataFrame:
-    """(h, no, n, pos, sets) of prefixes in an order that has common shingles last, where h is in several prefixes."""
-    common = np.empty(0, np.int64)
-    for turn in range(ORDER_TURNS):
-        counts = prefixes(sets, common).groupBy("h").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        if turn:
-            dropped(before)
-        counts = before = saved(counts, "shingles")
-        if turn + 1 == ORDER_TURNS:
-            break
-        often = counts.where(F.col("sets") > COMMON).orderBy(F.desc("sets"), "h").limit(MOST_COMMON).toArrow()
-        more = np.setdiff1d(often.column("h").to_numpy(), common)
-        if not len(more) or len(common) + len(more) > MOST_COMMON:
-            break
-        common = np.union1d(common, more)
-    shared = saved(prefixes(sets, common).join(counts, "h"), "shared")
-    dropped(counts)
-    return shared
-
-
-def _pairs(one: DataFrame, two: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct pairs (a, b) of sets that may be similar, by their places of a shared shingle: all before it differ."""
-    two = two.select(*on, F.col("no").alias("no2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    both = one.join(two, on).where(similar(rest, F.col("n"), F.col("n2")) & (F.col("root") != F.col("root2")))
-    return both.select(F.greatest("no", "no2").alias("a"), F.least("no", "no2").alias("b")).distinct()
-
-
-def _piece_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs in large groups, each group in pieces of about PIECE sets and each pair of pieces a group of its own."""
-    many = F.ceil(F.col("sets") / PIECE)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("no"), many)).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    first = rows.where("own <= other").withColumn("p", F.col("own")).withColumn("q", F.col("other"))
-    second = rows.where("own >= other").withColumn("p", F.col("other")).withColumn("q", F.col("own"))
-    return _pairs(first, second, ["h", "p", "q"])
-
-
-def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one set of each group, another in each turn and group, with all others."""
-    drawn = F.min_by(F.struct("no", "n", "pos", "root"), F.xxhash64("no", "h", F.lit(turn))).alias("one")
-    return _pairs(rows, rows.groupBy("h").agg(drawn).select("h", "one.*"), ["h"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole shingle sets have a similarity of 0.8 or more; sketches, which bound it, are read first."""
-
-    def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, other = (batch.column(i).to_numpy() for i in (2, 3))
-            for at in range(0, batch.num_rows, 4096):
-                cells = [np.frombuffer(b"".join(batch.column(i).slice(at, 4096).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (4, 5)]
-                apart = np.abs(cells[0].astype(np.int16) - cells[1]).sum(axis=1, dtype=np.int64)
-                a, b = n[at : at + 4096], other[at : at + 4096]
-                keep = pa.array(similar((a + b - apart) // 2, a, b))
-                yield batch.select([0, 1]).slice(at, 4096).filter(keep)
-
-    def attached(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(table.select(F.col("no").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in names)), side)
-        return pairs.select("a", "b", *(f"{x}_{side}" for x in names for side in ("a", "b")))
-
-    likely = saved(attached(pairs, sets, "n", "sketch").mapInArrow(releasing(by_sketch), "a long, b long"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    wanted = saved(sets.select("no", "hashes").join(wanted, "no", "left_semi"), "wanted")
-    inside = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    both = attached(likely, wanted, "hashes").where(similar(inside, F.size("hashes_a"), F.size("hashes_b")))
-    confirmed = saved(both.select("a", "b"), "confirmed")
-    dropped(likely, wanted)
-    return confirmed
-
-
-def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rows`` with the root of each set's component as far as the edges tell, and without groups inside one component."""
-    rows = rows.drop("root", "sets").join(components(edges), F.col("no") == F.col("node"), "left")
-    rows = saved(rows.withColumn("root", F.coalesce("root", "no")).drop("node"), "rooted")
-    open_ = rows.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("x"), F.max("root").alias("y"))
-    large = saved(rows.join(open_.where("x <> y").select("h", "sets"), "h"), "large")
-    dropped(rows)
-    return large
-
-
-def similar_edges(sets: DataFrame, large_above: int = PAIRS_LIMIT) -> DataFrame:
-    """Edges (a, b) between distinct sets (no, n, sketch, hashes): all confirmed at 0.8 or more, and they connect the
-    same sets as all such pairs.
-
-    Every such pair shares a group. In small groups all pairs are read. In large ones, where near copies would make
-    very many, sets that earlier edges connect are not compared again, but all others are.
-    """
-    shared = _shared_prefixes(sets)
-    rows = shared.withColumn("root", F.col("no"))
-    small = rows.where(F.col("sets") <= large_above)
-    edges = _confirmed(_pairs(small, small, ["h"]).where("a <> b"), sets)
-    large = saved(rows.where(F.col("sets") > large_above), "large")
-    dropped(shared)
-    for turn in range(STAR_TURNS):
-        if large.isEmpty():
-            return edges
-        edges = edges.unionByName(_confirmed(_star_pairs(large, turn), sets))
-        before, large = large, _rooted(large, edges)
-        dropped(before)
-    if not large.isEmpty():
-        edges = edges.unionByName(_confirmed(_piece_pairs(large), sets))
-    dropped(large)
-    return edges
-
-
-def _arrow_rows(spark: SparkSession, rows: int):
-    """While it holds, Arrow batches have at most so many rows: rows with whole sets are wide."""
-    return configured(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
     """(doc_id, component_id): texts whose shingle sets have a Jaccard similarity of 0.8 or more, directly or through
-    others, share a component.
+    others, share a component; texts without words are similar to each other.
 
-    Unlike ``near_duplicates`` this compares whole shingle sets, and exactly: candidates share one of the first shingles
-    of their sets in a common order (prefix filtering), which every such pair does, whatever the size of the table.
+    Unlike ``near_duplicates`` this compares whole shingle sets, and exactly: see ``jaccard``.
     """
-    whole = shingle_sets(docs, shingle, id_column, text_column).withColumn("no", F.monotonically_increasing_id())
-    with _arrow_rows(docs.sparkSession, ARROW_ROWS):
-        whole = saved(whole, "sets")
-    each = saved(whole.select("doc_id", "no", "fp", "fp2"), "ids")
-    prints = each.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first"), F.min("no").alias("no"))
-    prints = saved(prints, "distinct-sets")
-    again = saved(each.select("no").join(prints.select("no"), "no", "left_anti"), "again")
-    sets = whole.select("no", "n", "sketch", "hashes").join(again, "no", "left_anti")
-    with _arrow_rows(docs.sparkSession, ARROW_ROWS):
-        edges = similar_edges(sets, min(PAIRS_LIMIT, GROUP_LIMIT))
-    dropped(whole, again)
-    roots = components(edges)
-    rooted = prints.join(roots, prints["no"] == roots["node"], "left").select("fp", "fp2", "first", F.coalesce("root", prints["no"]).alias("root"))
-    # written, so the join has exchanges of its own, which Spark splits where one component is very large
-    smallest = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    named = rooted.join(smallest, "root").select("fp", "fp2", "component_id")
-    return each.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
+    from .jaccard import jaccard_components  # which builds on this module
+
+    found = jaccard_components(docs, id_column, text_column, shingle)
+    none = found.where("n_shingles = 0").agg(F.min("doc_id").alias("none"))  # one row
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("none"))
+    return found.join(F.broadcast(none)).select("doc_id", component.alias("component_id"))

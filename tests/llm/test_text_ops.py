@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from marquee.llm import packing, phrases, quality, simhash
+from marquee.llm import jaccard, packing, phrases, quality, simhash
 
 from .helpers import DOC_SCHEMA, documents, texts
 
@@ -223,8 +223,8 @@ def test_similar_documents(spark, monkeypatch):
             rows.append((10 * i + k, " ".join(copy).upper()))
     rows += [(9001, None), (9002, ""), (9003, "one"), (9004, "one"), (None, rows[0][1])]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for limit in (4096, 3):
-        monkeypatch.setattr(simhash, "GROUP_LIMIT", limit)
+    for piece in (1024, 3):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
         got = simhash.similar_documents(frame).collect()
         assert len(got) == len(rows)
         wrong = sum(r.component_id != r.doc_id // 10 * 10 for r in got if r.doc_id is not None and r.doc_id < 9000)
@@ -286,7 +286,7 @@ def test_similar_documents_in_large_groups(spark, monkeypatch):
     rows += [(1000 + i, text) for i, text in mutated_families(4, 1, 60, most=8)]
     want = brute_similar_components(rows)
     assert all(want[100 * f + i] == 100 * f for f in range(3) for i in range(13)) and len(set(want.values())) > 4
-    for name, value in (("GROUP_LIMIT", 6), ("COMMON", 4), ("PIECE", 5)):
-        monkeypatch.setattr(simhash, name, value, raising=False)
+    for name, value in (("COMMON", 4), ("PIECE", 5)):
+        monkeypatch.setattr(jaccard, name, value)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()} == want
