@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import documents
 from ..functions.scalars import distinct_labels, url_extension
 from ..schema import CANONICAL_GENRES
-
-
-def check_bounds(name: str, value: int, least: int, most: int) -> int:
-    if not least <= value <= most:
-        raise ValueError(f"{name} must be between {least} and {most}")
-    return value
+from .bounds import checked
 
 
 def genres_overlap(labels: list[str]) -> Column:
@@ -38,12 +33,13 @@ def search(items: DataFrame, q: str | None = None, genres: list[str] | None = No
 
 
 def page(found: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    check_bounds("limit", limit, 1, 100)
+    checked(limit=limit, offset=offset)
     return found.orderBy("relevance", "title", "item_id").offset(offset).limit(limit)
 
 
 def tag_counts(items: DataFrame, limit: int = 30, min_count: int = 25) -> DataFrame:
     """Lower-cased tags by count; an item's case variants count each."""
+    checked(count_limit=limit)
     tags = items.select(F.explode(F.transform("tags", F.lower)).alias("tag"))
     counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     return counts.orderBy(F.desc("n"), "tag").limit(limit)
@@ -51,6 +47,7 @@ def tag_counts(items: DataFrame, limit: int = 30, min_count: int = 25) -> DataFr
 
 def genre_counts(items: DataFrame, limit: int = 50, min_count: int = 25) -> DataFrame:
     """Canonical genres with enough items, in canonical order."""
+    checked(count_limit=limit)
     order = items.sparkSession.createDataFrame(list(enumerate(CANONICAL_GENRES)), "place int, genre string")
     counts = items.select(F.explode("genres").alias("genre")).groupBy("genre").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") >= min_count)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import listing, truncate
+from ..schema import MIN_INTERACTIONS
 
 # Wording of explanations: fixed values.
 NO_TITLE = "this movie"
@@ -90,3 +91,35 @@ def feature_explanation(candidates: DataFrame, features: DataFrame, ranks: DataF
     if ranks is None:
         return rows.withColumn("rank_score", F.col("retrieval_score"))
     return rows.join(ranks.select("user_id", "item_id", F.col("score").alias("rank_score")), ["user_id", "item_id"], "left")
+
+
+def recommendation_explanations(
+    pairs: DataFrame, history: DataFrame, candidates: DataFrame, items: DataFrame, ranking: DataFrame, units: DataFrame, ranker=None
+) -> DataFrame:
+    """Why each pair (user_id, item_id) is, or would be, recommended: (user_id, item_id, title, variant, history_length,
+    retrieval_score, rank_score, features, importance).
+
+    history: (user_id, pos, item_id); candidates: each user's pool (user_id, item_id, score). Users with too short a history
+    get popularity, without scores. With a ranker (see ``rank.fit``), pairs in the pool have its seven features and score,
+    others only its importances; without one the retrieval score stands for both, and is the only feature.
+    """
+    from . import rank
+
+    lengths = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("history_length"))
+    pool = candidates.select("user_id", "item_id", F.col("score").alias("retrieval_score"))
+    rows = pairs.select("user_id", "item_id").join(lengths, "user_id", "left").join(pool, ["user_id", "item_id"], "left")
+    rows = rows.join(items.select("item_id", "title"), "item_id", "left").withColumn("history_length", F.coalesce("history_length", F.lit(0)))
+    warm = F.col("history_length") >= MIN_INTERACTIONS
+    rows = rows.withColumn("variant", F.when(warm, "generative").otherwise("popularity")).withColumn("retrieval_score", F.when(warm, F.col("retrieval_score")))
+    none = F.create_map().cast("map<string,double>")
+    columns = ["user_id", "item_id", "title", "variant", "history_length", "retrieval_score", "rank_score", "features", "importance"]
+    if ranker is None:
+        one = lambda value: F.when(warm, F.create_map(F.lit("retrieval_score"), value)).otherwise(none)
+        rows = rows.withColumns({"rank_score": F.col("retrieval_score"), "features": one(F.coalesce("retrieval_score", F.lit(0.0))), "importance": one(F.lit(1.0))})
+        return rows.select(*columns)
+    asked = rows.where(F.col("retrieval_score").isNotNull()).select("user_id", "item_id", F.col("retrieval_score").alias("score"))
+    found = rank.scored(ranker.model, rank.features(asked, history, items, ranking, units))
+    found = found.select("user_id", "item_id", F.col("p").alias("rank_score"), F.create_map(*(x for f in rank.FEATURES for x in (F.lit(f), F.col(f).cast("double")))).alias("features"))
+    shares = F.create_map(*(x for f, v in rank.importance(ranker.model).items() for x in (F.lit(f), F.lit(v))))
+    rows = rows.join(found, ["user_id", "item_id"], "left")
+    return rows.withColumns({"features": F.coalesce("features", none), "importance": F.when(warm, shares).otherwise(none)}).select(*columns)

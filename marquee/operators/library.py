@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..schema import INTERACTION_TYPES
+from .bounds import checked, rating_fits
 from .sequences import deduped, last, rated_enough
 
 
@@ -16,6 +17,7 @@ def details(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def history_page(interactions: DataFrame, items: DataFrame, limit: int = 20) -> DataFrame:
     """Each user's latest ``limit`` interactions with titles, latest first."""
+    checked(history_limit=limit)
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("interaction_id"))
     rows = details(interactions, items).withColumn("rank", F.row_number().over(w).cast("bigint"))
     return rows.where(F.col("rank") <= limit)
@@ -101,6 +103,12 @@ def validated(rows: DataFrame, items: DataFrame) -> DataFrame:
     return rows.join(known, "item_id", "left").withColumn("reason", reason).drop("known")
 
 
+def validated_ratings(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Library ratings with ``reason``: null for those that may be appended, else why not (type, item or rating)."""
+    checked_rows = validated(rows, items)
+    return checked_rows.withColumn("reason", F.coalesce("reason", F.when(~rating_fits(F.col("rating")), "rating")))
+
+
 def removed(interactions: DataFrame, gone: DataFrame) -> DataFrame:
     """Interactions without those named by (user_id, item_id, source) and, where given, type."""
     g = gone.select("user_id", "item_id", "source", F.col("type").alias("gone_type"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ab_variant, lowered
 from ..schema import GENRE_POOL, GENRE_WEIGHT, MIN_INTERACTIONS, POPULARITY_LIMIT
 from ..tables import stored
+from .bounds import checked
 from .vectors import summed, top_k
 
 
@@ -155,6 +156,7 @@ def recommend(
 
     ``queries`` (query_id, q) are predicted vectors of the warm users; ``rerank`` maps candidates to candidates.
     """
+    checked(k=k)
     warm = seqs.where(F.col("n") >= MIN_INTERACTIONS).select("user_id").distinct()
     cold = users.select("user_id").distinct().join(warm, "user_id", "left_anti")
     wanted = wanted_genres(labels)
@@ -247,8 +249,7 @@ def served(
     ``force`` overrides the assignment. Users of the generative variant for whom the model has nothing, or all of them
     without a model, get popularity; without ``fallback``, a missing model is an error.
     """
-    if force not in (None, "generative", "popularity"):
-        raise ValueError(f"no variant {force}")
+    checked(variant=force)
     if model is None and not fallback:
         raise RuntimeError("the model is not available")
     assigned = variants(users, fraction) if force is None else users.select("user_id", F.lit(force).alias("variant")).distinct()

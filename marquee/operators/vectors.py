@@ -36,6 +36,13 @@ def unit_table(embeddings: DataFrame, dimension: int | None = None) -> DataFrame
     return rows.select("item_id", normalized(F.col("vector")).alias("v"))
 
 
+def loaded(embeddings: DataFrame, dimension: int) -> DataFrame:
+    """``unit_table`` of a table that must hold vectors: none at all is an error, as is one of another dimension."""
+    if embeddings.where(F.col("vector").isNotNull()).isEmpty():
+        raise ValueError("there are no embeddings")
+    return unit_table(embeddings, dimension)
+
+
 def fused(text, image=None):
     """The sum of two vectors, of length 1 if it is not 0."""
     if image is None:

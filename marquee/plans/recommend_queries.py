@@ -280,3 +280,21 @@ SELECT count(*) AS users, count(*) FILTER (user_id IN (SELECT user_id FROM plant
   count(*) FILTER (user_id IN (SELECT user_id FROM b)) AS failed, count(*) FILTER (user_id NOT IN (SELECT user_id FROM planted)) AS empty FROM u""", *WARM)
 def audit_summary_planted(m: Model) -> DataFrame:
     return recommend.audit_summary(m.interactions, _planted(m), m.seen)
+
+
+LENGTHS = """uh AS (SELECT *, lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, interaction_id) AS before FROM inter WHERE type <> 'rating' OR rating >= 3.5
+), ul AS (SELECT user_id, least(count(*), 50) AS len FROM uh WHERE before IS NULL OR before <> item_id GROUP BY user_id)"""
+
+
+def _pool(m: Model) -> DataFrame:
+    return recommend.similar_for_users(m.queries, m.units, m.seen, 50).select("user_id", "item_id", "score")
+
+
+@query(f"""+ {PAIRS}, {LENGTHS} SELECT p.user_id, p.item_id, title, CASE WHEN coalesce(len, 0) < 3 THEN 'popularity' ELSE 'generative' END AS variant, coalesce(len, 0) AS history_length,
+  CASE WHEN len >= 3 THEN w.score END AS retrieval_score, CASE WHEN len >= 3 THEN w.score END AS rank_score, CASE WHEN len >= 3 THEN coalesce(w.score, 0) END AS feature, CASE WHEN len >= 3 THEN CAST(1 AS DOUBLE) END AS importance
+FROM pr p LEFT JOIN ul USING (user_id) LEFT JOIN (SELECT * FROM warm WHERE rank <= 50) w ON w.user_id = p.user_id AND w.item_id = p.item_id LEFT JOIN items i ON i.item_id = p.item_id""", "items", *WARM)
+def explain_pairs(m: Model) -> DataFrame:
+    """Explanations of a pair for each user without a ranker."""
+    rows = explain.recommendation_explanations(_pairs(m), library.user_history(m.interactions), _pool(m), m.items, m.ranking, m.units)
+    value = lambda c: F.col(c)["retrieval_score"]
+    return rows.select("user_id", "item_id", "title", "variant", "history_length", "retrieval_score", "rank_score", value("features").alias("feature"), value("importance").alias("importance"))
