@@ -108,7 +108,7 @@ def _contains(document: Column, pattern) -> Column:
 
 def text(document: Column, *keys: str | int) -> Column:
     """The value there as text: strings as they are, objects and arrays as JSON, JSON's null as null."""
-    found = value(document, *keys)
+    found = value(document, *keys) if keys else document
     return F.when(kind(found).isin("object", "array"), F.to_json(found)).otherwise(F.try_variant_get(found, "$", "string"))
 
 
@@ -123,6 +123,11 @@ def whole(document: Column, *keys: str | int) -> Column:
     )
 
 
+def texts(document: Column, *keys: str | int) -> Column:
+    """The elements of the array there as text, JSON's null as null; none where there is no array."""
+    return F.transform(elements(value(document, *keys)), lambda e: text(e))
+
+
 def merged(old: Column, new: Column) -> Column:
     """Two objects as one, by their first level; keys of ``new`` win. What is no object counts as empty."""
     o, n = members(old), members(new)

@@ -45,6 +45,11 @@ def tag_counts(items: DataFrame, limit: int = 30, min_count: int = 25) -> DataFr
     return counts.orderBy(F.desc("n"), "tag").limit(limit)
 
 
+def with_document_tags(items: DataFrame, column: str = "metadata") -> DataFrame:
+    """Items with ``tags`` from the array of that name in their metadata, as ``tag_counts`` reads them; nulls are no tags."""
+    return items.withColumn("tags", F.array_compact(documents.texts(documents.as_document(items, column), "tags")))
+
+
 def genre_counts(items: DataFrame, limit: int = 50, min_count: int = 25) -> DataFrame:
     """Canonical genres with enough items, in canonical order."""
     checked(count_limit=limit)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +102,25 @@ def latest(rows: DataFrame, most: int, *order: str) -> DataFrame:
     return rows.orderBy(*(F.desc(c) for c in order)).limit(most)
 
 
+@dataclass
+class Timing:
+    """Milliseconds of the steps of a recommendation: ``with timing.step("history"): ...``"""
+
+    steps: dict[str, float] = field(default_factory=dict)
+
+    @contextmanager
+    def step(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.steps[name] = self.steps.get(name, 0.0) + 1000 * (time.perf_counter() - began)
+
+    def as_dict(self) -> dict[str, float]:
+        """By step, with the total, to two decimals."""
+        return {f"{k}_ms": round(v, 2) for k, v in (self.steps | {"total": sum(self.steps.values())}).items()}
+
+
 def beats(values: DataFrame, model: str, baseline: str, metric: str = "recall@10") -> DataFrame:
     pick = lambda m: F.max(F.when((F.col("model") == m) & (F.col("metric") == metric), F.col("value")))
     return values.agg((pick(model) > pick(baseline)).alias("beats"))

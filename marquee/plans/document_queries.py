@@ -80,3 +80,15 @@ def contexts_parsed(m: Model) -> DataFrame:
     d = D.as_document(rows, "context")
     kind = F.when(D.malformed(F.col("context")), "malformed").otherwise(D.kind(d))
     return rows.groupBy("type", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count(D.text(d, "source")).alias("with_source"))
+
+
+@query("""+ t AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN NULL WHEN item_id % 9 = 1 THEN '{"tags": "none"}' WHEN item_id % 9 = 2 THEN '{"tags": [' ELSE
+  concat('{"tags": ["', upper(tags[1]), '", "', tags[2], '", ', item_id % 3, ', null]}') END AS metadata FROM items
+), j AS (SELECT TRY_CAST(metadata AS JSON) AS j FROM t), e AS (SELECT lower(unnest(json_extract_string(j, '$.tags[*]'))) AS tag FROM j WHERE json_type(j, '$.tags') = 'ARRAY')
+SELECT tag, count(*) AS n FROM e WHERE tag IS NOT NULL GROUP BY tag HAVING n >= 5 ORDER BY n DESC, tag LIMIT 30""", "items")
+def tag_counts_of_documents(m: Model) -> DataFrame:
+    """Tags counted from arrays in JSON text, numbers among them as text."""
+    made = """CASE WHEN item_id % 9 = 0 THEN NULL WHEN item_id % 9 = 1 THEN '{"tags": "none"}' WHEN item_id % 9 = 2 THEN '{"tags": [' ELSE
+      concat('{"tags": ["', upper(tags[0]), '", "', tags[1], '", ', item_id % 3, ', null]}') END"""
+    rows = m.items.select("item_id", F.expr(made).alias("metadata"))
+    return catalog.tag_counts(catalog.with_document_tags(rows), min_count=5)

@@ -69,6 +69,45 @@ def test_tsv_enrichment(spark, tmp_path):
     assert got[1].metadata["actors"] == "One, Four, Five, Six" and got[2].metadata == {}  # n2 has no name, n3 comes last
 
 
+def test_enrich_from_a_dump(spark, tmp_path):
+    """All files of a folder in one call; those that are missing are named first."""
+
+    items = spark.createDataFrame([(1, "tt1", None, {"a": "b"}), (2, None, ["X"], None), (3, "tt3", None, None)], "item_id bigint, imdb_id string, genres array<string>, metadata map<string,string>")
+    tables = {
+        "title.basics.tsv.gz": [["tconst", "titleType", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "runtimeMinutes", "genres"], ["tt1", "movie", "P", "P", "0", "1995", "\\N", "81", "Drama"], ["tt8", "movie", "Q", "Q", "0", "1996", "\\N", "1", "War"]],
+        "title.ratings.tsv.gz": [["tconst", "averageRating", "numVotes"], ["tt1", "8.3", "900"], ["tt3", "7.1", "5"]],
+        "title.principals.tsv.gz": [["tconst", "ordering", "nconst", "category", "job", "characters"], ["tt1", "2", "n2", "actress", "\\N", "\\N"], ["tt1", "1", "n1", "actor", "\\N", "\\N"], ["tt8", "1", "n1", "actor", "\\N", "\\N"]],
+        "name.basics.tsv.gz": [["nconst", "primaryName", "birthYear"], ["n1", "One", "1950"], ["n2", "Two", "\\N"]],
+    }
+    for name in list(tables)[:2]:
+        (tmp_path / name).write_bytes(gzip.compress("\n".join("\t".join(r) for r in tables[name]).encode()))
+    with pytest.raises(FileNotFoundError, match=r"title.principals.tsv.gz, name.basics.tsv.gz"):
+        files.enrich(spark, f"file://{tmp_path}", items)
+    assert files.required_files(False) == list(tables)[:2]
+    assert files.enrich(spark, f"file://{tmp_path}", items, cast=False)[1] == {"imdb_ids": 2, "basics": 1, "ratings": 2, "cast": 0}
+    for name in list(tables)[2:]:
+        (tmp_path / name).write_bytes(gzip.compress("\n".join("\t".join(r) for r in tables[name]).encode()))
+    out, counts = files.enrich(spark, f"file://{tmp_path}", items, partitions=2)
+    got = {r.item_id: r for r in out.collect()}
+    assert counts == {"imdb_ids": 2, "basics": 1, "ratings": 2, "cast": 1} and set(got) == {1, 2, 3}
+    assert got[1].genres == ["Drama"] and got[1].metadata == {
+        "a": "b", "primary_title": "P", "original_title": "P", "title_type": "movie", "start_year": "1995", "runtime_minutes": "81",
+        "imdb_average_rating": "8.3", "imdb_num_votes": "900", "actors": "One, Two",
+    }
+    assert got[2].genres == ["X"] and got[3].metadata == {"imdb_average_rating": "7.1", "imdb_num_votes": "5"}
+
+
+def test_timing():
+    from marquee.operators.evaluate import Timing
+
+    timing = Timing({"history": 1.234, "ranking": 2.0})
+    with timing.step("ranking"):
+        pass
+    got = timing.as_dict()
+    assert list(got) == ["history_ms", "ranking_ms", "total_ms"] and got["history_ms"] == 1.23 and 2.0 <= got["ranking_ms"] < 50
+    assert got["total_ms"] == pytest.approx(got["history_ms"] + got["ranking_ms"], abs=0.02)
+
+
 def test_api_documents(spark):
     tmdb = {"id": 862, "overview": " Toys. ", "poster_path": "/p.jpg", "tagline": "", "release_date": "1995-10-30", "vote_average": 7.7, "vote_count": 5, "original_language": "en", "genres": [{"id": 1, "name": "Animation"}, {"id": 2, "name": ""}]}
     omdb = {"Title": "T", "Year": "1995", "Rated": "N/A", "Genre": "Animation, , Comedy", "Plot": "P", "Poster": "N/A", "Actors": "A, B", "Ratings": [{"Source": "s", "Value": "v"}], "Type": "movie", "Response": "True"}
