@@ -75,7 +75,7 @@ def training_rows(samples: DataFrame, queries: DataFrame, units: DataFrame, item
 #: Boosting of the ranker: fixed values.
 ROUNDS, STEP, SHARE, SEED = 200, 0.05, 0.8, 42
 #: Boosting with held-out rows stops when a round lowers their loss by less than this share of it.
-TOLERANCE = 0.001
+TOLERANCE = 0.005
 
 
 def train(rows: DataFrame, rounds: int = ROUNDS, depth: int = 5, validation: str | None = None) -> PipelineModel:
