@@ -2,10 +2,11 @@
 
 A text is cut into clauses, whose words a lexicon transducer rewrites to weighted symbols: insults (whole words and word
 beginnings, so that inflected and compounded forms are read, too), verbs of harm, words of intent, targets (words of
-address), negations, verbs of saying and quotes. Five transducers read the symbols:
+address), negations, verbs of saying and quotes. Wishes, commands and set threats of several words are rewritten to one
+symbol by a transducer of their own. Five transducers read the symbols:
 
 - insult: a match at each insult; threat: a match at a verb of harm within REACH symbols after a word of intent, if a
-  target stands between them or after; target: whether a word of address stands within REACH symbols before or, read from the clause's end,
+  target stands between them or after or is its ending, and at each wish; target: whether a word of address stands within REACH symbols before or, read from the clause's end,
   after; negation: whether a negation stands within REACH symbols before; report: whether a verb of saying came before
   or a quote is open.
 
@@ -16,7 +17,7 @@ insults is kept because an ablation asks for it: without it, held-out accuracy f
 
 The lexicon's weights (log odds) and the kinds' signed coefficients are learned from labelled texts: at most TRAIN_ROWS
 documents, the first by a hash of the text. Coefficients are held near PRIOR, so kinds that training never shows keep
-their prior weight. Lexicon entries are counted in Spark; MAX_ENTRIES of them at most go to the driver. Scoring is a
+their prior weight. Lexicon entries are counted in Spark; all go to the driver, a part of those texts' words. Scoring is a
 narrow stage over whole texts; an automaton finds lexicon hits first, and clauses without any are not read further.
 
 Defined results: a null or empty text has no matched clause and gets the score of such texts. Labels that are null are
@@ -42,7 +43,6 @@ from pyspark.sql import functions as F
 from .common import releasing, saved
 
 TRAIN_ROWS = 20_000
-MAX_ENTRIES = 2_000
 #: A lexicon entry has a log odds of at least this much and is seen in at least MIN_TEXTS toxic training texts.
 MIN_LOG_ODDS, MIN_TEXTS = 2.5, 3
 #: Shortest and longest word beginnings that may become entries.
@@ -66,12 +66,37 @@ REPORTS = frozenset(
     "said says say called calls told wrote claims quote quoted reported accused sagte sagt nannte schrieb laut dit "
     "disait appelé écrit selon dijo dice llamó escribió según".split()
 )
-HARMS = frozenset("kill hurt destroy murder strangle stab shoot töten umbringen verletzen tuer frapper étrangler matar golpear".split())
+HARMS = frozenset(
+    "kill hurt destroy murder strangle stab shoot slaughter behead butcher töten umbringen verletzen erschießen erstechen "
+    "erwürgen verprügeln zusammenschlagen vernichten abstechen tuer frapper étrangler égorger poignarder massacrer buter matar "
+    "golpear estrangular apuñalar degollar".split()
+)
+#: Verbs of harm that carry their target as an ending.
+AIMED = frozenset("matarte matarlo matarla matarlos golpearte apuñalarte estrangularte degollarte".split())
 INTENTS = frozenset(
-    "will gonna shall should must werde werden sollte soll vais va veux dois doit voy vamos va quiero debe you'll i'll we'll".split()
+    "will gonna shall should must going want wanna plan planning swear promise werde werden wird sollte soll möchte vais va veux "
+    "dois doit vas vont allons voy vamos va van quiero queremos debe debo you'll i'll we'll they'll he'll she'll".split()
+)
+#: Wishes, commands and threats in the first person, whole: the words of each place, parted by |, in order; a place that
+#: ends in ? may be left out.
+WISHES = (
+    "kill|hang|shoot|drown yourself|yourselves", "go just? die", "kys", "drop dead", "beat you|him|her|them up",
+    "you|u|ya deserve to die|suffer|burn|rot", "you|u|ya should|must|will|gonna|oughta just? die|burn|suffer|rot",
+    "you're going|gonna to? die|burn|suffer", "you are going|gonna to? die|burn|suffer", "hope|wish you|u|ya die|suffer|burn|rot|choke",
+    "you'll die|burn|suffer|rot", "wish you were dead", "want you dead", "you're dead", "you are dead",
+    "bring|bringe|bringt dich|euch um", "stirb", "bring dich selbst? um", "du sollst|musst|wirst endlich? sterben|krepieren|leiden",
+    "ihr sollt|müsst|werdet sterben|krepieren|leiden", "du bist tot", "mache|mach dich kalt|fertig",
+    "töte|erschieße|ersteche|erwürge|verprügle|vernichte dich|euch", "va te? crever|mourir|pendre",
+    "tu vas|dois|devrais mourir|crever|souffrir", "crève", "tu es mort|morte", "que tu meures|crèves",
+    "je te|vous tue|étrangle|égorge|poignarde|massacre|bute|tuerai|étranglerai|égorgerai", "vas a morir|sufrir",
+    "debes|deberías|mereces morir|sufrir", "ojalá te? mueras", "muérete", "estás muerto|muerta", "mátate", "vete a morir",
+    "te|os mato|golpeo|apuñalo|estrangulo|degüello|mataré|golpearé|apuñalaré",
+    "te|os voy|vamos|va|van a matar|golpear|apuñalar|estrangular|degollar",
 )
-CLASSES = (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("harm", HARMS), ("intent", INTENTS))
-SYMBOLS = ("other", "insult", "quote", *(name for name, _ in CLASSES))
+CLASSES = (
+    ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("harm", HARMS), ("aimed", AIMED), ("intent", INTENTS),
+)
+SYMBOLS = ("other", "insult", "quote", "wish", *(name for name, _ in CLASSES))
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*|\"")
 #: What ends a clause (a colon may introduce reported speech, so it does not).
@@ -86,6 +111,25 @@ def closed_class(word: str) -> str | None:
     return next((name for name, words in CLASSES if word in words), None)
 
 
+def spoken(wishes: tuple[str, ...] = WISHES) -> dict[str, dict]:
+    """The wish transducer as a trie over words; None marks the end of a wish."""
+    root: dict = {}
+    for wish in wishes:
+        ends = [root]
+        for place in wish.split():
+            grown = [end.setdefault(word, {}) for end in ends for word in place.rstrip("?").split("|")]
+            ends = grown + (ends if place.endswith("?") else [])
+        for end in ends:
+            end[None] = {}
+    return root
+
+
+def cues(trie: dict, path: tuple[str, ...] = ()) -> set[str]:
+    """A word of each wish by which to find it, the longest."""
+    found = {max(path, key=len)} if None in trie else set()
+    return found.union(*(cues(after, (*path, word)) for word, after in trie.items() if word is not None))
+
+
 class Transducer(NamedTuple):
     """States from 0 (the start) on, and arcs (state, symbol) -> state."""
 
@@ -93,9 +137,9 @@ class Transducer(NamedTuple):
     arcs: dict[tuple[int, str], int]
 
 
-def within(opener: str, reach: int = REACH) -> Transducer:
+def within(*openers: str, reach: int = REACH) -> Transducer:
     """The state is how many more symbols are within reach of the last opener."""
-    arcs = {(s, x): reach if x == opener else max(0, s - 1) for s in range(reach + 1) for x in SYMBOLS}
+    arcs = {(s, x): reach if x in openers else max(0, s - 1) for s in range(reach + 1) for x in SYMBOLS}
     return Transducer(reach + 1, arcs)
 
 
@@ -107,9 +151,9 @@ def reporting() -> Transducer:
 
 
 #: What a clause is read by; an insult needs no state of its own.
-PARTS = {"threat": within("intent"), "target": within("target"), "negation": within("negation"), "report": reporting()}
+PARTS = {"threat": within("intent"), "target": within("target", "wish"), "negation": within("negation"), "report": reporting()}
 #: Reads a clause from its end: whether a target stands ahead.
-AHEAD = within("target")
+AHEAD = within("target", "wish")
 
 
 def compose(parts: dict[str, Transducer] = PARTS) -> list[dict[tuple[str, bool], tuple[int, str | None]]]:
@@ -131,6 +175,8 @@ def compose(parts: dict[str, Transducer] = PARTS) -> list[dict[tuple[str, bool],
                     kind = "insult" if aimed else "bare"
                 elif symbol == "harm" and of["threat"] and (ahead or of["target"] > of["threat"]):
                     kind = "threat"
+                elif symbol == "wish" or (symbol == "aimed" and of["threat"]):
+                    kind = "threat"
                 if kind and of["report"]:
                     kind = "reported"
                 elif kind and of["negation"]:
@@ -147,9 +193,9 @@ class Grammar:
         self.words, self.stems, self.bias, self.coefficients = words, stems, bias, coefficients
 
     def prepared(self) -> Grammar:
-        self.machine = compose()
+        self.machine, self.trie = compose(), spoken()
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for entry in {*(w for w, weight in self.words.items() if weight), *self.stems, *HARMS}:
+        for entry in {*(w for w, weight in self.words.items() if weight), *self.stems, *HARMS, *AIMED, *cues(self.trie)}:
             self.automaton.add_word(entry)
         self.automaton.make_automaton()
         return self
@@ -162,13 +208,27 @@ class Grammar:
         name = closed_class(word)
         if weight:
             return [("harm", HARM_WEIGHT + weight), ("insult", weight)] if name == "harm" else [("insult", weight)]
-        return [(name, HARM_WEIGHT if name == "harm" else 0.0)] if name else [("other", 0.0)]
+        return [(name, HARM_WEIGHT if name in ("harm", "aimed") else 0.0)] if name else [("other", 0.0)]
+
+    def rewritten(self, words: list[str]) -> list[list[tuple[str, float]]]:
+        """Readings of a clause's words, the longest wish at each place as one symbol."""
+        read, i = [], 0
+        while i < len(words):
+            node, end = self.trie, 0
+            for j in range(i, len(words)):
+                node = node.get(words[j])
+                if node is None:
+                    break
+                end = j + 1 if None in node else end
+            read.append([("wish", HARM_WEIGHT)] if end else self.readings(words[i]))
+            i = end or i + 1
+        return read
 
     def clause(self, clause: str) -> list[float]:
         """Weights by kind of what the composed machine emits for a clause: for words with two readings, of the first
         that emits anything."""
         found = [0.0] * len(KINDS)
-        read = [self.readings(w) for w in WORD.findall(clause)]
+        read = self.rewritten(WORD.findall(clause))
         ahead, back = [], 0
         for options in reversed(read):
             ahead.append(back > 0)
@@ -227,14 +287,14 @@ def _entries(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     top = (
         seen.where(p >= MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
         .where(ratio >= math.log(max(seen.count(), 2)))
-        .orderBy(F.desc(F.col("odds") * F.sqrt("p")), "unit").limit(MAX_ENTRIES).collect()
+        .orderBy(F.desc(F.col("odds") * F.sqrt("p")), "unit").collect()
     )
     stems_found = {r["unit"][1:]: float(r["odds"]) for r in top if r["unit"].startswith("^")}
     words_found = {r["unit"]: float(r["odds"]) for r in top if not r["unit"].startswith("^")}
     # words that begin like an entry but are at home in other texts: read as what they are
     begins = [F.substring("unit", 1, k).isin([w for w in stems_found if len(w) == k]) for k in range(STEM[0], STEM[1] + 1)]
     plain = seen.where(~F.col("unit").startswith("^") & (n > 0)).withColumn("odds", odds).where(F.col("odds") < MIN_LOG_ODDS)
-    plain = plain.where(reduce(lambda a, b: a | b, begins)).orderBy(F.desc("n"), "unit").limit(MAX_ENTRIES).collect()
+    plain = plain.where(reduce(lambda a, b: a | b, begins)).select("unit").collect()
     words_found |= {r["unit"]: 0.0 for r in plain if r["unit"] not in words_found}
     return words_found, stems_found
 
