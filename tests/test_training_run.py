@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marquee import tables
 from marquee.operators import evaluate, predict
 from marquee.streaming import latency
 
@@ -110,3 +111,29 @@ def test_rolling_percentiles(spark):
     got = {r.route: tuple(r)[1:] for r in evaluate.rolling_percentiles(rows, "route", "ms", ("t",), 20).collect()}
     latest = sorted(float(i * 7 % 50) for i in range(30, 50))
     assert got == {"a": (20, latest[10], latest[19], latest[19]), "b": (1, 2.35, 2.35, 2.35)}
+
+
+def test_states_of_histories_equal_those_of_windows(spark, training_tables):
+    """Users of 1 to 3 * length items, in batches that cut them: each window's state is that of its own vectors."""
+    units = training_tables[2]
+    rows = [(u, 2 * p + 1, (7 * u + 3 * p * p) % 23) for u in range(13) for p in range(u + 1)]  # items 20 to 22 have no vector
+    seqs = spark.createDataFrame(rows, "user_id bigint, pos bigint, item_id bigint")
+    w, before = predict.weights_of(CONFIG), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(r.user_id, r.pos, r.item_id): r.state for r in predict.encoded(predict.windowed_vectors(seqs, units, CONFIG.length), CONFIG, w).collect()}
+    try:
+        for size in (1, 5, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = predict.window_states(seqs.coalesce(1), units, CONFIG, w).collect()
+            assert len(got) == len(want) > 60 and {(r.user_id, r.pos, r.item_id): r.state for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_training_keeps_no_vectors_of_windows(spark, training_tables, tmp_path, monkeypatch):
+    """No table of a run holds a window's vectors, and an epoch's tables are gone."""
+    folder = tmp_path / "tables"
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{folder}")
+    predict.train(*training_tables, CONFIG, f"file://{tmp_path}/c", HOW, stop_after=1)
+    names = [p.name for p in folder.iterdir()]
+    assert sum(n.startswith("marquee-states") for n in names) == 2 and not [n for n in names if n.startswith(("marquee-epoch", "marquee-asked"))]
+    assert not [n for n in names if "vectors" in spark.read.parquet(f"file://{folder}/{n}").columns]
