@@ -19,8 +19,10 @@ def raw_genres():
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog, joined by sorting: its compressed file is far smaller than its rows, so by size of the file Spark would
+    collect a large catalog in the driver to broadcast it, once for each join."""
     part = table(spark, sf_dir, "part")
-    return part.select(
+    rows = part.select(
         F.col("p_partkey").alias("item_id"),
         F.col("p_name").alias("title"),
         parse_genres(raw_genres()).alias("genres"),
@@ -29,6 +31,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("About "), "p_name", F.lit(" by "), "p_brand")).alias("description"),
         F.when(F.col("p_size") % 7 != 0, F.concat(F.lit("https://img.example.com/p/"), "p_partkey", F.lit(".JPEG?w=1"))).alias("image_url"),
     )
+    return rows.hint("merge")
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:

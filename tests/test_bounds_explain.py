@@ -78,3 +78,12 @@ def test_loading_vectors_needs_some(spark):
         vectors.loaded(spark.createDataFrame([(2, None)], schema), 2)
     with pytest.raises(Exception, match="has not 3 numbers"):
         vectors.loaded(spark.createDataFrame([(1, [3.0, 4.0])], schema), 3).collect()
+
+
+def test_the_catalog_is_never_broadcast(spark, sf_dir):
+    """Its file is small enough for a broadcast, its rows at scale are not."""
+    from marquee.plans.registry import QUERIES
+
+    for name in ("explain_text", "explain_shared_genres", "explain_related"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, (name, plan)
