@@ -22,7 +22,7 @@ from ..schema import TEMPERATURE
 from ..tables import stored
 
 #: Queries in one product, vectors in a block of the catalog, and queries that a task holds.
-QUERY_BLOCK, CATALOG_BLOCK, QUERY_GROUP = 1024, 8192, 4096
+QUERY_BLOCK, CATALOG_BLOCK, QUERY_GROUP = 256, 8192, 4096
 #: Catalogs of more bytes are not broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -104,20 +104,36 @@ class _Best:
     def __init__(self, ids: pa.Array, vectors: np.ndarray, want: np.ndarray):
         self.ids, self.vectors, self.want = ids, vectors, want
         self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.least = np.full(len(want), -np.inf)  # of the scores of queries that have all they want
 
     def meet(self, items: np.ndarray, block: np.ndarray) -> None:
         """One block of the catalog, its items ascending."""
+        parts = [(self.row, self.item, self.score)]
         for at in range(0, len(self.vectors), QUERY_BLOCK):
-            score = np.floor(self.vectors[at : at + QUERY_BLOCK] @ block.T * 1e6 + 0.5) / 1e6
-            rows, columns = _best(score, self.want[at : at + QUERY_BLOCK])
-            self.row = np.concatenate([self.row, rows + at])
-            self.item = np.concatenate([self.item, items[columns]])
-            self.score = np.concatenate([self.score, score[rows, columns]])
+            score = self.vectors[at : at + QUERY_BLOCK] @ block.T
+            score *= 1e6  # in place: one product is all that is held
+            score += 0.5
+            np.floor(score, out=score)
+            score /= 1e6
+            want = self.want[at : at + QUERY_BLOCK]
+            near = score >= self.least[at : at + QUERY_BLOCK, None]  # an equal one may have a smaller item
+            many = near.sum(1) > want
+            picked = _best(score[many], want[many]) if many.any() else None
+            near[many] = False
+            rows, columns = np.nonzero(near)
+            parts.append((rows + at, items[columns], score[rows, columns]))
+            if picked:
+                rows, columns = np.flatnonzero(many)[picked[0]], picked[1]
+                parts.append((rows + at, items[columns], score[rows, columns]))
+        self.row, self.item, self.score = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((self.item, -self.score, self.row))
         row = self.row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         order = order[place < self.want[row]]
         self.row, self.item, self.score = self.row[order], self.item[order], self.score[order]
+        have = np.bincount(self.row, minlength=len(self.want))
+        full = have >= self.want
+        self.least[full] = self.score[np.cumsum(have)[full] - 1]
 
     def rows(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([self.ids.take(pa.array(self.row)), pa.array(self.item), pa.array(self.score)], names=["query_id", "item_id", "score"])

@@ -1,6 +1,7 @@
 """The vector store, its map of ids, and search over it."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,26 @@ def test_numbering(spark):
     none, n = numbering.numbered(rows.where("false"), F.col("k"))
     assert n == 0 and none.count() == 0
     assert "Window" in out._jdf.queryExecution().toString() and "SinglePartition" not in out._jdf.queryExecution().toString()
+
+
+def test_search_in_blocks_holds_one_product_and_keeps_ties():
+    """Blocks in any order against a plain sort, with many equal scores; what is held at a time does not grow with the blocks."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    catalog = rng.integers(-1, 2, size=(40_000, 4)).astype(float)
+    queries, want = rng.integers(-1, 2, size=(600, 4)).astype(float), rng.integers(1, 90, size=600)
+    best = vectors._Best(pa.array(np.arange(600)), queries, want)
+    tracemalloc.start()
+    for at in (24_576, 0, 32_768, 8192, 16_384):
+        best.meet(np.arange(at, min(at + 8192, 40_000)), catalog[at : at + 8192])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = np.floor(queries @ catalog.T * 1e6 + 0.5) / 1e6
+    got = best.rows().to_pydict()
+    for q in range(600):
+        order = np.lexsort((np.arange(40_000), -score[q]))[: want[q]]
+        at = [i for i, x in enumerate(got["query_id"]) if x == q] if q % 50 == 0 else None
+        if at is not None:
+            assert [got["item_id"][i] for i in at] == order.tolist()
+    assert len(got["query_id"]) == want.sum() and peak < 100 << 20, peak
