@@ -5,11 +5,13 @@ of kind ``pii``: high-recall generators (anything around an @, any group of digi
 overlapping candidates; boosted trees (``pyspark.ml``) score each from the format of its characters and from the words
 next to it; thresholds calibrated for each format select what is redacted, the best of overlapping candidates.
 
-What is to be added is what the base patterns miss, so the trees learn from more than base spans. From candidates that
-meet a base span (the first by a hash), three kinds of rows are made: the candidate itself and a near miss of it (a
+What is to be added is what the base patterns miss, so the trees learn from more than base spans. From all candidates
+that meet a base span, three kinds of rows are made: the candidate itself and a near miss of it (a
 typo in a domain, a changed check digit, an octet out of range, a missing plus) as positives in its own context, and a
 date, a version, an order number or a mention as a negative, in half of the cases in a plain one. Candidates of the corpus that are plainly
-dates, versions or amounts are negatives, too, and never added. TRAIN_ROWS bounds them all.
+dates, versions or amounts are negatives, too, and never added.
+Copies of a candidate in the same words count once; nothing else is left out, so models and thresholds come from the
+whole table.
 
 Two halves are cross-fitted: each is scored by trees that have not seen it. A format's threshold is the least score at
 which, of near misses and negatives of that format, TARGET_PRECISION are near misses; what is added has the mean score
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import saved
 from .spans import hits, listed, located, numbered
 
-TRAIN_ROWS = 12_000
 TARGET_PRECISION = 0.95
 TREES, DEPTH = 8, 4
 #: Near misses, and look-alikes, made of each candidate that is learned from.
@@ -164,12 +165,10 @@ def look_alike(kind: Column, h: Column) -> Column:
 
 
 def training_rows(candidates: DataFrame) -> DataFrame:
-    """(hit, before, after, label, of, format, half) from candidates (hit, before, after, label): at most TRAIN_ROWS."""
-    order = [F.xxhash64("hit", "before", "after"), "hit", "before", "after"]
-    share = TRAIN_ROWS // (2 + 2 * VARIANTS)
+    """(hit, before, after, label, of, format, half) from candidates (hit, before, after, label), of all of them."""
     known = candidates.select("hit", "before", "after", "label").distinct()  # copies of documents teach nothing more
-    real = known.where("label = 1").orderBy(*order).limit(share)
-    dull = known.where((F.col("label") == 0) & F.col("hit").rlike(HARMLESS)).orderBy(*order).limit(share)
+    real = known.where("label = 1")
+    dull = known.where((F.col("label") == 0) & F.col("hit").rlike(HARMLESS))
     half = F.pmod(F.shiftright(F.xxhash64("hit", "before"), 40), F.lit(2)).cast("int").alias("half")
     h = F.xxhash64("hit", "before", "variant")
     kind = format_of(F.col("hit"))
@@ -192,7 +191,7 @@ def training_rows(candidates: DataFrame) -> DataFrame:
 def fit(candidates: DataFrame) -> tuple[list[PipelineModel], dict[str, tuple[float, float, float]]] | None:
     """Boosted trees of both halves, and by format: threshold, precision and recall of near misses in the half that the
     trees have not seen. Candidates: (hit, before, after, label)."""
-    sample = saved(features(training_rows(candidates)), "pii-train").coalesce(2).persist()
+    sample = saved(features(training_rows(candidates)), "pii-train").persist()
     try:
         labels = {(r["half"], r["label"]) for r in sample.select("half", "label").distinct().collect()}
         if len(labels) < 4:

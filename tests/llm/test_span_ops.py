@@ -213,3 +213,11 @@ def test_redaction(spark):
     frame = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
     out = pii.scan_pii(frame).join(frame, "doc_id").select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t"))
     assert {r.doc_id: r.t for r in out.collect()} == {1: "mail me: <EMAIL> or 😀 <PHONE>, <IP>", 2: None}
+
+
+def test_pii_learns_from_all_candidates(spark):
+    """Every distinct candidate gives training rows, however many there are; copies give none."""
+    rows = [(f"u{i}@host.org", "write to", "now", 1.0) for i in range(3000)] + [("2001-02-%02d" % (i % 28 + 1), f"w{i}", "", 0.0) for i in range(3000)]
+    frame = spark.createDataFrame(rows + rows[:50], "hit string, before string, after string, label double")
+    made = {r["of"]: r["n"] for r in pii.training_rows(frame).groupBy("of").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert made == {"base": 3000, "miss": 3000 * pii.VARIANTS, "dull": 3000 * pii.VARIANTS + 3000}
