@@ -11,8 +11,8 @@ their characters, and a battery measures how far they are from characters drawn
 
 Fisher's sum of the four is the statistic; ordinary text has large ones. As neither the limit laws nor independence hold
 on short tokens, its law is not assumed: the null hypothesis is "ordinary text", and its distribution is measured over
-all documents. From each, a stretch of its own words from a place drawn over the whole text, written as one token in each
-encoding, at one of NULL_LENGTHS (drawn by a hash), with a number somewhere in it, goes through the same battery (text that
+all words of all documents. Each text is written whole in each encoding and cut into tokens of NULL_LENGTHS in turn, with
+a number somewhere in each, which go through the same battery (text that
 looks like a candidate is left out). Base 64 is measured apart for tokens with joints (``_``, ``-``, ``/``), against words joined by
 them, and without, against words in mixed case. A token's p-value is the share of such stretches, of its encoding and
 at most its length, that look as random; shorter ones look more random, so this errs to the safe side. Within each
@@ -28,6 +28,7 @@ long tokens and texts with many matches are measured whole. Where no document ha
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +40,13 @@ MIN_TOKEN = 20
 FDR = 0.05
 #: Length classes are powers of two from MIN_TOKEN on; the last holds all longer tokens.
 LENGTH_CLASSES = 8
-#: Lengths of the stretches of ordinary text, one for each of the first length classes.
+#: Lengths of the stretches of ordinary text, one for each of the first length classes; each has a number of two digits.
 NULL_LENGTHS = (MIN_TOKEN, 2 * MIN_TOKEN, 4 * MIN_TOKEN)
-#: Code points of a text from which its stretch is spelt, and what joins words in ordinary tokens.
-NEARBY, JOINTS = 360, ("_", "-", "/")
+#: The shortest stretch without its number; a stretch of each length, or what a text ends with.
+PIECE = MIN_TOKEN - 2
+BLOCK = "(?s).{%d}(?=.{%d})|.{%d,}" % (sum(NULL_LENGTHS) - 2 * len(NULL_LENGTHS), PIECE, PIECE)
+#: What joins words in ordinary tokens.
+JOINTS = ("_", "-", "/")
 #: Bins of the statistic; the last holds all that is further from random.
 BINS, BINS_PER_UNIT = 400, 10
 #: Alphabets: the size, what a token of it looks like, and what of a text's words it can spell, of which letter case.
@@ -70,68 +74,114 @@ def tail(z: Column) -> Column:
     return F.greatest(F.when(z < 0, 1 - upper).otherwise(upper), F.lit(1e-300))
 
 
-def ranks(body: Column, alphabet: Column) -> Column:
-    """The place of each character in its alphabet: A-Z a-z 0-9 and signs, A-Z 2-7, or 0-9 a-z."""
-    rank64 = lambda c: (
-        F.when((c >= 65) & (c <= 90), c - 65).when((c >= 97) & (c <= 122), c - 71).when((c >= 48) & (c <= 57), c + 4).otherwise(62)
-    )
-    rank36 = lambda c: F.when(c >= 97, c - 87).when(c >= 65, c - 55).otherwise(c - 48)
-    rank32 = lambda c: F.when(c >= 65, c - 65).otherwise(c - 24)
-    codes = F.transform(F.split(body, ""), F.ascii)
-    return F.when(alphabet == 64, F.transform(codes, rank64)).when(alphabet == 32, F.transform(codes, rank32)).otherwise(F.transform(codes, rank36))
+def _rank(code: int, size: int) -> int:
+    """The place of a character in its alphabet: A-Z a-z 0-9 and signs, A-Z 2-7, or 0-9 a-z."""
+    if size == 64:
+        return code - 65 if 65 <= code <= 90 else code - 71 if 97 <= code <= 122 else code + 4 if 48 <= code <= 57 else 62
+    if size == 32:
+        return code - 65 if code >= 65 else code - 24
+    return code - 87 if code >= 97 else code - 55 if code >= 65 else code - 48
+
+
+def by_alphabet(of: Callable[[int], Column]) -> Column:
+    """What ``of`` gives for the size of the row's alphabet."""
+    out = of(36)
+    for size in (16, 32, 64):
+        out = F.when(F.col("alphabet") == size, of(size)).otherwise(out)
+    return out
+
+
+def _table(values: list[int]) -> Column:
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+
+
+def ranks(body: Column) -> Column:
+    codes = F.split(body, "")
+    return by_alphabet(lambda size: F.transform(codes, lambda c: F.get(_table([_rank(code, size) for code in range(128)]), F.ascii(c))))
 
 
 #: For each alphabet, the ranks at which its second and third group begin: letter case and digits, or thirds.
 GROUPS = {16: (5, 10), 32: (13, 26), 36: (10, 23), 64: (26, 52)}
+#: Sums that the battery needs, and up to which length they fit in the bits of a long.
+SUMS, SHORT = ("squares", "s", "ss", "sp", "high", "changes", "first", "third"), 255
 
 
-def battery(tokens: DataFrame) -> DataFrame:
-    """(all columns of ``tokens``, n, statistic): Fisher's sum of the battery for each token (hit, alphabet)."""
-    alphabet = F.col("alphabet")
-    df = tokens.withColumn("ranks", ranks(F.regexp_replace("hit", "=+$", ""), alphabet)).withColumn("n", F.size("ranks").cast("double"))
-    k, n = alphabet.cast("double"), F.col("n")
+def _sums(size: int) -> Column:
+    """The sums of the battery over ``ranks``: squares of the characters' counts, of ranks, of neighbours, of what is above
+    the middle, changes of side, and sizes of the first and third group."""
+    first, third = (F.lit(x) for x in GROUPS[size])
+    one = lambda test: F.when(test, 1.0).otherwise(0.0)
     # chi-squared: with sorted ranks, squares of counts come from the places where the value changes
     squares = F.aggregate(
-        F.array_sort("ranks"),
-        F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
+        F.sort_array("ranks"),
+        F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
         lambda a, x: F.when(
             a["last"] == x, F.struct(x.alias("last"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))
         ).otherwise(F.struct(x.alias("last"), F.lit(1.0).alias("run"), (a["sum"] + a["run"] * a["run"]).alias("sum"))),
         lambda a: a["sum"] + a["run"] * a["run"],
     )
-    bounds = [F.when(alphabet == 16, GROUPS[16][i]).when(alphabet == 32, GROUPS[32][i]).when(alphabet == 36, GROUPS[36][i]).otherwise(GROUPS[64][i]) for i in (0, 1)]
-    one = lambda test: F.when(test, 1.0).otherwise(0.0)
+    zero = lambda x: (F.lit(-1).cast("long") if x == "last" else F.lit(0.0)).alias(x)
     moments = F.aggregate(
         "ranks",
-        F.struct(*(F.lit(-1 if x == "last" else 0.0).alias(x) for x in ("last", "s", "ss", "sp", "high", "runs", "first", "third"))),
+        F.struct(*map(zero, ("last", "s", "ss", "sp", "high", "changes", "first", "third"))),
         lambda a, x: F.struct(
             x.alias("last"),
             (a["s"] + x).alias("s"),
             (a["ss"] + x * x).alias("ss"),
             (a["sp"] + F.when(a["last"] >= 0, a["last"] * x).otherwise(0)).alias("sp"),
-            (a["high"] + one(2 * x >= alphabet)).alias("high"),
-            (a["runs"] + one((a["last"] < 0) | ((2 * a["last"] >= alphabet) != (2 * x >= alphabet)))).alias("runs"),
-            (a["first"] + one(x < F.col("b1"))).alias("first"),
-            (a["third"] + one(x >= F.col("b2"))).alias("third"),
+            (a["high"] + one(2 * x >= size)).alias("high"),
+            (a["changes"] + one((a["last"] >= 0) & ((2 * a["last"] >= size) != (2 * x >= size)))).alias("changes"),
+            (a["first"] + one(x < first)).alias("first"),
+            (a["third"] + one(x >= third)).alias("third"),
         ),
+        lambda a: F.struct(squares.alias("squares"), *(a[x].alias(x) for x in SUMS[1:])),
     )
-    df = df.withColumn("b1", bounds[0]).withColumn("b2", bounds[1]).withColumn("squares", squares).withColumn("m", moments)
+    return moments
+
+
+def _short_sums(size: int) -> Column:
+    """``_sums`` of at most SHORT characters: several of them in the bits of one long, by a table of ranks."""
+    above = lambda r: int(2 * r >= size)
+    first, third = GROUPS[size]
+    one = _table([int(r < first) | int(r >= third) << 8 | above(r) << 16 | r << 24 | r * r << 40 for r in range(size)])
+    zero, total, n = F.lit(0).cast("long"), lambda a, x: a + x, F.size("ranks") - 1
+    pairs = F.zip_with(F.slice("ranks", F.lit(1), n), F.slice("ranks", F.lit(2), n), lambda p, q: p * q + F.when((p >= size // 2) != (q >= size // 2), 1 << 32).otherwise(0))
+    # the last rank, the length of its run so far and the sum of squares, which grows by twice that length and 1
+    run = lambda a: F.shiftright(a, 8).bitwiseAND(F.lit(255))
+    again = lambda a: a + 256 + F.shiftleft(2 * run(a) + 1, 16)
+    anew = lambda a, x: F.shiftleft(F.shiftright(a, 16) + 1, 16) + 256 + x
+    squares = F.aggregate(F.sort_array("ranks"), F.lit(255).cast("long"), lambda a, x: F.when(a.bitwiseAND(F.lit(255)) == x, again(a)).otherwise(anew(a, x)))
+    packed = F.struct(F.aggregate("ranks", zero, lambda a, x: a + F.get(one, x.cast("int"))).alias("one"), F.aggregate(pairs, zero, total).alias("two"), squares.alias("squares"))
+    part = lambda a, low, bits: F.shiftright(a, low).bitwiseAND(F.lit((1 << bits) - 1)).cast("double")
+    at = {"squares": ("squares", 16, 32), "first": ("one", 0, 8), "third": ("one", 8, 8), "high": ("one", 16, 8), "s": ("one", 24, 16), "ss": ("one", 40, 20), "sp": ("two", 0, 32), "changes": ("two", 32, 16)}
+    return F.transform(F.array(packed), lambda p: F.struct(*(part(p[at[x][0]], *at[x][1:]).alias(x) for x in SUMS)))[0]
+
+
+def battery(tokens: DataFrame) -> DataFrame:
+    """(all columns of ``tokens``, n, statistic): Fisher's sum of the battery for each token (hit, alphabet)."""
+    alphabet = F.col("alphabet")
+    df = tokens.withColumn("ranks", ranks(F.regexp_replace("hit", "=+$", ""))).withColumn("n", F.size("ranks").cast("double"))
+    k, n = alphabet.cast("double"), F.col("n")
+    bounds = [F.when(alphabet == 16, GROUPS[16][i]).when(alphabet == 32, GROUPS[32][i]).when(alphabet == 36, GROUPS[36][i]).otherwise(GROUPS[64][i]) for i in (0, 1)]
+    sums = F.when(n <= SHORT, by_alphabet(_short_sums)).otherwise(by_alphabet(_sums))
+    ends = F.struct(F.element_at("ranks", 1).alias("head"), F.element_at("ranks", -1).alias("last"))
+    df = df.select(*tokens.columns, "n", sums.alias("m"), ends.alias("e"), bounds[0].alias("b1"), bounds[1].alias("b2"))
     expected = (F.col("b1") / k * n, (F.col("b2") - F.col("b1")) / k * n, (k - F.col("b2")) / k * n)
     seen = (F.col("m.first"), n - F.col("m.first") - F.col("m.third"), F.col("m.third"))
     log_groups = -sum(((o - e) * (o - e) / e for o, e in zip(seen, expected, strict=True)), F.lit(0.0)) / 2  # 2 degrees: exact
-    chi = F.greatest(k / n * F.col("squares") - n, F.lit(0.0)) / (k - 1)
+    chi = F.greatest(k / n * F.col("m.squares") - n, F.lit(0.0)) / (k - 1)
     z_chi = (F.pow(chi, F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1)))
     high, low = F.col("m.high"), n - F.col("m.high")
     mean_runs = 2 * high * low / n + 1
     var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    z_runs = F.when(var_runs > 0, (F.col("m.runs") - mean_runs) / F.sqrt(var_runs)).otherwise(F.sqrt(n))
+    z_runs = F.when(var_runs > 0, (F.col("m.changes") + 1 - mean_runs) / F.sqrt(var_runs)).otherwise(F.sqrt(n))
     mean = F.col("m.s") / n
     var = F.col("m.ss") / n - mean * mean
-    cov = (F.col("m.sp") - mean * (2 * F.col("m.s") - F.col("m.last") - F.element_at("ranks", 1)) + (n - 1) * mean * mean) / (n - 1)
+    cov = (F.col("m.sp") - mean * (2 * F.col("m.s") - F.col("e.last") - F.col("e.head")) + (n - 1) * mean * mean) / (n - 1)
     z_ser = F.when(var > 0, (cov / var + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
     two = lambda z: F.log(F.least(2 * tail(F.abs(z)), F.lit(1.0)))
     statistic = -(log_groups + F.log(tail(z_chi)) + two(z_runs) + two(z_ser))
-    return df.withColumn("statistic", statistic).drop("ranks", "squares", "m", "b1", "b2")
+    return df.withColumn("statistic", statistic).drop("m", "e", "b1", "b2")
 
 
 def binned(tokens: DataFrame) -> DataFrame:
@@ -164,35 +214,34 @@ def drawn(h: Column, name: str, n: Column | int) -> Column:
 
 
 def ordinary(docs: DataFrame) -> DataFrame:
-    """(alphabet, hit): stretches of each text's own words as tokens, from all texts of ``docs`` (row, text).
+    """(alphabet, hit): all words of all texts of ``docs`` (row, text) as tokens, each word once in each encoding.
 
-    The place is drawn first, evenly over the whole text; only NEARBY code points from there are spelt. Base 64 is spelt
-    twice: with changes of case alone, and joined by a drawn sign in a drawn case.
+    A text is spelt whole in an encoding and cut into blocks, a block into pieces of NULL_LENGTHS, less two for a number;
+    what is left over goes to the last piece. Base 64 is spelt twice: with changes of case alone, and joined by a drawn
+    sign in a drawn case.
     """
-    h, text, edge = F.col("h"), F.col("text"), "[A-Za-z0-9+/_=-]+"
-    df = docs.select(F.xxhash64("text").alias("h"), "text").withColumn("size", F.length("text"))
-    df = df.withColumn("place", drawn(h, "place", F.greatest(F.col("size") - NEARBY + 1, F.lit(1))) + 1)
-    near = text.substr(F.col("place"), F.lit(NEARBY))
-    # what the ends cut off may be part of a candidate
-    near = F.when(F.col("place") > 1, F.regexp_replace(near, "^" + edge, "")).otherwise(near)
-    near = F.when(F.col("place") + NEARBY <= F.col("size"), F.regexp_replace(near, edge + "$", "")).otherwise(near)
-    length = F.element_at(F.array(*map(F.lit, NULL_LENGTHS)), drawn(h, "length", len(NULL_LENGTHS)) + 1)
-    df = df.select("h", F.regexp_replace(near, TOKEN, " ").alias("words"), length.alias("length"))
-    words = F.col("words")
+    h = F.xxhash64("text")
+    df = docs.select(h.alias("h"), F.regexp_replace("text", TOKEN, " ").alias("words"))  # what looks like a candidate is none
+    h, words = F.col("h"), F.col("words")
     spelt = [F.struct(F.lit(n).alias("alphabet"), F.regexp_replace(case(words), other, "").alias("words")) for n, _, other, case in ALPHABETS]
     joint = F.element_at(F.array(*map(F.lit, JOINTS)), drawn(h, "joint", len(JOINTS)) + 1)
     style = drawn(h, "case", 3)
     cased = F.when(style == 0, F.lower(words)).when(style == 1, F.upper(words)).otherwise(F.initcap(words))
     cased = F.regexp_replace(F.trim(F.regexp_replace(cased, "[^A-Za-z0-9]+", " ")), F.lit(" "), joint)
     spelt.append(F.struct(F.lit(64).alias("alphabet"), cased.alias("words")))
-    each = df.select("h", "length", F.explode(F.array(*spelt)).alias("a")).select("h", "length", "a.*")
-    each = each.withColumn("length", F.when(F.length("words") < F.col("length"), MIN_TOKEN).otherwise(F.col("length")))
-    each = each.where(F.length("words") >= F.col("length"))
-    number = F.translate(F.lpad(F.pmod("h", F.lit(100)).cast("string"), 2, "0"), "0189", "2345")  # digits of all alphabets
-    rest = F.col("length") - 2
-    at, cut = drawn(h, "at", F.length("words") - F.col("length") + 1) + 1, drawn(h, "cut", rest)
-    hit = F.concat(words.substr(at, cut + 1), number, words.substr(at + cut + 1, rest - cut - 1))
-    return each.select("alphabet", hit.alias("hit"))
+    each = df.select(F.explode(F.array(*spelt)).alias("a")).select("a.*")
+    each = each.select("alphabet", F.explode(F.regexp_extract_all("words", F.lit(BLOCK), F.lit(0))).alias("block"))
+    block, size, pieces, at = F.col("block"), F.length("block"), [], 0
+    for i, length in enumerate(n - 2 for n in NULL_LENGTHS):
+        last = size < at + length + PIECE if i + 1 < len(NULL_LENGTHS) else F.lit(True)
+        piece = F.when(last, block.substr(F.lit(at + 1), size)).otherwise(block.substr(at + 1, length))
+        pieces.append(F.when(size >= at + PIECE, piece))
+        at += length
+    each = each.select("alphabet", F.explode(F.array_compact(F.array(*pieces))).alias("piece"))
+    piece, h = F.col("piece"), F.xxhash64("piece")
+    number = F.translate(F.lpad(F.pmod(h, F.lit(100)).cast("string"), 2, "0"), "0189", "2345")  # digits of all alphabets
+    cut = drawn(h, "cut", F.length(piece) + 1)
+    return each.select("alphabet", F.concat(piece.substr(F.lit(1), cut), number, piece.substr(cut + 1, F.length(piece))).alias("hit"))
 
 
 def let_out(tested: DataFrame, null: DataFrame) -> DataFrame:

@@ -114,6 +114,31 @@ def test_false_discovery_control(spark):
     assert secret_scan.let_out(frame, nulls.limit(0)).count() == 0
 
 
+def test_null_holds_every_word(spark):
+    """Ordinary text is measured whole: each letter of each text once in each encoding that can spell it."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(n)) for n in (3, 10, 40, 900)]
+    got = secret_scan.ordinary(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert all(20 <= len(r.hit) < 100 and re.search("[0-9]{2}", r.hit) for r in got)
+    letters = Counter("".join(t for t in texts if len(t.replace(" ", "")) >= 18).replace(" ", ""))
+    for k, times, letter in ((36, 1, "[a-z]"), (32, 1, "[a-z]"), (64, 2, "[a-z]"), (16, 1, "[a-f]")):
+        seen = Counter(re.sub("[^a-z]", "", "".join(r.hit for r in got if r.alphabet == k).lower()))
+        want = {c: times * n for c, n in letters.items() if re.match(letter, c)}
+        if k == 16:  # short texts have too few letters that it can spell
+            own = [re.sub("[^a-f]", "", t) for t in texts]
+            want = Counter("".join(t for t in own if len(t) >= 18))
+        assert seen == want, k
+
+
+def test_short_and_long_sums_agree(spark):
+    rng = random.Random(7)
+    letters = {64: string.ascii_letters + string.digits + "+/-_", 36: string.ascii_lowercase + string.digits, 32: string.ascii_uppercase + "234567", 16: "0123456789abcdef"}
+    rows = [("".join(rng.choices(x, k=n)), k) for k, x in letters.items() for n in (20, 33, 97, 255)] + [("a" * 255, 64), ("9" * 255, 64), ("-" * 255, 64)]
+    frame = spark.createDataFrame(rows, "hit string, alphabet int").withColumn("ranks", secret_scan.ranks(F.col("hit")))
+    for r in frame.select(secret_scan.by_alphabet(secret_scan._short_sums).alias("a"), secret_scan.by_alphabet(secret_scan._sums).alias("b")).collect():
+        assert r.a.asDict() == r.b.asDict()
+
+
 IDENTIFIERS = [
     "Sha256DigestCalculator", "httpRequestTimeoutSeconds30", "user_profile_picture_url_2x", "Iso8601DateTimeFormatterFactory",
     "com/example/project1/ClassName", "MAX_CONNECTION_POOL_SIZE_128", "documentRevisionNumber2024", "Utf8StringEncodingHelper",
