@@ -89,8 +89,8 @@ def ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def filtered_by_genres(candidates: DataFrame, items: DataFrame, labels: list[str] | None, k: int) -> DataFrame:
     """Candidates (user_id, item_id, score, rank) of matching genres, in their order, the first k."""
-    rows = candidates.withColumnRenamed("rank", "prior").join(items.select("item_id", "genres"), "item_id")
-    return ranked(rows.where(matches_genres(F.col("genres"), labels)).drop("genres"), k, F.col("prior"))
+    rows = candidates.withColumnRenamed("rank", "prior").join(items.where(matches_genres(F.col("genres"), labels)).select("item_id"), "item_id")
+    return ranked(rows, k, F.col("prior"))
 
 
 def _overlap(rows: DataFrame, items: DataFrame, profile: DataFrame, key: list[str]) -> DataFrame:

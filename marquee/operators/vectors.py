@@ -101,8 +101,9 @@ def _best(score: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Best:
     """The best items so far of some queries: a running top-k over blocks of the catalog."""
 
-    def __init__(self, ids: pa.Array, vectors: np.ndarray, want: np.ndarray):
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, want: np.ndarray, without: tuple[np.ndarray, np.ndarray] | None = None):
         self.ids, self.vectors, self.want = ids, vectors, want
+        self.without = without  # places of queries, ascending, and items that each must not get
         self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         self.least = np.full(len(want), -np.inf)  # of the scores of queries that have all they want
 
@@ -117,6 +118,10 @@ class _Best:
             score /= 1e6
             want = self.want[at : at + QUERY_BLOCK]
             near = score >= self.least[at : at + QUERY_BLOCK, None]  # an equal one may have a smaller item
+            if self.without is not None:
+                rows, columns = self._left_out(at, items)
+                near[rows, columns] = False
+                score[rows, columns] = -np.inf
             many = near.sum(1) > want
             picked = _best(score[many], want[many]) if many.any() else None
             near[many] = False
@@ -135,6 +140,19 @@ class _Best:
         full = have >= self.want
         self.least[full] = self.score[np.cumsum(have)[full] - 1]
 
+    def _left_out(self, at: int, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (row, column) in the product of the queries from ``at`` on with ``items`` of what they must not get."""
+        a, b = np.searchsorted(self.without[0], [at, at + QUERY_BLOCK])
+        row, item = self.without[0][a:b] - at, self.without[1][a:b]
+        first, n = np.searchsorted(items, item), np.searchsorted(items, item, "right")
+        n -= first  # an item may have several vectors
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(row, n), np.repeat(first, n) + within
+
+    def places(self) -> np.ndarray:
+        """The rank of each row, from 1: they come query by query, best first."""
+        return np.arange(len(self.row)) - np.searchsorted(self.row, self.row) + 1
+
     def rows(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([self.ids.take(pa.array(self.row)), pa.array(self.item), pa.array(self.score)], names=["query_id", "item_id", "score"])
 
@@ -153,18 +171,25 @@ def _matrix(ids: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_broadcast(queries: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(query_id, item_id, score, rank): whole lists, as a worker meets the whole catalog; without the items of a column
+    ``without`` of the queries, if there is one."""
     told = queries.sparkSession.sparkContext.broadcast(blocks)  # of at most BROADCAST_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_GROUP):
-                part = batch.slice(at, QUERY_GROUP)
-                best = _Best(part.column(0), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1), part.column(2).to_numpy())
+                part, without = batch.slice(at, QUERY_GROUP), None
+                if part.num_columns > 3:
+                    n = pa.compute.fill_null(pa.compute.list_value_length(part.column(3)), 0).to_numpy(zero_copy_only=False)
+                    without = np.repeat(np.arange(part.num_rows), n), part.column(3).flatten().to_numpy(zero_copy_only=False)
+                best = _Best(part.column(0), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1), part.column(2).to_numpy(), without)
                 for items, block in told.value:
                     best.meet(items, block)
-                yield best.rows()
+                rows = best.rows()
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(best.places())], names=[*rows.schema.names, "rank"])
 
-    return queries.select("query_id", "q", "want").mapInArrow(run, "query_id long, item_id long, score double")
+    columns = ["query_id", "q", "want", *(c for c in queries.columns if c == "without")]
+    return queries.select(*columns).mapInArrow(run, "query_id long, item_id long, score double, rank long")
 
 
 def _by_cells(queries: DataFrame, blocks: DataFrame, query_group: int) -> DataFrame:
@@ -201,45 +226,57 @@ def _by_cells(queries: DataFrame, blocks: DataFrame, query_group: int) -> DataFr
     return cells.mapInArrow(run, "query_id long, item_id long, score double")
 
 
-def top_candidates(
-    queries: DataFrame, catalog, query_group: int = QUERY_GROUP, catalog_block: int = CATALOG_BLOCK, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """(query_id, item_id, score) for each query (query_id, q, want): its best ``want`` items, once for each part of the
-    catalog, which is a table (item_id, v) or a vector store."""
-    queries = queries.where("want > 0")
+def _told(catalog, broadcast_bytes: int, catalog_block: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """The blocks of a catalog that may be broadcast, or None."""
     if isinstance(catalog, DataFrame):
         size = catalog.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
         n, d = size.n, size.d or 0
     else:
         n, d = catalog.count, catalog.dimension
     if 8 * n * (d + 1) > broadcast_bytes:
-        return _by_cells(queries, catalog_blocks(catalog, catalog_block), query_group)
+        return None
     if isinstance(catalog, DataFrame):
         table = catalog.select("item_id", "v").toArrow()
         ids, flat = table.column(0).to_numpy(), table.column(1).combine_chunks().flatten().to_numpy()
         whole = [_matrix(ids, flat)] if n else []
     else:
         whole = [_matrix(np.array(r.ids), np.array(r.v)) for r in catalog.blocks.select("ids", "v").collect()]
-    cut = [(i[at : at + catalog_block], v[at : at + catalog_block]) for i, v in whole for at in range(0, len(i), catalog_block)]
-    return _by_broadcast(queries, cut)
+    return [(i[at : at + catalog_block], v[at : at + catalog_block]) for i, v in whole for at in range(0, len(i), catalog_block)]
 
 
-def top_k(queries: DataFrame, catalog, k: int, exclude: DataFrame | None = None) -> DataFrame:
-    """(query_id, item_id, score, rank): each query's k best items by quantized cosine, ties by item. The catalog is a
-    table (item_id, v) or a vector store.
+def top_candidates(
+    queries: DataFrame, catalog, query_group: int = QUERY_GROUP, catalog_block: int = CATALOG_BLOCK, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """(query_id, item_id, score) for each query (query_id, q, want): its best ``want`` items, once for each part of the
+    catalog, which is a table (item_id, v) or a vector store."""
+    queries, blocks = queries.select("query_id", "q", "want").where("want > 0"), _told(catalog, broadcast_bytes, catalog_block)
+    if blocks is None:
+        return _by_cells(queries, catalog_blocks(catalog, catalog_block), query_group)
+    return _by_broadcast(queries, blocks).drop("rank")
+
 
-    ``exclude`` (query_id, item_id) is dropped: a query asks for that many more and the anti join takes them out, so the
-    result is exact. With fewer items than k the list is shorter.
+def top_k(queries: DataFrame, catalog, k: int, exclude: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, item_id, score, rank): each query's k best items by quantized cosine, ties by item; an id is one query's.
+    The catalog is a table (item_id, v) or a vector store.
+
+    ``exclude`` (query_id, item_id) is left out. Where the catalog is broadcast, a query takes its excluded items along and
+    its list leaves the worker ranked: nothing is joined or sorted after the search. Else a query asks for that many more
+    and an anti join takes them out. Both are exact. With fewer items than k the list is shorter.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     q = queries.select("query_id", normalized(F.col("q")).alias("q"))
+    blocks = _told(catalog, broadcast_bytes, CATALOG_BLOCK)
+    if exclude is not None:
+        own = exclude.where("item_id is not null").groupBy("query_id").agg(F.collect_set("item_id").alias("without"))
+        q = q.join(own, "query_id", "left")
+    if blocks is not None:
+        return _by_broadcast(q.withColumn("want", F.lit(k)), blocks)
     if exclude is not None:
-        more = exclude.groupBy("query_id").agg(F.countDistinct("item_id").alias("more"))
-        q = q.join(more, "query_id", "left").select("query_id", "q", (F.coalesce("more", F.lit(0)) + k).cast("int").alias("want"))
+        q = q.withColumn("want", F.coalesce(F.array_size("without"), F.lit(0)) + k).drop("without")
     else:
         q = q.withColumn("want", F.lit(k))
-    found = top_candidates(q, catalog)
+    found = _by_cells(q, catalog_blocks(catalog), QUERY_GROUP)
     if exclude is not None:
         found = found.join(exclude.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")

@@ -122,3 +122,18 @@ def test_search_in_blocks_holds_one_product_and_keeps_ties():
         if at is not None:
             assert [got["item_id"][i] for i in at] == order.tolist()
     assert len(got["query_id"]) == want.sum() and peak < 100 << 20, peak
+
+
+def test_excluded_items_leave_in_the_search(spark):
+    """Where the catalog is broadcast, lists leave the search whole and ranked: no join or window follows. By cells they are equal."""
+    rng = np.random.default_rng(3)
+    units = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(40)], "item_id long, v array<double>")
+    queries = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(9)], "query_id long, q array<double>")
+    gone = [(q, i) for q in range(8) for i in range(40) if (q * i) % 3 == 0 or q == 7] + [(2, 3), (2, 3), (3, 999), (8, None)]
+    exclude = spark.createDataFrame(gone, "query_id long, item_id long")
+    told = vectors.top_k(queries, units, 6, exclude)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LeftAnti" not in plan
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "item_id", "score", "rank").collect()))
+    got, cells = rows(told), rows(vectors.top_k(queries, units, 6, exclude, broadcast_bytes=0))
+    assert got == cells and {r[0] for r in got} == {1, 2, 4, 5, 8} and not {r[:2] for r in got} & set(gone)
