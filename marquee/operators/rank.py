@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import dot, genre_overlap_ratio, normalize_year, quantized
 from ..schema import CANDIDATE_POOL, RECENT_WINDOW
 from ..sources.files import write_json
+from ..tables import stored
 from .numbering import running
 from .recommend import ranked
 from .vectors import summed, top_k
@@ -59,10 +60,11 @@ def features(candidates: DataFrame, history: DataFrame, items: DataFrame, rankin
 
 def training_rows(samples: DataFrame, queries: DataFrame, units: DataFrame, items: DataFrame, ranking: DataFrame, pool: int = CANDIDATE_POOL) -> DataFrame:
     """Candidates of each sample (user_id, history, target) without its history, the target always among them, with
-    features and label."""
+    features and label. Queries and what the search finds are read more than once, so they are written; so should samples be."""
+    queries = stored(queries, "queries")
     history = samples.select("user_id", F.posexplode("history").alias("pos", "item_id"))
     exclude = history.select(F.col("user_id").alias("query_id"), "item_id").distinct()
-    found = top_k(queries, units, pool, exclude).select(F.col("query_id").alias("user_id"), "item_id", "score")
+    found = stored(top_k(queries, units, pool, exclude).select(F.col("query_id").alias("user_id"), "item_id", "score"), "found")
     target = samples.select("user_id", F.col("target").alias("item_id"))
     missing = target.join(found, ["user_id", "item_id"], "left_anti").join(units, "item_id")
     missing = missing.join(queries.withColumnRenamed("query_id", "user_id"), "user_id")

@@ -187,8 +187,9 @@ def rank_features(m: Model) -> DataFrame:
 
 
 def _training(m: Model) -> DataFrame:
-    history = evaluate.exploded(m.samples)
-    return rank.training_rows(m.samples, recommend.mean_vectors(history, m.units), m.units, m.items, m.ranking, pool=20)
+    samples = stored(m.samples, "samples")
+    history = evaluate.exploded(samples)
+    return rank.training_rows(samples, recommend.mean_vectors(history, m.units), m.units, m.items, m.ranking, pool=20)
 
 
 @query(f"""+ {SAMPLE}, {AVGBASE}, c AS (SELECT user_id, item_id FROM abase JOIN items USING (item_id) WHERE rank <= 20

@@ -137,3 +137,11 @@ def test_excluded_items_leave_in_the_search(spark):
     rows = lambda df: sorted(map(tuple, df.select("query_id", "item_id", "score", "rank").collect()))
     got, cells = rows(told), rows(vectors.top_k(queries, units, 6, exclude, broadcast_bytes=0))
     assert got == cells and {r[0] for r in got} == {1, 2, 4, 5, 8} and not {r[:2] for r in got} & set(gone)
+
+
+def test_training_rows_search_once(spark, sf_dir):
+    """The rows read what was found, and the samples, from tables: neither search nor sequences stand in their plan."""
+    from marquee.plans.registry import QUERIES
+
+    plan = QUERIES["rank_training_rows"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "lag(" not in plan
