@@ -31,7 +31,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of similar texts (five-word shingles, 0.8 or more); rows without a
-    doc_id come last. Rows are told apart by a number, so those that repeat an id are compared by their texts alone."""
+    doc_id come last. Links of SimHash fingerprints are confirmed first, and exact comparison adds those they miss. Rows are told apart by a number, so those that repeat an id are compared by their texts alone."""
     rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_no")), "numbered")
     found = simhash.similar_documents(rows, id_column="row_no").withColumnRenamed("doc_id", "row_no")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no"))

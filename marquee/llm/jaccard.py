@@ -13,6 +13,8 @@
    and join components. In tiles that still have several components, sets outside the largest one meet two more partners
    from other components; at last all pairs across components that pass the bound are confirmed. So every similar pair is
    confirmed or connected by others that are, and large groups of near copies never make all pairs.
+5. With ``by_print`` SimHash proposes pairs before that: sets of one fingerprint, and those that ``simhash.links`` connects.
+   What of them is confirmed joins components, and sets of one component do not look for each other in tiles.
 
 Whole sets leave the workers only where some partner passed the bound, and are made from the text anew for that. Work in
 a tile is the square of its sets outside its largest component and linear in that one; very many sets that begin alike,
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import configured, dropped, releasing, saved
-from .simhash import components, similar
+from .simhash import components, fingerprint_of, links, similar
 
 #: Shingles met this often in the sets of one stretch (of so many shingles) of a task are counted, and those with more
 #: than COMMON in all come last in the order, at most MOST_COMMON of them. The order matters to speed only.
@@ -150,8 +152,9 @@ def _new(sets: list[np.ndarray], seen: set[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def signatures(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, n, k1, k2, bits) for each row, and rows (h, times) for shingles that are frequent in some stretch."""
+def signatures(docs: DataFrame, shingle: int, id_column: str, text_column: str, prints: bool = False) -> DataFrame:
+    """(doc_id, n, k1, k2, bits, fp) for each row, and rows (h, times) for shingles that are frequent in some stretch; fp is
+    the SimHash of the text, null unless ``prints`` are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -161,7 +164,8 @@ def signatures(docs: DataFrame, shingle: int, id_column: str, text_column: str)
             none = pa.nulls(len(sets), pa.int64())
             columns = [
                 batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()),
-                pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), none, none,
+                pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                prints_of(batch.column(1)) if prints else none, none, none,
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             new = [sets[i] for i, _ in _new(sets, seen)]
@@ -177,11 +181,14 @@ def signatures(docs: DataFrame, shingle: int, id_column: str, text_column: str)
         h, times = h[times >= OFTEN], times[times >= OFTEN]
         if len(h):
             none = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(h), pa.binary()), pa.array(h), pa.array(times.astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(h), pa.binary()), none, pa.array(h), pa.array(times.astype(np.int64))], names=names)
 
-    names = ["doc_id", "n", "k1", "k2", "bits", "h", "times"]
+    def prints_of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint_of(t.as_py() or b"") for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    names = ["doc_id", "n", "k1", "k2", "bits", "fp", "h", "times"]
     pair = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("binary").alias("text"))
-    return pair.mapInArrow(releasing(run), "doc_id long, n long, k1 long, k2 long, bits binary, h long, times long")
+    return pair.mapInArrow(releasing(run), "doc_id long, n long, k1 long, k2 long, bits binary, fp long, h long, times long")
 
 
 def frequent(found: DataFrame) -> np.ndarray:
@@ -218,7 +225,7 @@ def _prefixes(docs: DataFrame, shingle: int, text_column: str, last) -> DataFram
 
 
 def tiles(docs: DataFrame, sets: DataFrame, shingle: int, text_column: str, last: np.ndarray) -> DataFrame:
-    """(h, c, no, n, room, bits): the sets (no, k1, k2, n, bits) of each tile h, c of them, tiles of equal members once;
+    """(h, c, no, root, n, room, bits): the sets (no, root, k1, k2, n, bits) of each tile h, c of them, tiles of equal members once;
     room is what of a set is left from the shared shingle on, the first of them where several tiles became one."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(last)  # 8 MB at most
@@ -229,7 +236,7 @@ def tiles(docs: DataFrame, sets: DataFrame, shingle: int, text_column: str, last
     counted = saved(counted, "shared")
     once = counted.groupBy("c", "d1", "d2", "k1", "k2").agg(F.min("h").alias("h"), F.min("place").alias("place"))
     rows = once.select("h", "c", "k1", "k2", "place").join(sets, ["k1", "k2"])
-    out = saved(rows.select("h", "c", "no", "n", (F.col("n") - F.col("place")).alias("room"), "bits"), "tiles")
+    out = saved(rows.select("h", "c", "no", "root", "n", (F.col("n") - F.col("place")).alias("room"), "bits"), "tiles")
     dropped(counted)
     return out
 
@@ -291,16 +298,19 @@ def _near(left: tuple, right: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 def _best_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, piece, no, n, room, bits) -> for each set of a piece its partner of the greatest bound, and its first one."""
+    """Rows (h, piece, no, root, n, room, bits) -> for each set of a piece its partner of another root of the greatest bound,
+    and its first one."""
     for group in _grouped(batches, 2):
-        no, n, room = (group.column(k).to_numpy() for k in (2, 3, 4))
+        no, root, n, room = (group.column(k).to_numpy() for k in (2, 3, 4, 5))
+        if (root == root[0]).all():
+            continue
         if len(n) == 2 and not similar(min(n.min(), room.min()), n[0], n[1]):
             continue
-        side = n, _bitmaps(group.column(5)), room
+        side = n, _bitmaps(group.column(6)), room
         found = list(_near(side, side))
         if found:
             i, j, share = (np.concatenate(x) for x in zip(*found, strict=True))
-            apart = no[i] != no[j]
+            apart = root[i] != root[j]
             i, j, share = i[apart], j[apart], share[apart]
             taken = np.concatenate([_firsts(i, np.lexsort((no[j], *order, i))) for order in ([-share], [])])
             if len(taken):
@@ -345,13 +355,28 @@ def _many(count) -> F.Column:
     return F.ceil(count / F.lit(PIECE)).cast("int")
 
 
+def print_pairs(each: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets that share a fingerprint with the first set that has it, and first sets of linked fingerprints."""
+    own = each.where("n > 0").select("k1", "k2", "fp").distinct().join(sets.select("k1", "k2", "no"), ["k1", "k2"])
+    own = saved(own.select("fp", "no"), "prints")
+    head = saved(own.groupBy("fp").agg(F.min("no").alias("head")), "heads")
+    same = own.join(head, "fp").select("no", "head")
+    one, two = (head.select(F.col("fp").alias(x), F.col("head").alias(y)) for x, y in (("a", "no"), ("b", "head")))
+    near = links(head.select("fp")).join(one, "a").join(two, "b").select("no", "head")
+    pairs = same.unionByName(near).where("no <> head")
+    pairs = saved(pairs.select(F.greatest("no", "head").alias("a"), F.least("no", "head").alias("b")).distinct(), "print-pairs")
+    dropped(own, head)
+    return pairs
+
+
 def first_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): each set's most promising partner in each tile, of a large tile in its piece."""
     large = rows.where(F.col("c") > PIECE)
     pieces = rows.withColumn("piece", F.when(F.col("c") > PIECE, F.pmod(F.xxhash64("no"), _many(F.col("c")))).otherwise(0).cast("int"))
-    one = large.groupBy("h").agg(F.min_by(F.struct("no", "n", "room", "bits"), "no").alias("one"), F.max("c").alias("c"))
+    one = large.groupBy("h").agg(F.min_by(F.struct("no", "root", "n", "room", "bits"), "no").alias("one"), F.max("c").alias("c"))
     common = one.select("h", F.explode(F.sequence(F.lit(0), _many(F.col("c")) - 1)).alias("piece"), "one.*")
-    dealt = pieces.select("h", "piece", "no", "n", "room", "bits").unionByName(common.select("h", "piece", "no", "n", "room", "bits"))
+    columns = ("h", "piece", "no", "root", "n", "room", "bits")
+    dealt = pieces.select(*columns).unionByName(common.select(*columns))
     dealt = dealt.repartition("h", "piece").sortWithinPartitions("h", "piece", "n", "no")
     return dealt.mapInArrow(releasing(_best_partners), "a long, b long").distinct()
 
@@ -446,19 +471,28 @@ def _intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, by_print: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: sets with a Jaccard similarity of 0.8 or more, directly or
-    through others, share a component."""
+    through others, share a component. ``by_print`` only changes which pairs are confirmed first."""
     with configured(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS):
-        found = saved(signatures(docs, shingle, id_column, text_column), "signatures")
+        found = saved(signatures(docs, shingle, id_column, text_column, by_print), "signatures")
         last = frequent(found)
         each = found.where(F.col("n").isNotNull())
         sets = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
         sets = saved(sets.withColumn("no", F.monotonically_increasing_id()), "distinct-sets")
-        rows = tiles(docs, sets.drop("first"), shingle, text_column, last)
         confirmer = Confirmer(docs, sets, shingle, text_column)
-        asked = saved(first_pairs(rows), "first-pairs")
+        dealt, linked = sets.drop("first").withColumn("root", F.col("no")), None
+        if by_print:
+            linked = print_pairs(each, sets)
+            known = confirmer.confirmed(linked)
+            roots = components(known).withColumnRenamed("node", "no")
+            dealt = saved(sets.drop("first").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no")), "rooted-sets")
+        rows = tiles(docs, dealt, shingle, text_column, last)
+        asked = first_pairs(rows)
+        asked = saved(asked if linked is None else asked.join(linked, ["a", "b"], "left_anti"), "first-pairs")
         edges = confirmer.confirmed(asked)
+        if linked is not None:
+            asked, edges = asked.unionByName(linked), edges.unionByName(known)
         roots = components(edges)
         for best in (True, False):  # what the first turn connects, the second need not compare
             more = saved(rest_pairs(rows, roots, best).join(asked, ["a", "b"], "left_anti"), "more-pairs")

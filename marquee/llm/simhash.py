@@ -43,7 +43,12 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The SimHash of a text's word shingles: a bit is 1 if it is set in over half of their XXH64."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return fingerprint_of((text or "").encode("utf-8", "surrogatepass"), shingle, seed)
+
+
+def fingerprint_of(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """``fingerprint`` of a text in UTF-8."""
+    words = text.lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -308,11 +313,12 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """(doc_id, component_id): texts whose shingle sets have a Jaccard similarity of 0.8 or more, directly or through
     others, share a component; texts without words are similar to each other.
 
-    Unlike ``near_duplicates`` this compares whole shingle sets, and exactly: see ``jaccard``.
+    ``links`` of fingerprints come first, each confirmed by whole shingle sets; similar texts that no such link connects
+    are found by comparing those sets, exactly: see ``jaccard``.
     """
     from .jaccard import jaccard_components  # which builds on this module
 
-    found = jaccard_components(docs, id_column, text_column, shingle)
+    found = jaccard_components(docs, id_column, text_column, shingle, by_print=True)
     none = found.where("n_shingles = 0").agg(F.min("doc_id").alias("none"))  # one row
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("none"))
     return found.join(F.broadcast(none)).select("doc_id", component.alias("component_id"))

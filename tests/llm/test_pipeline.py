@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from marquee.llm import toxicity
+from marquee.llm import jaccard, simhash, toxicity
 from marquee.llm.common import load, saved
 from marquee.llm.queries import toxicity_grammar
 
@@ -149,3 +149,18 @@ def test_rows_of_one_id_are_told_apart(spark, sf_dir):
     kept = pipeline.drop_near_duplicates(spark, frame, sf_dir).select("doc_id", "text").collect()
     assert {(r.doc_id, r.text) for r in kept} == {(7, words("a")), (42, words("c")), (None, None), (9, words("d")), *{(r.doc_id, r.text) for r in kept if r.text in (words("b"), words("b") + " end")}}
     assert len(kept) == 5
+
+
+def test_fingerprints_link_what_sets_confirm(spark, sf_dir, monkeypatch):
+    """Without the exact comparison the stage still finds what SimHash links, and only that which whole sets confirm."""
+    words = lambda x, n: [f"{x}{k}" for k in range(n)]
+    base = words("a", 3000)
+    changed = next(t for k in range(0, 3000, 7) if 0 < (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(t := " ".join([*base[:k], "else", *base[k + 1 :]]))).bit_count() <= 3)
+    loud = "say this again and again " * 200
+    docs = [" ".join(base), changed, loud + " ".join(words("b", 30)), loud + " ".join(words("c", 30)), "alone"]
+    assert (simhash.fingerprint(docs[2]) ^ simhash.fingerprint(docs[3])).bit_count() <= 3
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    none = lambda *a, **b: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(jaccard, "first_pairs", none)
+    monkeypatch.setattr(jaccard, "rest_pairs", none)
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()} == {0, 2, 3, 4}
