@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import mixing, packing, pii, simhash, toxicity
-from marquee.llm.common import load, saved
+from marquee.llm.common import configured, load, saved
 from marquee.llm.queries import toxicity_grammar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Whole texts in an Arrow batch: executors hold a batch twice, in the JVM and in Python, beside what earlier stages left.
+ARROW_ROWS = 500
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +75,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    with configured(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS):
+        return saved(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")), "packed")  # small rows
 
 
 STAGES = [
