@@ -20,6 +20,9 @@ encoding and length class, Benjamini-Hochberg at level FDR
 decides over all tokens of the corpus which are let out as secrets: of those, about that share at most is ordinary. The
 tables joined as broadcasts have a row for each encoding, length class and bin at most.
 
+Stretches of the null are short, so their battery counts bits of planes in longs (``packed_battery``); tokens of any length
+go through arrays of ranks (``battery``). Both give the same statistic.
+
 Defined results: a null or empty text has no spans (counts 0, empty lists). Repeated rows and repeated or null ids
 give a row each. Positions are code points, ends exclusive. Only the two named columns are read. Nothing is cut: very
 long tokens and texts with many matches are measured whole. Where no document has words for the null, nothing is added.
@@ -33,7 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import configured, saved
 from .spans import hits, listed, located, numbered
 
 MIN_TOKEN = 20
@@ -166,6 +169,12 @@ def battery(tokens: DataFrame) -> DataFrame:
     sums = F.when(n <= SHORT, by_alphabet(_short_sums)).otherwise(by_alphabet(_sums))
     ends = F.struct(F.element_at("ranks", 1).alias("head"), F.element_at("ranks", -1).alias("last"))
     df = df.select(*tokens.columns, "n", sums.alias("m"), ends.alias("e"), bounds[0].alias("b1"), bounds[1].alias("b2"))
+    return _fisher(df).drop("m", "e", "b1", "b2")
+
+
+def _fisher(df: DataFrame) -> DataFrame:
+    """Adds the statistic to rows (alphabet, n, m: the sums, e: first and last rank, b1 and b2: the groups' bounds)."""
+    k, n = F.col("alphabet").cast("double"), F.col("n")
     expected = (F.col("b1") / k * n, (F.col("b2") - F.col("b1")) / k * n, (k - F.col("b2")) / k * n)
     seen = (F.col("m.first"), n - F.col("m.first") - F.col("m.third"), F.col("m.third"))
     log_groups = -sum(((o - e) * (o - e) / e for o, e in zip(seen, expected, strict=True)), F.lit(0.0)) / 2  # 2 degrees: exact
@@ -181,13 +190,109 @@ def battery(tokens: DataFrame) -> DataFrame:
     z_ser = F.when(var > 0, (cov / var + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
     two = lambda z: F.log(F.least(2 * tail(F.abs(z)), F.lit(1.0)))
     statistic = -(log_groups + F.log(tail(z_chi)) + two(z_runs) + two(z_ser))
-    return df.withColumn("statistic", statistic).drop("m", "e", "b1", "b2")
+    return df.withColumn("statistic", statistic)
+
+
+#: Eight characters stand in the bytes of a long; so many longs hold a token of the packed battery.
+WORDS = 13
+ONES = 0x0101010101010101
+#: By alphabet, what makes ranks of ASCII codes' low five bits: added to all, to letters, to small letters.
+LOW5 = {16: (-16, 25, 0), 32: (8, -9, 0), 36: (-16, 25, 0), 64: (36, -37, 26)}
+
+
+def _places(n: int, half: int) -> int:
+    """The bits that the first n characters have in a plane: character 8 w + i has bit 8 (7 - i) + w, from w = 8 on in a second long."""
+    out = sum(1 << 8 * (7 - i) + w % 8 for w in range(8 * half, min(8 * half + 8, WORDS)) for i in range(8) if 8 * w + i < n)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def packed_battery(tokens: DataFrame) -> DataFrame:
+    """``battery`` of tokens with 8 * WORDS characters at most and no padding, by bits of longs instead of arrays of ranks.
+
+    A plane has a bit for each character: one of its rank's six bits, or whether the rank reaches a bound. Sums of products
+    are counts of bits that planes have in common; characters' counts are those of the places where all six bits agree.
+    """
+    names, size = tokens.columns, F.col("alphabet")
+    of = lambda values: F.when(size == 16, F.lit(values[16])).when(size == 32, F.lit(values[32])).when(size == 36, F.lit(values[36])).otherwise(F.lit(values[64]))
+    wide = lambda v: F.lit(v).cast("long")
+    hit = F.col("hit")
+    for sign in "_-/+":  # ":" follows the digits, so signs get the rank after theirs
+        hit = F.replace(hit, F.lit(sign), F.lit(":"))
+    df = tokens.select(*names, F.rpad(F.when(size == 64, hit).otherwise(F.col("hit")), 8 * WORDS, "0").alias("body"), F.length("hit").alias("size"))
+    code = lambda w: F.conv(F.hex(F.col("body").substr(8 * w + 1, 8)), 16, 10).cast("long")
+    table = lambda half, less: F.get(_table([_places(max(n - less, 0), half) for n in range(8 * WORDS + 1)]), F.col("size"))
+    df = df.select(
+        *names, "size", *(F.when(F.col("size") > 8 * w, code(w)).otherwise(wide(0)).alias(f"c{w}") for w in range(WORDS)),
+        *(table(h, less).alias(f"{x}{h}") for x, less in (("v", 0), ("u", 1)) for h in (0, 1)),
+        *(of({k: v[i] * ONES if i == 0 else v[i] for k, v in LOW5.items()}).cast("long").alias(f"k{i}") for i in range(3)),
+        *(of({k: (64 - b[i]) * ONES for k, b in {a: (a // 2, *GROUPS[a]) for a in GROUPS}.items()}).cast("long").alias(f"t{i}") for i in range(3)),
+    )
+    rest = [*names, "size", "v0", "v1", "u0", "u1"]
+    bits = lambda c, low: F.shiftrightunsigned(c, low).bitwiseAND(wide(ONES))
+
+    def rank(w: int) -> Column:
+        c = F.col(f"c{w}")
+        return c.bitwiseAND(wide(31 * ONES)) + F.col("k0") + F.col("k1") * bits(c, 6) + F.col("k2") * bits(c, 6).bitwiseAND(bits(c, 5))
+
+    df = df.select(*rest, "t0", "t1", "t2", *(F.when(F.col("size") > 8 * w, rank(w)).otherwise(wide(0)).alias(f"r{w}") for w in range(WORDS)))
+
+    def plane(half: int, of_word: Callable[[Column], Column]) -> Column:
+        out = None
+        for w in range(8 * half, min(8 * half + 8, WORDS)):
+            part = F.shiftleft(of_word(F.col(f"r{w}")), w % 8)
+            out = part if out is None else out.bitwiseOR(part)
+        return out.bitwiseAND(F.col(f"v{half}"))
+
+    of_rank = [plane(h, lambda r, b=b: bits(r, b)).alias(f"p{b}{h}") for b in range(6) for h in (0, 1)]
+    reaches = [plane(h, lambda r, i=i: bits(r + F.col(f"t{i}"), 6)).alias(f"g{i}{h}") for i in range(3) for h in (0, 1)]
+    df = df.select(*rest, F.shiftrightunsigned("r0", 56).alias("head"), *of_rank, *reaches)
+
+    def next_(x: str, half: int) -> Column:
+        """The plane of each character's right neighbour."""
+        own = F.shiftleft(F.col(f"{x}{half}"), 8).bitwiseOR(F.shiftrightunsigned(F.col(f"{x}{half}"), 57))
+        return own if half else own.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"{x}1"), 56).bitwiseAND(wide(1)), 7))
+
+    planes = [f"{x}{h}" for x in (*(f"p{b}" for b in range(6)), "g0", "g1", "g2") for h in (0, 1)]
+    df = df.select(*rest, "head", *planes, *(next_(x, h).alias(f"q{x}{h}") for x in (*(f"p{b}" for b in range(6)), "g0") for h in (0, 1)))
+    total = lambda parts: sum(parts[1:], parts[0])
+    count = lambda *xs: total([F.bit_count(_all_of([F.col(f"{x}{h}") for x in xs])) for h in (0, 1)])
+    ones = [count(f"p{b}") for b in range(6)]
+    last = [F.bit_count(F.col(f"p{b}{h}").bitwiseAND(F.col(f"v{h}").bitwiseXOR(F.col(f"u{h}")))) * (1 << b) for b in range(6) for h in (0, 1)]
+    changes = [F.bit_count(F.col(f"g0{h}").bitwiseXOR(F.col(f"qg0{h}")).bitwiseAND(F.col(f"u{h}"))) for h in (0, 1)]
+
+    def squares(high: int) -> Column:
+        """Of the ranks with these three upper bits."""
+        out = []
+        for r in range(8 * high, min(8 * high + 8, 63)):
+            own = total([F.bit_count(_all_of([F.col(f"v{h}"), *(F.col(f"p{b}{h}") if r >> b & 1 else F.bitwise_not(F.col(f"p{b}{h}")) for b in range(6))])) for h in (0, 1)])
+            out.append(own * own)
+        return total(out)
+
+    df = df.select(
+        *names, F.col("size").cast("double").alias("n"), "head", total(last).alias("last"),
+        *(squares(high).alias(f"squares{high}") for high in range(8)),
+        total([x * (1 << b) for b, x in enumerate(ones)]).alias("s"),
+        total([x * (1 << 2 * b) for b, x in enumerate(ones)] + [count(f"p{b}", f"p{c}") * (2 << b + c) for b in range(6) for c in range(b)]).alias("ss"),
+        *(total([count(f"p{b}", f"qp{c}") * (1 << b + c) for c in range(6)]).alias(f"sp{b}") for b in range(6)),
+        count("g0").alias("high"), total(changes).alias("changes"), (F.col("size") - count("g1")).alias("first"), count("g2").alias("third"),
+    )
+    made = {"squares": total([F.col(f"squares{i}") for i in range(8)]), "sp": total([F.col(f"sp{i}") for i in range(6)])}
+    sums = F.struct(*(made.get(x, F.col(x)).cast("double").alias(x) for x in SUMS))
+    df = df.select(*names, "n", sums.alias("m"), F.struct("head", "last").alias("e"), *(of({k: g[i] for k, g in GROUPS.items()}).alias(f"b{i + 1}") for i in (0, 1)))
+    return _fisher(df)
+
+
+def _all_of(masks: list[Column]) -> Column:
+    out = masks[0]
+    for x in masks[1:]:
+        out = out.bitwiseAND(x)
+    return out
 
 
-def binned(tokens: DataFrame) -> DataFrame:
-    """Adds length_class, bin of the statistic."""
+def binned(tokens: DataFrame, by: Callable[[DataFrame], DataFrame] = battery) -> DataFrame:
+    """Adds length_class, bin of the statistic, which ``by`` measures."""
     step = F.floor(F.log2(F.col("n") / MIN_TOKEN)).cast("int")
-    return battery(tokens).select(
+    return by(tokens).select(
         *(c for c in tokens.columns if c != "alphabet"),
         written(F.col("hit")).alias("alphabet"),
         F.greatest(F.lit(0), F.least(step, F.lit(LENGTH_CLASSES - 1))).alias("length_class"),
@@ -227,7 +332,7 @@ def ordinary(docs: DataFrame) -> DataFrame:
     joint = F.element_at(F.array(*map(F.lit, JOINTS)), drawn(h, "joint", len(JOINTS)) + 1)
     style = drawn(h, "case", 3)
     cased = F.when(style == 0, F.lower(words)).when(style == 1, F.upper(words)).otherwise(F.initcap(words))
-    cased = F.regexp_replace(F.trim(F.regexp_replace(cased, "[^A-Za-z0-9]+", " ")), F.lit(" "), joint)
+    cased = F.replace(F.trim(F.regexp_replace(cased, "[^A-Za-z0-9]+", " ")), F.lit(" "), joint)
     spelt.append(F.struct(F.lit(64).alias("alphabet"), cased.alias("words")))
     each = df.select(F.explode(F.array(*spelt)).alias("a")).select("a.*")
     each = each.select("alphabet", F.explode(F.regexp_extract_all("words", F.lit(BLOCK), F.lit(0))).alias("block"))
@@ -239,7 +344,8 @@ def ordinary(docs: DataFrame) -> DataFrame:
         at += length
     each = each.select("alphabet", F.explode(F.array_compact(F.array(*pieces))).alias("piece"))
     piece, h = F.col("piece"), F.xxhash64("piece")
-    number = F.translate(F.lpad(F.pmod(h, F.lit(100)).cast("string"), 2, "0"), "0189", "2345")  # digits of all alphabets
+    digits = [f"{i:02d}".translate(str.maketrans("0189", "2345")) for i in range(100)]  # of all alphabets
+    number = F.get(F.expr(f"array({str(digits)[1:-1]})"), F.pmod(h, F.lit(100)).cast("int"))
     cut = drawn(h, "cut", F.length(piece) + 1)
     return each.select("alphabet", F.concat(piece.substr(F.lit(1), cut), number, piece.substr(cut + 1, F.length(piece))).alias("hit"))
 
@@ -286,8 +392,10 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     tokens = every.where("kind = 'random'").select("row", "kind", "start", "end", "hit", encoding(F.col("hit")).alias("alphabet"))
     tested = saved(binned(tokens).drop("hit"), "secret-tests")
-    null = binned(ordinary(docs.select(docs[text_column].alias("text")).where("text is not null")))
-    null = saved(null.groupBy("alphabet", "length_class", "bin").agg(F.count(F.lit(1)).alias("times")), "secret-null")
+    null = binned(ordinary(docs.select(docs[text_column].alias("text")).where("text is not null")), packed_battery)
+    null = null.groupBy("alphabet", "length_class", "bin").agg(F.count(F.lit(1)).alias("times"))
+    with configured(docs.sparkSession, "spark.sql.codegen.wholeStage", "false"):  # long expressions are cut into small methods only so
+        null = saved(null, "secret-null")
     cuts = saved(let_out(tested, null), "secret-cuts")
     kept = tested.join(F.broadcast(cuts), ["alphabet", "length_class"]).where("bin <= cut")
     spans = every.where("kind <> 'random'").select("row", "kind", "start", "end").unionByName(kept.select("row", "kind", "start", "end"))

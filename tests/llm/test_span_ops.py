@@ -139,6 +139,20 @@ def test_short_and_long_sums_agree(spark):
         assert r.a.asDict() == r.b.asDict()
 
 
+def test_packed_battery_agrees(spark):
+    """The battery by planes of bits gives what the one over arrays gives, for what ordinary text is written as."""
+    rng = random.Random(8)
+    letters = {64: string.ascii_letters + string.digits + "+/-_", 36: string.ascii_lowercase + string.digits, 32: string.ascii_uppercase + "234567", 16: "0123456789abcdef"}
+    rows = [("".join(rng.choices(x, k=n)), k) for k, x in letters.items() for n in (20, 33, 63, 64, 65, 72, 97, 104)]
+    rows += [(x[-1] * 64, k) for k, x in letters.items()] + [("wordsinordinarytext42more", 36), ("Some_words_in_snake_case_17", 64), ("a" * 40, 36), ("9" * 104, 64)]
+    frame = spark.createDataFrame(rows, "hit string, alphabet int")
+    want = {(r.hit, r.alphabet): r for r in secret_scan.battery(frame).collect()}
+    got = secret_scan.packed_battery(frame).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n == len(r.hit) and abs(r.statistic - want[r.hit, r.alphabet].statistic) < 1e-9 * (1 + r.statistic), r
+
+
 IDENTIFIERS = [
     "Sha256DigestCalculator", "httpRequestTimeoutSeconds30", "user_profile_picture_url_2x", "Iso8601DateTimeFormatterFactory",
     "com/example/project1/ClassName", "MAX_CONNECTION_POOL_SIZE_128", "documentRevisionNumber2024", "Utf8StringEncodingHelper",
