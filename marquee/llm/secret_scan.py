@@ -179,6 +179,7 @@ def battery(tokens: DataFrame) -> DataFrame:
 
 def _fisher(df: DataFrame) -> DataFrame:
     """Adds the statistic to rows (alphabet, n, m: the sums, e: first and last rank, b1 and b2: the groups' bounds)."""
+    names = df.columns
     k, n = F.col("alphabet").cast("double"), F.col("n")
     expected = (F.col("b1") / k * n, (F.col("b2") - F.col("b1")) / k * n, (k - F.col("b2")) / k * n)
     seen = (F.col("m.first"), n - F.col("m.first") - F.col("m.third"), F.col("m.third"))
@@ -186,16 +187,21 @@ def _fisher(df: DataFrame) -> DataFrame:
     chi = F.greatest(k / n * F.col("m.squares") - n, F.lit(0.0)) / (k - 1)
     z_chi = (F.pow(chi, F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1)))
     high, low = F.col("m.high"), n - F.col("m.high")
-    mean_runs = 2 * high * low / n + 1
-    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    z_runs = F.when(var_runs > 0, (F.col("m.changes") + 1 - mean_runs) / F.sqrt(var_runs)).otherwise(F.sqrt(n))
     mean = F.col("m.s") / n
+    # each step is a column of its own, since the next ones use it several times
+    df = df.select(*names, log_groups.alias("_groups"), z_chi.alias("_chi"), (2 * high * low / n + 1).alias("_runs"), mean.alias("_mean"))
+    mean_runs, mean = F.col("_runs"), F.col("_mean")
+    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
     var = F.col("m.ss") / n - mean * mean
     cov = (F.col("m.sp") - mean * (2 * F.col("m.s") - F.col("e.last") - F.col("e.head")) + (n - 1) * mean * mean) / (n - 1)
+    df = df.select(*names, "_groups", "_chi", "_runs", var_runs.alias("_var_runs"), var.alias("_var"), cov.alias("_cov"))
+    var_runs, var, cov = F.col("_var_runs"), F.col("_var"), F.col("_cov")
+    z_runs = F.when(var_runs > 0, (F.col("m.changes") + 1 - mean_runs) / F.sqrt(var_runs)).otherwise(F.sqrt(n))
     z_ser = F.when(var > 0, (cov / var + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-    two = lambda z: F.log(F.least(2 * tail(F.abs(z)), F.lit(1.0)))
-    statistic = -(log_groups + F.log(tail(z_chi)) + two(z_runs) + two(z_ser))
-    return df.withColumn("statistic", statistic)
+    df = df.select(*names, "_groups", "_chi", F.abs(z_runs).alias("_z_runs"), F.abs(z_ser).alias("_z_ser"))
+    two = lambda z: F.log(F.least(2 * tail(F.col(z)), F.lit(1.0)))
+    statistic = -(F.col("_groups") + F.log(tail(F.col("_chi"))) + two("_z_runs") + two("_z_ser"))
+    return df.select(*names, statistic.alias("statistic"))
 
 
 #: Eight characters stand in the bytes of a long; so many longs hold a token of the packed battery.
@@ -223,7 +229,7 @@ def packed_battery(tokens: DataFrame) -> DataFrame:
     hit = F.col("hit")
     for sign in "_-/+":  # ":" follows the digits, so signs get the rank after theirs
         hit = F.replace(hit, F.lit(sign), F.lit(":"))
-    df = tokens.select(*names, F.rpad(F.when(size == 64, hit).otherwise(F.col("hit")), 8 * WORDS, "0").alias("body"), F.length("hit").alias("size"))
+    df = tokens.select(*names, F.concat(F.when(size == 64, hit).otherwise(F.col("hit")), F.lit("0" * 8)).cast("binary").alias("body"), F.length("hit").alias("size"))
     code = lambda w: F.conv(F.hex(F.col("body").substr(8 * w + 1, 8)), 16, 10).cast("long")
     table = lambda half, less: F.get(_table([_places(max(n - less, 0), half) for n in range(8 * WORDS + 1)]), F.col("size"))
     df = df.select(
@@ -265,22 +271,21 @@ def packed_battery(tokens: DataFrame) -> DataFrame:
     last = [F.bit_count(F.col(f"p{b}{h}").bitwiseAND(F.col(f"v{h}").bitwiseXOR(F.col(f"u{h}")))) * (1 << b) for b in range(6) for h in (0, 1)]
     changes = [F.bit_count(F.col(f"g0{h}").bitwiseXOR(F.col(f"qg0{h}")).bitwiseAND(F.col(f"u{h}"))) for h in (0, 1)]
 
-    def squares(high: int) -> Column:
-        """Of the ranks with these three upper bits."""
-        out = []
-        for r in range(8 * high, min(8 * high + 8, 63)):
-            own = total([F.bit_count(_all_of([F.col(f"v{h}"), *(F.col(f"p{b}{h}") if r >> b & 1 else F.bitwise_not(F.col(f"p{b}{h}")) for b in range(6))])) for h in (0, 1)])
-            out.append(own * own)
-        return total(out)
+    def same(low: int, r: int, half: int) -> Column:
+        """The plane of the characters whose rank has the three bits of ``r`` from ``low`` on."""
+        return _all_of([F.col(f"v{half}"), *(F.col(f"p{low + b}{half}") if r >> b & 1 else F.bitwise_not(F.col(f"p{low + b}{half}")) for b in range(3))])
 
     df = df.select(
         *names, F.col("size").cast("double").alias("n"), "head", total(last).alias("last"),
-        *(squares(high).alias(f"squares{high}") for high in range(8)),
+        *(same(low, r, h).alias(f"e{low}{r}{h}") for low in (0, 3) for r in range(8) for h in (0, 1)),
         total([x * (1 << b) for b, x in enumerate(ones)]).alias("s"),
         total([x * (1 << 2 * b) for b, x in enumerate(ones)] + [count(f"p{b}", f"p{c}") * (2 << b + c) for b in range(6) for c in range(b)]).alias("ss"),
         *(total([count(f"p{b}", f"qp{c}") * (1 << b + c) for c in range(6)]).alias(f"sp{b}") for b in range(6)),
         count("g0").alias("high"), total(changes).alias("changes"), (F.col("size") - count("g1")).alias("first"), count("g2").alias("third"),
     )
+    rest = [*names, "n", "head", "last", "s", "ss", *(f"sp{b}" for b in range(6)), "high", "changes", "first", "third"]
+    df = df.select(*rest, *(count(f"e3{r >> 3}", f"e0{r & 7}").alias(f"c{r}") for r in range(63)))
+    df = df.select(*rest, *(total([F.col(f"c{r}") * F.col(f"c{r}") for r in range(i, min(i + 8, 63))]).alias(f"squares{i // 8}") for i in range(0, 63, 8)))
     made = {"squares": total([F.col(f"squares{i}") for i in range(8)]), "sp": total([F.col(f"sp{i}") for i in range(6)])}
     sums = F.struct(*(made.get(x, F.col(x)).cast("double").alias(x) for x in SUMS))
     df = df.select(*names, "n", sums.alias("m"), F.struct("head", "last").alias("e"), *(of({k: g[i] for k, g in GROUPS.items()}).alias(f"b{i + 1}") for i in (0, 1)))
