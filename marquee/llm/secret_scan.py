@@ -52,7 +52,7 @@ BLOCK = "(?s).{%d}(?=.{%d})|.{%d,}" % (sum(NULL_LENGTHS) - 2 * len(NULL_LENGTHS)
 JOINTS = ("_", "-", "/")
 #: Bins of the statistic; the last holds all that is further from random.
 BINS, BINS_PER_UNIT = 400, 10
-#: Letters and digits one by one: the JVM looks such a class up in one table, which takes an eighth of the time of several ranges.
+#: Letters and digits one by one: the JVM looks such a class up in one table, which is faster than several ranges.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets: the size, what a token of it looks like, and what of a text's words it can spell, of which letter case.
 ALPHABETS = (
