@@ -70,6 +70,28 @@ def test_others_are_negatives():
     assert abs((predict.head_gradient(state, target, w, b + np.r_[1e-6, 0, 0, 0], 0.5, others)[0] - loss) / 1e-6 - gb[0]) < 1e-3
 
 
+@pytest.mark.parametrize("summed", [predict.SUMMED, 3])
+def test_sums_of_many_batches_are_exact(spark, monkeypatch, summed):
+    """Each batch's loss and gradient fit in a long of grains, their sums do not; a worker may give several rows."""
+    monkeypatch.setattr(predict, "SUMMED", summed)
+    rng = np.random.default_rng(4)
+    state, target, w, b = rng.normal(size=(4, 6)), rng.normal(size=(4, 5)), rng.normal(size=(6, 5)), rng.normal(size=5)
+    loss, gw, gb = predict.head_gradient(state, target, w, b, 3e-7)
+    one = np.rint(np.r_[loss, gw.ravel(), gb] / predict.GRAIN)
+    assert 2.0**60 < np.abs(one).max() < 2.0**63 and (one < 0).any()
+    rows = [(k, i, [float(x) for x in state[i]], [float(x) for x in target[i]], None) for k in range(40) for i in range(4)]
+    batches = spark.createDataFrame(rows, "batch bigint, place int, state array<double>, target array<double>, others array<array<double>>")
+    n, total, g = predict._gradients(batches.repartition(3), {"out": w, "out_b": b}, 3e-7)
+    want = [float(40 * int(x)) * predict.GRAIN for x in one]
+    assert max(abs(40 * int(x)) for x in one) >= 2**63 and n == 160 and [total, *g] == want
+
+
+def test_a_loss_that_is_no_number_is_an_error():
+    for x in (np.nan, np.inf, -predict.MOST):
+        with pytest.raises(ValueError, match="no number or too large"):
+            predict._whole(np.array([0.0, x]))
+
+
 # ---------------------------------------------------------------- rolling latency
 
 
