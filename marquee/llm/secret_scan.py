@@ -226,12 +226,13 @@ def packed_battery(tokens: DataFrame) -> DataFrame:
     names, size = tokens.columns, F.col("alphabet")
     of = lambda values: F.when(size == 16, F.lit(values[16])).when(size == 32, F.lit(values[32])).when(size == 36, F.lit(values[36])).otherwise(F.lit(values[64]))
     wide = lambda v: F.lit(v).cast("long")
+    known = lambda c: F.coalesce(c, wide(0))  # noqa: E731  # of a column that may be null each use would be tested
     hit = F.col("hit")
     for sign in "_-/+":  # ":" follows the digits, so signs get the rank after theirs
         hit = F.replace(hit, F.lit(sign), F.lit(":"))
-    df = tokens.select(*names, F.concat(F.when(size == 64, hit).otherwise(F.col("hit")), F.lit("0" * 8)).cast("binary").alias("body"), F.length("hit").alias("size"))
-    code = lambda w: F.conv(F.hex(F.col("body").substr(8 * w + 1, 8)), 16, 10).cast("long")
-    table = lambda half, less: F.get(_table([_places(max(n - less, 0), half) for n in range(8 * WORDS + 1)]), F.col("size"))
+    df = tokens.select(*names, F.concat(F.when(size == 64, hit).otherwise(F.col("hit")), F.lit("0" * 8)).cast("binary").alias("body"), F.coalesce(F.length("hit"), F.lit(0)).alias("size"))
+    code = lambda w: known(F.conv(F.hex(F.col("body").substr(8 * w + 1, 8)), 16, 10).cast("long"))
+    table = lambda half, less: known(F.get(_table([_places(max(n - less, 0), half) for n in range(8 * WORDS + 1)]), F.col("size")))
     df = df.select(
         *names, "size", *(F.when(F.col("size") > 8 * w, code(w)).otherwise(wide(0)).alias(f"c{w}") for w in range(WORDS)),
         *(table(h, less).alias(f"{x}{h}") for x, less in (("v", 0), ("u", 1)) for h in (0, 1)),
@@ -320,7 +321,7 @@ def encoding(hit: Column) -> Column:
 
 def written(hit: Column) -> Column:
     """What a token is compared with: its alphabet's size, one more for base 64 with joints (paths, snake case)."""
-    return F.col("alphabet") + F.when((F.col("alphabet") == 64) & hit.rlike("[_/-]"), 1).otherwise(0)
+    return F.col("alphabet") + F.when((F.col("alphabet") == 64) & (hit.contains("_") | hit.contains("/") | hit.contains("-")), 1).otherwise(0)
 
 
 def drawn(h: Column, name: str, n: Column | int) -> Column:
@@ -337,27 +338,33 @@ def ordinary(docs: DataFrame) -> DataFrame:
     """
     h = F.xxhash64("text")
     df = docs.select(h.alias("h"), F.regexp_replace("text", TOKEN, " ").alias("words"))  # what looks like a candidate is none
-    h, words = F.col("h"), F.col("words")
-    spelt = [F.struct(F.lit(n).alias("alphabet"), F.regexp_replace(case(words), other, "").alias("words")) for n, _, other, case in ALPHABETS]
+    h, cases = F.col("h"), {case: F.col(case.__name__) for case in (F.lower, F.upper, F.initcap)}
+    df = df.select("h", *(case("words").alias(case.__name__) for case in cases))  # once for all encodings
+    spelt = [F.struct(F.lit(n).alias("alphabet"), F.regexp_replace(cases[case], other, "").alias("words")) for n, _, other, case in ALPHABETS]
     joint = F.element_at(F.array(*map(F.lit, JOINTS)), drawn(h, "joint", len(JOINTS)) + 1)
     style = drawn(h, "case", 3)
-    cased = F.when(style == 0, F.lower(words)).when(style == 1, F.upper(words)).otherwise(F.initcap(words))
+    cased = F.when(style == 0, cases[F.lower]).when(style == 1, cases[F.upper]).otherwise(cases[F.initcap])
     cased = F.replace(F.trim(F.regexp_replace(cased, NO_WORD, " ")), F.lit(" "), joint)
     spelt.append(F.struct(F.lit(64).alias("alphabet"), cased.alias("words")))
-    each = df.select(F.explode(F.array(*spelt)).alias("a")).select("a.*")
+    # arrays are made before they are exploded, as an explode's own expressions are not compiled; the outer one adds no test of them
+    each = df.select(F.array(*spelt).alias("a")).select(F.explode_outer("a").alias("a")).select("a.*")
     each = each.select("alphabet", F.explode(F.regexp_extract_all("words", F.lit(BLOCK), F.lit(0))).alias("block"))
-    block, size, pieces, at = F.col("block"), F.length("block"), [], 0
+    # what is spelt is ASCII: its bytes are its characters, and are found without counting
+    each = each.select("alphabet", F.col("block").cast("binary").alias("block"), F.octet_length("block").alias("size"))
+    block, size, pieces, at = F.col("block"), F.col("size"), [], 0
     for i, length in enumerate(n - 2 for n in NULL_LENGTHS):
         last = size < at + length + PIECE if i + 1 < len(NULL_LENGTHS) else F.lit(True)
         piece = F.when(last, block.substr(F.lit(at + 1), size)).otherwise(block.substr(at + 1, length))
         pieces.append(F.when(size >= at + PIECE, piece))
         at += length
-    each = each.select("alphabet", F.explode(F.array_compact(F.array(*pieces))).alias("piece"))
-    piece, h = F.col("piece"), F.xxhash64("piece")
+    each = each.select("alphabet", F.array(*pieces).alias("pieces")).select("alphabet", F.explode_outer("pieces").alias("piece"))
+    each = each.where("piece is not null")
+    piece, size, h = F.col("piece"), F.octet_length("piece"), F.xxhash64("piece")
     digits = [f"{i:02d}".translate(str.maketrans("0189", "2345")) for i in range(100)]  # of all alphabets
     number = F.get(F.expr(f"array({str(digits)[1:-1]})"), F.pmod(h, F.lit(100)).cast("int"))
-    cut = drawn(h, "cut", F.length(piece) + 1)
-    return each.select("alphabet", F.concat(piece.substr(F.lit(1), cut), number, piece.substr(cut + 1, F.length(piece))).alias("hit"))
+    each = each.select("alphabet", "piece", size.alias("size"), number.cast("binary").alias("number"), drawn(h, "cut", size + 1).alias("cut"))
+    cut = F.col("cut")
+    return each.select("alphabet", F.concat(piece.substr(F.lit(1), cut), "number", piece.substr(cut + 1, F.col("size"))).cast("string").alias("hit"))
 
 
 def let_out(tested: DataFrame, null: DataFrame) -> DataFrame:
